@@ -393,8 +393,9 @@ class _Evaluation:
                 *[AGGS[n.params[0]](F.col(f"__v{n.uid}")).alias(self._name(n)) for n in plain]
             )
             df = df.join(agg, self.time)
+        done = {n.uid for n in plain}
         for n in batch:
-            if n in plain:
+            if n.uid in done:
                 continue
             v = f"__v{n.uid}"
             counts = skew.value_counts(df.select(self.time, v), self.time, v, self.block)
