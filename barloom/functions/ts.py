@@ -125,9 +125,18 @@ def _pair(a, b): return F.when(a.isNotNull() & b.isNotNull(), safe.dbl(a))
 def _no_inf(x): return safe.inf_to_null(x)
 
 
+CORR_DIGITS = 12
+
+
 def _correlation(cov, va, vb, n):
-    """A single pair has no correlation (NaN), like a constant frame."""
-    return F.when(n > 1, safe.safe_div(cov, F.sqrt(va * vb))).when(n == 1, F.lit(safe.NAN) + cov)
+    """A single pair has no correlation (NaN), like a constant frame.
+
+    Rounding far below any meaning makes exact cases (two points: +-1) equal, so
+    ranks over them do not depend on the order of summation.
+    """
+    r = safe.safe_div(cov, F.sqrt(va * vb))
+    r = F.when(F.isnan(r) | (F.abs(r) == safe.INF), r).otherwise(F.round(r, CORR_DIGITS))
+    return F.when(n > 1, r).when(n == 1, F.lit(safe.NAN) + cov)
 
 
 def ts_corr(x, y, n: int) -> Expr:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("operators_basic", "indicators")
+MODULES = ("operators_basic", "indicators", "factors", "evaluation")
 
 
 def load():

@@ -48,7 +48,7 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
         F.min("price").alias("low"),
         F.max_by("price", "seq").alias("close"),
         F.sum("l_quantity").alias("volume"),
-        F.round(F.sum("l_extendedprice"), 4).alias("turnover"),
+        (F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / F.lit(100.0)).alias("turnover"),
     ).withColumn("vwap", F.col("turnover") / F.col("volume"))
 
 
@@ -62,20 +62,21 @@ BARS = """bars AS (
          last(l_extendedprice / l_quantity ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey,
               l_quantity, l_extendedprice) AS close,
          CAST(sum(l_quantity) AS DOUBLE) AS volume,
-         round(sum(l_extendedprice), 4) AS turnover,
-         round(sum(l_extendedprice), 4) / sum(l_quantity) AS vwap
+         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS turnover,
+         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 / sum(l_quantity) AS vwap
   FROM lineitem GROUP BY 1, 2)"""
 
 DIGITS = 6
 
 
 def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round doubles for comparison; NaN, infinity and null stay as they are."""
+    """Round doubles for comparison (10 digits from a million up); NaN, infinity and null stay."""
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if f.dataType.simpleString() in ("double", "float"):
-            c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), c).otherwise(F.round(c, digits) + 0.0)
+            c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), c).when(
+                F.abs(c) >= 1e6, F.format_string("%.9e", c).cast("double")).otherwise(F.round(c, digits) + 0.0)
         elif f.dataType.simpleString() == "timestamp":
             c = c.cast("timestamp_ntz")
         out.append(c.alias(f.name))
@@ -85,7 +86,8 @@ def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 def r(sql_expr: str, name: str, digits: int = DIGITS) -> str:
     """The SQL counterpart of ``tidy`` for one column."""
     x = f"CAST(({sql_expr}) AS DOUBLE)"
-    return f"CASE WHEN isnan({x}) OR isinf({x}) THEN {x} ELSE round({x}, {digits}) + 0.0 END AS {name}"
+    return (f"CASE WHEN isnan({x}) OR isinf({x}) THEN {x} WHEN abs({x}) >= 1e6 "
+            f"THEN CAST(printf('%.9e', {x}) AS DOUBLE) ELSE round({x}, {digits}) + 0.0 END AS {name}")
 
 
 def panel_query(name: str, exprs: dict[str, Expr], cols_sql: dict[str, str] | None,
