@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.functions import symbols as sy
-from barloom.functions.expr import close, col, open_, shift, volume
+from barloom.functions.expr import close, shift, volume
 from barloom.functions.ts import ts_mean, ts_std
 from barloom.operators import dataset as ds
 from barloom.operators import eligibility as el
 from barloom.operators import evaluate as ev
 from barloom.operators import processors as pr
-from barloom.plans import intervals as iv
 from barloom.plans.panel import Panel
-from barloom.sources import tables as tb
-from barloom.sources.store import PanelStore, price_range, scaled_panel
 
 from catalog.base import BARS, W, WS, avg_rank, bars, r, register, table, tidy
 from catalog.factors import ENRICHED, enriched
