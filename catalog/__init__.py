@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("operators_basic", "indicators", "factors", "evaluation", "portfolio", "storage")
+MODULES = ("operators_basic", "indicators", "factors", "evaluation", "portfolio", "storage", "events")
 
 
 def load():

@@ -143,9 +143,9 @@ PNL = BARS + f""", tr AS (SELECT CAST(l_suppkey AS VARCHAR) AS vt_symbol, CAST(d
   pd AS (SELECT date, sum(trade_count) AS trade_count, sum(turnover) AS turnover, sum(commission) AS commission, sum(trading_pnl) AS trading_pnl, sum(holding_pnl) AS holding_pnl,
     sum(trading_pnl + holding_pnl) AS total_pnl, sum(trading_pnl + holding_pnl - commission) AS net_pnl FROM pl GROUP BY 1)"""
 CAP = 1e11
-register("pf_daily_pnl", lambda spark, sf: tidy(pnl(spark, sf).select("vt_symbol", "date", "start_pos", "end_pos", "turnover", "commission", "holding_pnl", "trading_pnl", "trade_count"), 4),
-         f"WITH {PNL} SELECT vt_symbol, date, {r('end_pos - pc', 'start_pos', 4)}, {r('end_pos', 'end_pos', 4)}, {r('turnover', 'turnover', 4)}, {r('commission', 'commission', 4)}, "
-         f"{r('holding_pnl', 'holding_pnl', 4)}, {r('trading_pnl', 'trading_pnl', 4)}, trade_count FROM pl")
+register("pf_daily_pnl", lambda spark, sf: tidy(pnl(spark, sf).select("vt_symbol", "date", "start_pos", "end_pos", "turnover", "commission", "holding_pnl", "trading_pnl", "trade_count"), 6),
+         f"WITH {PNL} SELECT vt_symbol, date, {r('end_pos - pc', 'start_pos', 6)}, {r('end_pos', 'end_pos', 6)}, {r('turnover', 'turnover', 6)}, {r('commission', 'commission', 6)}, "
+         f"{r('holding_pnl', 'holding_pnl', 6)}, {r('trading_pnl', 'trading_pnl', 6)}, trade_count FROM pl")
 register("pf_portfolio_pnl", lambda spark, sf: tidy(pf.portfolio_pnl(pnl(spark, sf)), 2), f"WITH {PNL} SELECT date, CAST(trade_count AS BIGINT) AS trade_count, " + ", ".join(
     r(c, c, 2) for c in ("turnover", "commission", "trading_pnl", "holding_pnl", "total_pnl", "net_pnl")) + " FROM pd")
 CURVE = PNL + f""", bal AS (SELECT *, sum(net_pnl) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) + {CAP} AS balance FROM pd),

@@ -262,14 +262,14 @@ register("jn_interval_semi_anti", lambda spark, sf: iv.interval_join(daily(spark
 _iv = lambda spark, sf: pitv(spark, sf).select("ts_code", "profit", "valid_from", "valid_to")
 _adj = lambda spark, sf: pit.merge_adjustment(daily(spark, sf), daily(spark, sf).select("ts_code", "trade_date", (F.year("trade_date") - 1990 + F.month("trade_date") / 12).alias("adj_factor"))).withColumn(
     "pre_close", F.lag("close").over(Window.partitionBy("ts_code").orderBy("trade_date")))
-register("pt_forward_adjusted", lambda spark, sf: tidy(pit.forward_adjusted(_adj(spark, sf)).select("ts_code", "trade_date", "close_qfq", "pct_chg", "amount"), 3), f"""WITH {DAILY},
+register("pt_forward_adjusted", lambda spark, sf: tidy(pit.forward_adjusted(_adj(spark, sf)).select("ts_code", "trade_date", "close_qfq", "pct_chg", "amount"), 4), f"""WITH {DAILY},
   a AS (SELECT *, year(trade_date) - 1990 + month(trade_date) / 12.0::DOUBLE AS adj, lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date) AS pc FROM dl), l AS (SELECT ts_code, arg_max(adj, trade_date) AS la FROM a GROUP BY 1)
-  SELECT ts_code, trade_date, {r('close * (adj / la)', 'close_qfq', 3)}, {r('(close - pc) / pc * 100', 'pct_chg', 3)}, {r('amount * 1000', 'amount', 3)} FROM a JOIN l USING (ts_code)""")
+  SELECT ts_code, trade_date, {r('close * (adj / la)', 'close_qfq', 4)}, {r('(close - pc) / pc * 100', 'pct_chg', 4)}, {r('amount * 1000', 'amount', 4)} FROM a JOIN l USING (ts_code)""")
 register("pt_coverage", lambda spark, sf: pit.coverage(daily(spark, sf)), f"WITH {DAILY} SELECT ts_code, count(*) AS bar_count, min(trade_date) AS first_date, max(trade_date) AS last_date, max(trade_date) = (SELECT max(trade_date) FROM dl) AS is_active FROM dl GROUP BY 1")
 register("pt_threshold_universe", lambda spark, sf: pit.threshold_universe(pit.coverage(daily(spark, sf)), 83).select("ts_code", "bar_count"),
          f"WITH {DAILY} SELECT ts_code, count(*) AS bar_count FROM dl GROUP BY 1 HAVING count(*) >= 83 AND max(trade_date) = (SELECT max(trade_date) FROM dl)")
 register("pt_dynamic_universe", lambda spark, sf: pit.dynamic_universe(daily(spark, sf).where("volume >= 100")), f"WITH {MEMBERS}{_ISL} SELECT vt_symbol AS ts_code, valid_from, valid_to, interval_days FROM isl")
-_ind = lambda spark, sf: table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("ts_code"), F.concat(F.lit("N"), "s_nationkey").alias("industry"), F.explode(F.array(F.lit("1994-01-01"), F.lit("1998-01-01"))).cast("date").alias("in_date")).withColumns(
+_ind = lambda spark, sf: table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("ts_code"), F.concat(F.lit("N"), "s_nationkey").alias("industry"), F.explode(F.array(F.lit("1994-01-01").cast("date"), F.lit("1998-01-01").cast("date"))).alias("in_date")).withColumns(
     {"out_date": F.when(F.year("in_date") == 1994, F.lit("1997-12-31").cast("date")), "industry": F.when(F.year("in_date") == 1998, F.concat("industry", F.lit("b"))).otherwise(F.col("industry"))})
 _last = F.lit("2002-12-31").cast("date")
 register("pt_industry_intervals", lambda spark, sf: pit.industry_intervals(_ind(spark, sf), _last), """SELECT CAST(s_suppkey AS VARCHAR) AS ts_code, 'N' || s_nationkey AS industry, DATE '1994-01-01' AS valid_from, DATE '1997-12-31' AS valid_to FROM supplier
