@@ -24,7 +24,8 @@ def indexed(bars: DataFrame, time: str = "datetime") -> DataFrame:
     keep = [c for c in bars.columns if c not in (time, "vt_symbol")]
     df = Panel(bars, time=time).with_columns({"idx": bar_index(), "__next": shift(col("open"), -1)}, keep=keep)
     ends = bars.groupBy("vt_symbol").agg((F.count("*") - 1).alias("last_idx"))
-    return df.join(ends, "vt_symbol").withColumn("next_open", F.coalesce("__next", "open")).drop("__next")
+    # events meet these rows several times (location, path, exit state): materialise once
+    return durable(df.join(ends, "vt_symbol").withColumn("next_open", F.coalesce("__next", "open")).drop("__next"))
 
 
 def event_paths(events: DataFrame, bars: DataFrame, steps: int, first: int = 0) -> DataFrame:

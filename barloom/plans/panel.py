@@ -28,6 +28,9 @@ from barloom.plans import skew
 from barloom.session import durable
 
 IDX, BLK = "__idx", "__blk"
+# From this many ranks of one date on, one Arrow pass over the (checked, bounded)
+# date replaces a sort of all live columns per rank.
+BULK_RANKS = 4
 KIND = {"roll": 0, "lag": 0, "rowno": 0, "symagg": 1, "running": 1, "scan": 2, "dateagg": 3, "daterank": 3}
 
 
@@ -208,6 +211,11 @@ class _Evaluation:
             names = ([self.symbol] if by_symbol else []) + ([self.time] if by_date else [])
             found = skew.oversized(df, names, self.limit)
             self.hot_symbol, self.hot_date = found.get(self.symbol, False), found.get(self.time, False)
+        # Rolling frames cost far more CPU than bytes, and adaptive execution sizes tasks
+        # by bytes: a small panel would end up on one core. Larger ones are left to it.
+        size = None if self.hot_symbol or self.hot_date else skew.estimated_bytes(df)
+        self.spread = size is not None and size <= skew.SMALL_INPUT_BYTES
+        self.layout = None
         if self.hot_symbol:
             df = durable(skew.with_row_index(df, self.symbol, self.time, self.block, IDX))
         stages = sorted({self.stage[n.uid] for n in work})
@@ -253,6 +261,11 @@ class _Evaluation:
     def _run_stage(self, df: DataFrame, s: int, nodes: list[Expr]) -> DataFrame:
         kind = s % 4
         split = kind == 0 and self.hot_symbol
+        key = self.time if kind == 3 else self.symbol
+        if self.spread and self.layout != key:
+            df = df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+        bulk = kind == 3 and sum(n.op == "daterank" for n in nodes) >= BULK_RANKS
+        self.layout = None if kind == 2 or bulk else key  # grouped maps forget the layout
         parts = [self.symbol]
         if split:
             reach = self._reach(nodes)
@@ -375,16 +388,22 @@ class _Evaluation:
     def _cross_section(self, df: DataFrame, batch: list[Expr]) -> DataFrame:
         if not self.hot_date:
             whole = Window.partitionBy(self.time)
+            ranks = [n for n in batch if n.op == "daterank"]
+            bulk = len(ranks) >= BULK_RANKS
             out = {}
             for n in batch:
                 x = self._c(n.args[0])
                 if n.op == "dateagg":
                     out[self._name(n)] = AGGS[n.params[0]](x).over(whole)
-                else:
-                    ties = F.count(F.lit(1)).over(Window.partitionBy(self.time, x))
-                    rank = F.rank().over(whole.orderBy(x.asc_nulls_last()))
-                    out[self._name(n)] = F.when(x.isNotNull(), rank + (ties - 1) / F.lit(2.0))
-            return df.withColumns(out)
+                elif not bulk:
+                    ordered = whole.orderBy(x.asc_nulls_last())
+                    peers = F.count(F.lit(1)).over(ordered.rangeBetween(0, 0))
+                    out[self._name(n)] = F.when(x.isNotNull(), F.rank().over(ordered) + (peers - 1) / F.lit(2.0))
+            df = df.withColumns(out) if out else df
+            if bulk:
+                feeds = {f"__v{n.uid}": self._c(n.args[0]).cast("double") for n in ranks}
+                df = _rank_groups(df.withColumns(feeds), self.time, df.columns, list(feeds), [self._name(n) for n in ranks])
+            return df
         feeds = {f"__v{n.uid}": self._c(n.args[0]) for n in batch}
         df = durable(df.withColumns(feeds))
         plain = [n for n in batch if n.op == "dateagg" and n.params[0] != "median"]
@@ -424,6 +443,30 @@ def append_columns(table: pa.Table, columns: dict[str, np.ndarray]) -> pa.Table:
     return table
 
 
+def average_rank(values: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    """Average ranks of the present values; NaN is the largest and ties with NaN."""
+    out = np.full(len(values), np.nan)
+    _, place, counts = np.unique(values[~missing], return_inverse=True, return_counts=True)
+    out[~missing] = (np.cumsum(counts) - (counts - 1) / 2.0)[place]
+    return out
+
+
+def _rank_groups(df: DataFrame, group: str, live: list[str], feeds: list[str], names: list[str]) -> DataFrame:
+    """Average ranks of several columns inside each group, in one pass."""
+    fields = [df.schema[c] for c in live] + [T.StructField(n, T.DoubleType()) for n in names]
+
+    def run(rows: pa.Table) -> pa.Table:
+        out = rows.select(live)
+        for feed, name in zip(feeds, names):
+            column = rows[feed]
+            missing = column.is_null().to_numpy()
+            ranks = average_rank(column.fill_null(0.0).to_numpy(), missing)
+            out = out.append_column(name, pa.array(ranks, mask=missing))
+        return out
+
+    return df.select(*dict.fromkeys([*live, *feeds])).groupBy(group).applyInArrow(run, T.StructType(fields))
+
+
 def _scan_groups(df, group, order, live, batch, names, blockwise):
     """Run the recurrences of ``batch`` inside each group (a checked, bounded size)."""
     fields = [df.schema[c] for c in live]

@@ -15,7 +15,7 @@ from barloom.session import durable
 # A group of this many rows is the most one task is asked to hold.
 MAX_GROUP_ROWS = 2_000_000
 # Inputs whose plan statistics stay under this many bytes need no measuring.
-SMALL_INPUT_BYTES = 64 << 20
+SMALL_INPUT_BYTES = 256 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Factor libraries make thousands of Column calls; call-site capture for error
+    # messages costs most of the plan-building time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -31,6 +34,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "bar
     )
 
 
+def quiet_planning(spark: SparkSession) -> None:
+    """Turn call-site capture off in a session someone else built (no effect once it was used)."""
+    try:
+        spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
+    except Exception:  # a server that fixes this setting keeps it
+        pass
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the reliable checkpoint folder.
 

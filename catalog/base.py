@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import Expr
 from barloom.plans.panel import Panel
+from barloom.session import quiet_planning
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,7 +23,12 @@ ORACLE: dict[str, str] = {}
 def register(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
     if name in QUERIES:
         raise ValueError(f"duplicate query {name}")
-    QUERIES[name] = fn
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        quiet_planning(spark)
+        return fn(spark, sf)
+
+    QUERIES[name] = run
     if sql is not None:
         ORACLE[name] = sql
 
