@@ -174,7 +174,18 @@ _X = PATH + """, hit AS (SELECT event_id, 'tp30_stop' AS exit_rule, coalesce(min
 _four = lambda df: df.where("exit_rule <> 'confirm3'")
 register("es_simulate_exits", lambda spark, sf: tidy(_four(exits(spark, sf)).select("event_id", "exit_rule", "exit_reason", "holding_bars", "gross_return", "net_return", "mfe", "mae")),
          f"WITH {_X} SELECT event_id, exit_rule, exit_reason, CAST(e AS INTEGER) AS holding_bars, {r('p / ep - 1', 'gross_return')}, {r('p * 0.998 / (ep * 1.001) - 1', 'net_return')}, {r('rh / ep - 1', 'mfe')}, {r('rl / ep - 1', 'mae')} FROM ex")
-register("es_exit_confirm3", lambda spark, sf: tidy(exits(spark, sf).where("exit_rule = 'confirm3'")))
+_C3 = PATH + """, cf AS (SELECT *, coalesce(max(CASE WHEN step >= 1 AND (close > signal_high OR (close > ef AND r5 >= 50) OR close > em) THEN 1 ELSE 0 END) OVER (PARTITION BY event_id ORDER BY step), 0) = 1 AS ok FROM
+  (SELECT px.*, rs.v AS r5 FROM px JOIN rsi rs ON rs.vt_symbol = px.vt_symbol AND rs.idx = px.entry_idx + px.step)),
+  h3 AS (SELECT event_id, any_value(ep) AS ep, coalesce(min(CASE WHEN step BETWEEN 1 AND last5 AND low <= stop THEN {'s': step, 'e': step, 'p': stop, 'r': 'wide_stop'} WHEN step BETWEEN 1 AND last5 AND high >= ep * 1.5 THEN {'s': step, 'e': step, 'p': ep * 1.5, 'r': 'target_hit'}
+    WHEN step BETWEEN 1 AND last5 AND rh1 >= ep * 1.1 AND close < greatest(ep * 1.002, rh1 - atr * 2.5) THEN {'s': step, 'e': least(step + 1, last_idx - entry_idx), 'p': nxt, 'r': 'profit_protect'}
+    WHEN step BETWEEN 3 AND last5 AND NOT ok THEN {'s': step, 'e': least(step + 1, last_idx - entry_idx), 'p': nxt, 'r': 'unconfirmed_3d_exit'} END),
+    min(CASE WHEN step = last5 THEN {'s': step, 'e': step, 'p': close, 'r': 'timeout'} END)) AS x FROM cf WHERE last5 > 0 GROUP BY 1)"""
+_RSI5 = f""", dx AS (SELECT *, close - lag(close) OVER {WS} AS dd FROM eb), dm AS (SELECT *, avg(greatest(dd, 0)) OVER {W(5)} AS mu, avg(greatest(-dd, 0)) OVER {W(5)} AS md FROM dx),
+  rw AS (SELECT vt_symbol, idx, 0e0 AS u, 0e0 AS w FROM dm WHERE idx = 0 UNION ALL SELECT s.vt_symbol, s.idx, CASE WHEN s.idx < 5 THEN 0e0 WHEN s.idx = 5 THEN s.mu ELSE (p.u * 4 + greatest(s.dd, 0)) / 5 END,
+    CASE WHEN s.idx < 5 THEN 0e0 WHEN s.idx = 5 THEN s.md ELSE (p.w * 4 + greatest(-s.dd, 0)) / 5 END FROM rw p JOIN dm s ON s.vt_symbol = p.vt_symbol AND s.idx = p.idx + 1),
+  rsi AS (SELECT vt_symbol, idx, CASE WHEN idx < 5 THEN CAST('nan' AS DOUBLE) WHEN u + w = 0 THEN 0 ELSE 100 * u / (u + w) END AS v FROM rw)"""
+register("es_exit_confirm3", lambda spark, sf: tidy(exits(spark, sf).where("exit_rule = 'confirm3'").select("event_id", "exit_reason", "holding_bars", "net_return")),
+         f"WITH RECURSIVE {_C3.replace(', cf AS', _RSI5 + ', cf AS', 1)} SELECT event_id, x.r AS exit_reason, CAST(x.e AS INTEGER) AS holding_bars, {r('x.p * 0.998 / (ep * 1.001) - 1', 'net_return')} FROM h3")
 register("es_exit_summary", lambda spark, sf: tidy(pa.exit_summary(_four(exits(spark, sf)))), f"WITH {_X}, n AS (SELECT *, p * 0.998 / (ep * 1.001) - 1 AS nr FROM ex) SELECT exit_rule, count(*) AS trades, {r('avg(nr)', 'mean_return')}, "
          f"{r('quantile_cont(nr, 0.1)', 'p10')}, {r('median(nr)', 'median_return')}, {r('avg(CAST(nr > 0 AS DOUBLE))', 'win_rate')}, {r('avg(CAST(exit_reason = $$target_hit$$ AS DOUBLE))', 'target_rate')}, {r('avg(e)', 'avg_bars')} FROM n GROUP BY 1")
 register("es_reason_shares", lambda spark, sf: tidy(pa.reason_shares(_four(exits(spark, sf)))), f"WITH {_X} SELECT exit_rule, exit_reason, count(*) AS n, {r('avg(p * 0.998 / (ep * 1.001) - 1)', 'mean_return')}, "
@@ -368,7 +379,14 @@ _LG = """tr AS (SELECT CAST(user_id % 50 AS VARCHAR) AS vt_symbol, epoch_us(ts)
 register("sm_position_ledger", lambda spark, sf: tidy(st.position_ledger(trades(spark, sf)).select("vt_symbol", "datetime", "long_td", "long_yd", "long_pos")),
          f"WITH RECURSIVE {_LG} SELECT vt_symbol, datetime, {r('td', 'long_td')}, {r('pos - td', 'long_yd')}, {r('pos', 'long_pos')} FROM wk")
 _pos = lambda spark, sf: orders(spark, sf).select("vt_symbol").distinct().select("vt_symbol", *[(F.col("vt_symbol").cast("int") * k % 30).cast("double").alias(n) for n, k in (("long_td", 3), ("long_yd", 5), ("short_td", 7), ("short_yd", 11))])
-register("sm_frozen_volume", lambda spark, sf: tidy(st.frozen_volume(orders(spark, sf), _pos(spark, sf))))
+_FZ = ORD + """, ps AS (SELECT DISTINCT vt_symbol, CAST(vt_symbol AS INT) * 3 % 30 AS ltd, CAST(vt_symbol AS INT) * 5 % 30 AS lyd, CAST(vt_symbol AS INT) * 7 % 30 AS std, CAST(vt_symbol AS INT) * 11 % 30 AS syd FROM od),
+  ac AS (SELECT vt_symbol, direction, offset_ AS o, volume - traded AS lft FROM la WHERE status IN ('nottraded', 'parttraded')),
+  sm AS (SELECT p.*, """ + ", ".join(f"coalesce((SELECT sum(lft) FROM ac WHERE ac.vt_symbol = p.vt_symbol AND direction = '{d}' AND o = '{o}'), 0) AS {n}" for d, o, n in (
+    ("short", "closetoday", "lt"), ("short", "closeyesterday", "ly"), ("short", "close", "lc"), ("long", "closetoday", "st"), ("long", "closeyesterday", "sy"), ("long", "close", "sc"))) + """ FROM ps p),
+  sp AS (SELECT *, least(lc, greatest(0, lt + lc - ltd)) AS lx, least(sc, greatest(0, st + sc - std)) AS sx FROM sm),
+  fz AS (SELECT vt_symbol, least(lt + lc - lx, ltd) AS a, least(ly + lx, lyd) AS b, least(st + sc - sx, std) AS c, least(sy + sx, syd) AS d FROM sp)"""
+register("sm_frozen_volume", lambda spark, sf: tidy(st.frozen_volume(orders(spark, sf), _pos(spark, sf))),
+         f"WITH {_FZ} SELECT vt_symbol, {r('a', 'long_td_frozen')}, {r('b', 'long_yd_frozen')}, {r('c', 'short_td_frozen')}, {r('d', 'short_yd_frozen')}, {r('a + b', 'long_pos_frozen')}, {r('c + d', 'short_pos_frozen')} FROM fz")
 
 
 def streamed(spark, sf):
@@ -382,7 +400,9 @@ def streamed(spark, sf):
     return spark.read.parquet(f"{root}/bars")
 
 
-register("sm_stream_minute_bars", lambda spark, sf: tidy(streamed(spark, sf)))
+# append mode holds back the minutes the final watermark (last tick - 2 minutes) has not passed
+register("sm_stream_minute_bars", lambda spark, sf: tidy(streamed(spark, sf).withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))),
+         f"WITH {TICKS} SELECT vt_symbol, datetime, {_mb} FROM mb WHERE datetime + INTERVAL 1 MINUTE <= (SELECT max(datetime) FROM ts) - INTERVAL 2 MINUTE")
 
 
 # ----------------------------------------------------------------------- models

@@ -12,7 +12,7 @@ from barloom.plans.panel import Panel
 
 from catalog.base import BARS, W, WS, bars, panel_query, register, table, tidy
 from catalog.operators_basic import corr_sql, full
-from catalog.sqlgen import family_sql
+from catalog.sqlgen import COMPARISONS, family_sql
 
 
 def enriched(spark, sf):
@@ -60,7 +60,14 @@ ENRICHED = BARS + """, e0 AS (SELECT b.*, s_nationkey FROM bars b JOIN supplier
 
 def family_query(name, factors, rich=False, digits=7):
     frame = enriched if rich else bars
-    register(name, lambda spark, sf: tidy(extract(Panel(frame(spark, sf)), factors), digits),
+    flags = {f.name for f in factors if f.expr.op == "map" and f.expr.params[0].__name__ in COMPARISONS}
+
+    def run(spark, sf):
+        df = extract(Panel(frame(spark, sf)), factors)
+        counts = {f.name: F.col(f.name).cast("double") for f in factors if f.name not in flags}
+        return tidy(df.withColumns(counts) if counts else df, digits)
+
+    register(name, run,
              family_sql(expressions(factors), ENRICHED if rich else BARS, "enriched" if rich else "bars", digits))
 
 

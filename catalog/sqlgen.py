@@ -56,7 +56,7 @@ MAPS = {
     "_show_null": lambda s, n, y: f"CASE WHEN {s} >= {n} THEN {y} END",
     "_mean_skipping_null": lambda *xs: f"list_avg([{', '.join(_d(x) for x in xs)}])",
 }
-AGG = {"list": "list", "product": "product", "avg": "avg", "stddev_pop": "stddev_pop", "stddev_samp": "stddev_samp"}
+COMPARISONS = {"_gt", "_ge", "_lt", "_le"}
 PART, BY_TIME = "PARTITION BY vt_symbol", "ORDER BY datetime"
 
 
@@ -130,8 +130,7 @@ def family_sql(exprs: dict[str, Expr], base: str = BARS, source: str = "bars", d
             keep = ", ".join(f"w.n{e.uid}" for e in scans)
             ctes.append(f"j{d} AS MATERIALIZED (SELECT t.*, {keep} FROM {last} t JOIN w{d} w USING (vt_symbol, datetime))")
             last = f"j{d}"
-    ints = {"_gt", "_ge", "_lt", "_le"}
     cols = ", ".join(
-        f"{ref(e)} AS {name}" if e.op == "map" and e.params[0].__name__ in ints else r(ref(e), name, digits)
+        f"{ref(e)} AS {name}" if e.op == "map" and e.params[0].__name__ in COMPARISONS else r(ref(e), name, digits)
         for name, e in exprs.items())
     return f"WITH RECURSIVE {', '.join(ctes)} SELECT vt_symbol, datetime, {cols} FROM {last}"
