@@ -271,11 +271,11 @@ register("pt_threshold_universe", lambda spark, sf: pit.threshold_universe(pit.c
 register("pt_dynamic_universe", lambda spark, sf: pit.dynamic_universe(daily(spark, sf).where("volume >= 100")), f"WITH {MEMBERS}{_ISL} SELECT vt_symbol AS ts_code, valid_from, valid_to, interval_days FROM isl")
 _ind = lambda spark, sf: table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("ts_code"), F.concat(F.lit("N"), "s_nationkey").alias("industry"), F.explode(F.array(F.lit("1994-01-01").cast("date"), F.lit("1998-01-01").cast("date"))).alias("in_date")).withColumns(
     {"out_date": F.when(F.year("in_date") == 1994, F.lit("1997-12-31").cast("date")), "industry": F.when(F.year("in_date") == 1998, F.concat("industry", F.lit("b"))).otherwise(F.col("industry"))})
-_last = F.lit("2002-12-31").cast("date")
-register("pt_industry_intervals", lambda spark, sf: pit.industry_intervals(_ind(spark, sf), _last), """SELECT CAST(s_suppkey AS VARCHAR) AS ts_code, 'N' || s_nationkey AS industry, DATE '1994-01-01' AS valid_from, DATE '1997-12-31' AS valid_to FROM supplier
+_last = lambda: F.lit("2002-12-31").cast("date")
+register("pt_industry_intervals", lambda spark, sf: pit.industry_intervals(_ind(spark, sf), _last()), """SELECT CAST(s_suppkey AS VARCHAR) AS ts_code, 'N' || s_nationkey AS industry, DATE '1994-01-01' AS valid_from, DATE '1997-12-31' AS valid_to FROM supplier
   UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'N' || s_nationkey || 'b', DATE '1998-01-01', DATE '2002-12-31' FROM supplier""")
 _wt = lambda spark, sf: daily(spark, sf).where("month(trade_date) in (3, 9) and volume > 80").select(F.lit("IDX").alias("index_code"), "ts_code", "trade_date", (F.col("volume") / 10).alias("weight"))
-register("pt_weight_intervals", lambda spark, sf: tidy(pit.weight_intervals(_wt(spark, sf), _last)), f"""WITH {DAILY}, s AS (SELECT trade_date, coalesce(lead(trade_date) OVER (ORDER BY trade_date) - 1, DATE '2002-12-31') AS valid_to
+register("pt_weight_intervals", lambda spark, sf: tidy(pit.weight_intervals(_wt(spark, sf), _last())), f"""WITH {DAILY}, s AS (SELECT trade_date, coalesce(lead(trade_date) OVER (ORDER BY trade_date) - 1, DATE '2002-12-31') AS valid_to
   FROM (SELECT DISTINCT trade_date FROM dl WHERE month(trade_date) IN (3, 9) AND volume > 80)) SELECT 'IDX' AS index_code, ts_code, trade_date AS valid_from, valid_to, {r('volume / 10', 'weight')} FROM dl JOIN s USING (trade_date) WHERE volume > 80""")
 
 
@@ -285,7 +285,7 @@ def research(spark, sf):
     lim = d.select("ts_code", "trade_date", (F.lag("close").over(w) * 1.1).alias("up_limit"), (F.lag("close").over(w) * 0.9).alias("down_limit"))
     stock = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("ts_code"), F.lit("1996-01-01").cast("date").alias("list_date"), F.lit(None).cast("date").alias("delist_date"))
     return pit.research_panel(d, d.select("ts_code", "trade_date", (F.col("close") / 1000).alias("pb")), lim, stock, pit.coverage(d), _iv(spark, sf),
-                              pit.industry_intervals(_ind(spark, sf), _last), {"idx": pit.weight_intervals(_wt(spark, sf), _last)}, 83)
+                              pit.industry_intervals(_ind(spark, sf), _last()), {"idx": pit.weight_intervals(_wt(spark, sf), _last())}, 83)
 
 
 register("pt_research_panel", lambda spark, sf: tidy(research(spark, sf).select("ts_code", "trade_date", "pb", "fi_profit", "industry", "idx_weight", "is_idx", "is_limit_up", "vwap", "has_valid_bar", "is_list_life_valid", "has_enough_bars", "year")),

@@ -1,5 +1,9 @@
 """The driver contract: registered names, SQL for known queries only, a stable flagship."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import __spark_entry__ as entry
 
 
@@ -10,3 +14,8 @@ def test_every_sql_belongs_to_a_query():
 def test_flagship_has_rows_and_schema(spark):
     df = entry.entry(spark)
     assert {"datetime", "factor_name", "label_name", "ic", "spread"} <= set(df.columns) and df.count() > 0
+
+
+def test_queries_load_without_a_session():
+    code = "import __spark_entry__ as e; e.queries(); assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent, timeout=120)
