@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, counts, quality, secrets, simhash
+from barloom.llm import bpe, counts, quality, secrets, simhash, substring
 from barloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,10 @@ def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring.removal(table(spark, sf, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -34,4 +38,4 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(table(spark, sf, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op3_simhash_near_dedup, op4_secret_scans, op6_token_counts, op9_quality_rules)}
+QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op3_simhash_near_dedup, op4_secret_scans, op5_substring_dedup, op6_token_counts, op9_quality_rules)}
