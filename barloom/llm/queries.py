@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, counts, quality, secrets, simhash, substring
-from barloom.llm.common import table
+from barloom.llm import bpe, counts, licenses, quality, secrets, simhash, substring, warc
+from barloom.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,8 +34,19 @@ def op4_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan(table(spark, sf, "documents"))
 
 
+def op8_license_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.recognise(table(spark, sf, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(table(spark, sf, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op3_simhash_near_dedup, op4_secret_scans, op5_substring_dedup, op6_token_counts, op9_quality_rules)}
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark)
+    warc.write_archive(table(spark, sf, "pages"), path)
+    return warc.describe(warc.read_archive(spark, path))
+
+
+QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op3_simhash_near_dedup, op4_secret_scans, op5_substring_dedup, op6_token_counts, op8_license_scans,
+                                     op9_quality_rules, op10_warc)}
