@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, counts, licenses, quality, secrets, simhash, substring, warc
+from barloom.llm import bpe, counts, licenses, quality, secrets, simhash, substring, vafile, warc
 from barloom.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op2_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    return vafile.top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
@@ -48,5 +53,5 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.describe(warc.read_archive(spark, path))
 
 
-QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op3_simhash_near_dedup, op4_secret_scans, op5_substring_dedup, op6_token_counts, op8_license_scans,
+QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_exact_top_k, op3_simhash_near_dedup, op4_secret_scans, op5_substring_dedup, op6_token_counts, op8_license_scans,
                                      op9_quality_rules, op10_warc)}
