@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, counts, licenses, quality, secrets, simhash, substring, vafile, warc
+from barloom.llm import bpe, counts, licenses, packing, quality, secrets, simhash, substring, vafile, warc
 from barloom.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,10 @@ def op4_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan(table(spark, sf, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(packing.by_words(table(spark, sf, "documents")), [512, 1024, 2048, 4096])
+
+
 def op8_license_scans(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.recognise(table(spark, sf, "documents"))
 
@@ -53,5 +57,5 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.describe(warc.read_archive(spark, path))
 
 
-QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_exact_top_k, op3_simhash_near_dedup, op4_secret_scans, op5_substring_dedup, op6_token_counts, op8_license_scans,
+QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_exact_top_k, op3_simhash_near_dedup, op4_secret_scans, op5_substring_dedup, op6_token_counts, op7_best_fit_packing, op8_license_scans,
                                      op9_quality_rules, op10_warc)}

@@ -12,6 +12,14 @@ whose prefixes differ within the budget are joined, and each pair is walked on
 its own with numpy. A task gives back a spanning forest of the links it found,
 never all pairs of a group; the forests are merged by contraction on Spark.
 
+``groups`` is one trie over 64 bits with a fixed budget. Four bits are little:
+texts that share 0.8 of their shingles differ in about ten of 64. ``similar``
+links by similarity instead: several fingerprints (lanes) with different seeds,
+a trie self-join over the leading bits of each, and a link where all bits of all
+lanes together agree as texts of that similarity do. The number of leading bits
+and of lanes follow from the number of rows, so that chance meetings per row and
+the share of links found stay the same at every size.
+
 Defined cases: null and blank texts have no shingle and fingerprint zero, and
 link like any other; a shorter text than a shingle is one shingle. Rows without
 doc_id get their fingerprint and a null component and link nothing. Repeated
@@ -20,12 +28,14 @@ rows share a component. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import stored
@@ -42,37 +52,43 @@ FRONT = 1 << 19
 SLICE = 1 << 16
 
 
-def fingerprint(text: str, size: int) -> int:
+def fingerprint(text: str, size: int, lanes: int = 1) -> np.ndarray:
+    """One unsigned number a lane; lane i hashes with seed ``SEED + i``."""
     words = text.encode().lower().split()  # bytes: A-Z only, and blanks are \x20 and \x09 to \x0D
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(lanes, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if n <= size:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED + i) for i in range(lanes)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:n - size] + 1])
-    total, set_bits = n - size + 1, np.zeros(64, np.int64)
+    total, set_bits = n - size + 1, np.zeros((lanes, 64), np.int64)
     for i in range(0, total, SLICE):
-        some = [digest(joined[a:b], SEED) for a, b in zip(starts[i:i + SLICE].tolist(), ends[i + size - 1:i + size - 1 + SLICE].tolist())]
-        raw = np.array(some, np.dtype("<u8")).view(np.uint8).reshape(-1, 8)
-        set_bits += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > total, bitorder="little").view("<u8")[0])
+        some = [joined[a:b] for a, b in zip(starts[i:i + SLICE].tolist(), ends[i + size - 1:i + size - 1 + SLICE].tolist())]
+        for lane in range(lanes):
+            raw = np.array([digest(x, SEED + lane) for x in some], np.dtype("<u8")).view(np.uint8).reshape(-1, 8)
+            set_bits[lane] += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * set_bits > total, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and fp (64 bits as a long) of every row."""
+def fingerprints(docs: DataFrame, size: int, lanes: int = 1) -> DataFrame:
+    """doc_id and fp (an array of 64 bits a lane, as longs) of every row."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t or "", size) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = [fingerprint(t or "", size, lanes) for t in batch.column("text").to_pylist()]
+            flat = np.concatenate(fp).view(np.int64) if fp else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, lanes, np.int32)), pa.array(flat))], ["doc_id", "fp"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, fp array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
+def walk(a: np.ndarray, b: np.ndarray, same: bool, depth: int, budget: int, bits: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i of a, j of b) whose leading ``bits`` differ within the budget.
 
-def walk(a: np.ndarray, b: np.ndarray, same: bool, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i of a, j of b) within the budget; a and b are sorted subtrees at ``depth``, the same one if ``same``."""
+    a and b are sorted subtrees at ``depth``, the same one if ``same``.
+    """
     if not len(a) or not len(b):
         return
     ones_a, ones_b = {}, {}
@@ -93,9 +109,9 @@ def walk(a: np.ndarray, b: np.ndarray, same: bool, depth: int, budget: int) -> I
             alo, ahi, blo, bhi, used = alo[:half], ahi[:half], blo[:half], bhi[:half], used[:half]
             stack.append((d, alo, ahi, blo, bhi, used))
             continue
-        small = ((ahi - alo) * (bhi - blo) <= LEAVES) | (d == 64)
+        small = ((ahi - alo) * (bhi - blo) <= LEAVES) | (d == bits)
         if small.any():
-            yield from _leaves(a, b, same, alo[small], ahi[small], blo[small], bhi[small], budget)
+            yield from _leaves(a, b, same, alo[small], ahi[small], blo[small], bhi[small], budget, bits)
             big = ~small
             alo, ahi, blo, bhi, used = alo[big], ahi[big], blo[big], bhi[big], used[big]
         if not len(alo):
@@ -115,7 +131,7 @@ def walk(a: np.ndarray, b: np.ndarray, same: bool, depth: int, budget: int) -> I
         stack.append((d + 1, *(np.concatenate(x) for x in zip(*out))))
 
 
-def _leaves(a, b, same, alo, ahi, blo, bhi, budget) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _leaves(a, b, same, alo, ahi, blo, bhi, budget, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Compare all leaf pairs of small node pairs."""
     wide = bhi - blo
     n = (ahi - alo) * wide
@@ -124,23 +140,26 @@ def _leaves(a, b, same, alo, ahi, blo, bhi, budget) -> Iterator[tuple[np.ndarray
         pair = np.repeat(np.arange(len(n[at])), n[at])
         k = np.arange(len(pair)) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
         i, j = alo[at][pair] + k // wide[at][pair], blo[at][pair] + k % wide[at][pair]
-        hit = np.bitwise_count(a[i] ^ b[j]) <= budget
+        hit = np.bitwise_count((a[i] ^ b[j]) >> np.uint64(64 - bits)) <= budget
         if same:
             hit &= i != j
         if hit.any():
             yield i[hit], j[hit]
 
 
-def links(distinct: DataFrame, budget: int) -> DataFrame:
-    """Spanning links (u, v) of doc_id between distinct fingerprints (fp, d) within ``budget`` bits."""
-    n = distinct.count()
-    bits = max(0, int(np.ceil(np.log2(max(1, n / BLOCK)))))
-    prefix = F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = distinct.select("fp", "d", prefix.alias("p"))
+def links(distinct: DataFrame, n: int, lane: int, budget: int, bits: int = 64, total: int | None = None) -> DataFrame:
+    """Spanning links (u, v) of doc_id between ``n`` distinct fingerprints (fp, d).
+
+    Two link if the leading ``bits`` of ``lane`` differ in at most ``budget``
+    and, where ``total`` is given, all lanes together in at most ``total`` bits.
+    """
+    cut = min(bits, max(0, int(np.ceil(np.log2(max(1, n / BLOCK))))))
+    key = F.get("fp", F.lit(lane))
+    rows = distinct.select("fp", "d", (F.shiftrightunsigned(key, 64 - cut) if cut else F.lit(0).cast("long")).alias("p"))
     sizes = rows.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
     blocks = stored(rows.join(sizes, "p").select("p", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("c"), F.struct("fp", "d").alias("x"))
-                    .groupBy("p", "c").agg(F.array_sort(F.collect_list("x")).alias("x")))
-    masks = [m for m in range(1 << bits) if m.bit_count() <= budget]
+                    .groupBy("p", "c").agg(F.collect_list("x").alias("x")))
+    masks = [m for m in range(1 << cut) if m.bit_count() <= budget]
     own = blocks.select("p", "c")
     after = own.groupBy("p").agg((F.max("c") + 1).alias("chunks"))
     pairs = own.select("p", "c", F.explode(F.lit(masks).cast("array<long>")).alias("m")).select("p", "c", F.col("p").bitwiseXOR(F.col("m")).alias("q"))
@@ -149,7 +168,7 @@ def links(distinct: DataFrame, budget: int) -> DataFrame:
     even = (F.col("p") + F.col("q") + F.col("c") + F.col("e")) % 2 == 0
     lower = F.struct("p", "c") < F.struct(F.col("q").alias("p"), F.col("e").alias("c"))
     pairs = pairs.where(((F.col("p") == F.col("q")) & (F.col("c") == F.col("e"))) | (even == lower))
-    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << bits)
+    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << cut)
     left = pairs.join(blocks.withColumnRenamed("x", "a"), ["p", "c"]).repartition(parts, "q", "e")
     right = blocks.select(F.col("p").alias("q"), F.col("c").alias("e"), F.col("x").alias("b")).repartition(parts, "q", "e")
     both = left.join(right, ["q", "e"]).select((F.struct("p", "c") == F.struct(F.col("q").alias("p"), F.col("e").alias("c"))).alias("same"), "a", "b")
@@ -158,11 +177,14 @@ def links(distinct: DataFrame, budget: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 same = batch.column("same")[row].as_py()
-                (fa, da), (fb, db) = (_columns(batch.column(k)[row].values) for k in ("a", "b"))
+                (fa, da), (fb, db) = (_columns(batch.column(k)[row].values, lane) for k in ("a", "b"))
                 # both subtrees share one numbering: b comes after a
-                parent = np.arange(len(fa) + (0 if same else len(fb)))
-                for i, j in walk(fa, fb, same, bits, budget):
-                    merge(parent, i, j if same else j + len(fa))
+                parent = np.arange(len(da) + (0 if same else len(db)))
+                for i, j in walk(fa[:, lane].copy(), fb[:, lane].copy(), same, cut, budget, bits):
+                    if total is not None:
+                        near = np.bitwise_count(fa[i] ^ fb[j]).sum(axis=1, dtype=np.int64) <= total
+                        i, j = i[near], j[near]
+                    merge(parent, i, j if same else j + len(da))
                 ids = da if same else np.concatenate([da, db])
                 at = forest(parent)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[parent[at]])], ["u", "v"])
@@ -170,24 +192,74 @@ def links(distinct: DataFrame, budget: int) -> DataFrame:
     return both.mapInArrow(work, "u long, v long")
 
 
-def _columns(x: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints in trie order (unsigned) with their doc_id."""
-    fp = x.field("fp").to_numpy().view(np.uint64)
-    order = np.argsort(fp)
+def _columns(x: pa.StructArray, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints (unsigned, a column a lane) in the trie order of one lane, with their doc_id."""
+    fp = x.field("fp").flatten().to_numpy().view(np.uint64).reshape(len(x), -1)
+    order = np.argsort(fp[:, lane], kind="stable")
     return fp[order], x.field("d").to_numpy()[order]
 
 
+def _classes(marked: DataFrame, lanes: int, find) -> DataFrame:
+    """Rows of ``marked`` (doc_id, fp) with component_id; ``find`` gives the links of distinct fingerprints and their number."""
+    kind = dict(marked.dtypes)["doc_id"]
+    named = marked.select("doc_id", *(F.get("fp", F.lit(i)).alias(f"f{i}") for i in range(lanes)))
+    keys = [f"f{i}" for i in range(lanes)]
+    one = named.where("doc_id IS NOT NULL").groupBy(*keys).agg(F.min(F.col("doc_id").cast("long")).alias("d"))
+    distinct = stored(one.select(F.array(*keys).alias("fp"), "d"))
+    found = components(find(distinct, distinct.count()))
+    classes = distinct.join(found, distinct.d == found.node, "left").select(
+        *(F.get("fp", F.lit(i)).alias(f"f{i}") for i in range(lanes)), F.coalesce("label", "d").cast(kind).alias("component_id"))
+    return named.join(classes, keys, "left").select(
+        "doc_id", F.array(*keys).alias("fp"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def groups(docs: DataFrame, size: int = 4, budget: int = 4) -> DataFrame:
     """Per row: doc_id, fp and component_id, the smallest doc_id that links lead to."""
-    marked = stored(fingerprints(docs, size))
-    kind = dict(docs.dtypes)["doc_id"]
-    distinct = stored(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("d")))
-    found = components(links(distinct, budget))
-    classes = distinct.join(found, distinct.d == found.node, "left").select("fp", F.coalesce("label", "d").cast(kind).alias("component_id"))
-    return marked.join(classes, "fp", "left").select(
-        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return _classes(stored(fingerprints(docs, size)), 1, lambda distinct, n: links(distinct, n, 0, budget))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``groups`` with the fingerprint as 16 hexadecimal digits."""
-    return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return groups(docs).select("doc_id", F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def differing_share(similarity: float) -> float:
+    """Share of bits in which texts of a given Jaccard similarity differ on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def lane_plan(n: int, similarity: float, budget: int = 4, found: float = 0.97) -> tuple[int, int]:
+    """Leading bits and lanes for ``n`` rows: chance meetings per row stay level, and ``found`` of the links are met."""
+    bits = min(64, max(1, math.ceil(math.log2(max(2, n)))) + 10)
+    p = differing_share(similarity)
+    hit = sum(math.comb(bits, i) * p ** i * (1 - p) ** (bits - i) for i in range(budget + 1))
+    return bits, max(1, math.ceil(math.log(1 - found) / math.log(1 - hit)))
+
+
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, margin: float = 0.06, budget: int = 4) -> DataFrame:
+    """Per row: doc_id, fp (a number a lane) and component_id by links of ``similarity`` or more.
+
+    Similarity is estimated from all lanes, with ``margin`` for the estimate's spread.
+    """
+    bits, lanes = lane_plan(docs.count(), similarity, budget)
+    lanes = max(lanes, 4)  # 256 bits at least, for the estimate
+    total = math.floor(64 * lanes * differing_share(similarity - margin))
+
+    def find(distinct: DataFrame, n: int) -> DataFrame:
+        return reduce(DataFrame.union, (links(distinct, n, lane, budget, bits, total) for lane in range(lanes)))
+
+    return _classes(stored(fingerprints(docs, size, lanes)), lanes, find)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of each component of ``similar`` the one with the smallest doc_id.
+
+    Rows that repeat a doc_id count as copies of one document: the one whose text
+    has the smallest hash stays. Rows without doc_id stay.
+    """
+    marked = similar(docs)
+    keep = marked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    own = Window.partitionBy("doc_id").orderBy("order")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("order"), F.struct(*docs.columns).alias("row"))
+    first = rows.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").withColumn("r", F.row_number().over(own)).where("r = 1")
+    return first.select("row").union(rows.where("doc_id IS NULL").select("row")).select("row.*")
