@@ -69,7 +69,7 @@ TAG = "SPDX-License-Identifier:[\\x20\\x09]*([A-Za-z0-9.+-]+)"
 BREAK = "\\n[\\x20\\x09]*(?:#|//|[*]|--)?[\\x20\\x09]*"
 #: Sentences end at a stop before a blank, at an empty line, and after a copyright line.
 STOP = "[.;:!?][\\x20\\x09-\\x0D]+"
-COPYRIGHT = "(?:^|(?<=\\n))([^\\n]*[Cc]opyright (?:[(][Cc][)]|\u00a9|[0-9])[^\\n]*)\\n"
+COPYRIGHT = "(?m)^([^\\n]*[Cc]opyright (?:[(][Cc][)]|\u00a9|[0-9])[^\\n]*)\\n"
 
 
 def normal(sentence: Column) -> Column:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import bpe, counts, licenses, packing, quality, secrets, simhash, substring, vafile, warc
 from barloom.llm.common import shared_folder, table
+from barloom.llm.sql import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +48,8 @@ def op8_license_scans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.quality(table(spark, sf, "documents"))
+    return quality.quality(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,3 +60,5 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_exact_top_k, op3_simhash_near_dedup, op4_secret_scans, op5_substring_dedup, op6_token_counts, op7_best_fit_packing, op8_license_scans,
                                      op9_quality_rules, op10_warc)}
+
+__all__ = ["ORACLE", "QUERIES"]

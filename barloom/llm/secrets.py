@@ -161,12 +161,13 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     new = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step,
                       lambda a: F.concat(F.array_join(a["out"], ""), F.substr("t", a["at"] + 1)))
+    inner = inner.withColumn("new", F.when(F.size("spans") > 0, new))
     out = []
     for i, name in enumerate(columns):
         value = F.col(f"c_{i}")
         if name == "text":
-            value = F.when(F.size("spans") > 0, new).otherwise(value)
+            value = F.coalesce("new", value)
         elif name == "n_chars":
-            value = F.when(F.size("spans") > 0, F.length(new)).otherwise(value).cast(docs.schema["n_chars"].dataType)
+            value = F.coalesce(F.length("new"), value).cast(docs.schema["n_chars"].dataType)
         out.append(value.alias(name))
     return inner.select(*out)
