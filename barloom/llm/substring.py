@@ -10,9 +10,10 @@ matter, and they come in long paths, so paths are matched first:
 2. Paths. Consecutive edges of a document with one anchor compact into a path,
    named by a 128-bit digest of its words. A join on digests finds the smallest
    document that runs through the whole path; later ones repeat all its edges.
-3. Edges. A path's first document may still share part of it with an earlier
-   document whose own path branches off. Only these first holders are taken
-   apart into edges (96-bit digests), and a join finds each edge's first source.
+3. Edges. Where different paths meet in one anchor the graph branches: a path's
+   first document may still share part of it with an earlier document. Only these
+   first holders are taken apart into edges (96-bit digests), and a join finds
+   each edge's first source.
 4. Spans. Repeated edges and paths carry the coordinates of their source; those
    that run on at one distance from it compact into spans.
 
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stored
+from barloom.llm.common import release, stored
 
 LENGTH = 50
 SHINGLE = 8
@@ -91,19 +92,40 @@ def _bounds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], ends[:-1] + 1]), ends
 
 
+def _path_digests(joined: bytes, a: np.ndarray, b: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> list[bytes]:
+    """128-bit digest of the words of each path."""
+    digest = xxhash.xxh3_128_digest
+    return [digest(joined[i:j]) for i, j in zip(a[start].tolist(), b[start + size + length - 2].tolist())]
+
+
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+    """d, k and the anchors m with 64 bits of their paths' digests, each once a document."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(anchors(t.encode().split(), length)) for t in batch.column("text").to_pylist()]
-            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            m = np.concatenate(found) if found else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("d").take(pa.array(at)), batch.column("k").take(pa.array(at)), pa.array(m.view(np.int64))], ["d", "k", "m"])
+            at, found = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                words = text.encode().split()
+                m = anchors(words, length)
+                if len(m):
+                    start, size = runs(m)
+                    paths = _path_digests(b" ".join(words), *_bounds(words), start, size, length)
+                    both = np.stack([m[start].view(np.int64), np.frombuffer(b"".join(paths), np.int64)[::2]], axis=1)
+                    found.append(np.unique(both, axis=0))
+                    at.append(np.full(len(found[-1]), i))
+            if found:
+                both, at = np.concatenate(found), pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([batch.column("d").take(at), batch.column("k").take(at), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["d", "k", "m", "p"])
 
-    return docs.mapInArrow(work, "d long, k long, m long")
+    return docs.mapInArrow(work, "d long, k long, m long, p long")
 
 
 def _path_rows(docs: DataFrame, length: int) -> DataFrame:
-    """Paths of the documents whose anchor is in ``shared`` (docs: d, k, text, shared), with the digests of their edges side by side."""
+    """Paths with a shared anchor (docs: d, k, text, shared); digests of the edges side by side where the anchor branches.
+
+    later: an earlier document has the anchor.
+    """
+    types = {"d": pa.int64(), "k": pa.int64(), "s": pa.int32(), "n": pa.int32(), "path": pa.binary(), "later": pa.bool_(), "edges": pa.binary()}
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
@@ -112,19 +134,18 @@ def _path_rows(docs: DataFrame, length: int) -> DataFrame:
                 words = text.encode().split()
                 m = anchors(words, length)
                 start, size = runs(m)
-                use = np.isin(m[start], shared.values.to_numpy().view(np.uint64))
-                if not use.any():
-                    continue
-                joined = b" ".join(words)
-                a, b = _bounds(words)
-                for s, n in zip(start[use].tolist(), size[use].tolist()):
-                    edges = b"".join([digest(joined[i:j])[:EDGE] for i, j in zip(a[s:s + n].tolist(), b[s + length - 1:s + length - 1 + n].tolist())])
-                    out.append((d, k, s, n, digest(joined[a[s]:b[s + n + length - 2]]), edges))
+                known = {v: (x, y) for v, x, y in zip(*(shared.values.field(c).to_pylist() for c in ("m", "branches", "later")))}
+                use = [i for i, v in enumerate(m[start].view(np.int64).tolist()) if v in known]
+                joined, (a, b) = b" ".join(words), _bounds(words)
+                start, size = start[use], size[use]
+                for v, s, n, path in zip(m[start].view(np.int64).tolist(), start.tolist(), size.tolist(), _path_digests(joined, a, b, start, size, length)):
+                    branches, later = known[v]
+                    edges = b"".join([digest(joined[i:j])[:EDGE] for i, j in zip(a[s:s + n].tolist(), b[s + length - 1:s + length - 1 + n].tolist())]) if branches else None
+                    out.append((d, k, s, n, path, later, edges))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
-                                                 ["d", "k", "s", "n", "path", "edges"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types.values())], list(types))
 
-    return docs.mapInArrow(work, "d long, k long, s int, n int, path binary, edges binary")
+    return docs.mapInArrow(work, "d long, k long, s int, n int, path binary, later boolean, edges binary")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -132,24 +153,29 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     src is the smallest doc_id that holds the span's part and src_s a place in it.
     """
+    spark = docs.sparkSession
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), F.col("text").cast("string").alias("text"))
     marks = stored(_anchor_rows(rows, length))
-    shared = marks.groupBy("m").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("m")
-    lists = stored(marks.join(shared, "m").groupBy("d", "k").agg(F.collect_set("m").alias("shared")))
+    shared = marks.groupBy("m").agg(F.min("d").alias("a"), F.max("d").alias("b"), (F.min("p") < F.max("p")).alias("branches")).where("a < b")
+    lists = stored(marks.select("m", "d", "k").join(shared.select("m", "a", "branches"), "m").groupBy("d", "k").agg(
+        F.collect_set(F.struct("m", "branches", (F.col("d") > F.col("a")).alias("later"))).alias("shared")))
+    release(spark)
     paths = stored(_path_rows(rows.join(lists, ["d", "k"]).select("d", "k", "text", "shared"), length))
-    first = stored(paths.groupBy("path").agg(F.min(F.struct("d", "s")).alias("o")))
-    named = paths.select("d", "k", "s", "n", "path").join(first, "path").where(F.col("d") > F.col("o.d"))
-    whole = named.select("d", "k", "s", "n", F.col("o.d").alias("src"), F.col("o.s").alias("src_s"))
-    # first holders, taken apart
-    heads = paths.join(first.select("path", F.col("o.d").alias("d")), ["path", "d"]).select("d", "k", "s", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substr("edges", i * EDGE + 1, F.lit(EDGE)))).alias("i", "edge"))
-    edges = stored(heads.select("edge", "d", "k", (F.col("s") + F.col("i")).alias("s")))
-    source = edges.groupBy("edge").agg(F.min(F.struct("d", "s")).alias("o"), F.max("d").alias("last")).where("o.d < last")
-    single = edges.join(source, "edge").where(F.col("d") > F.col("o.d")).select(
-        "d", "k", "s", F.lit(1).alias("n"), F.col("o.d").alias("src"), F.col("o.s").alias("src_s"))
-    pieces = whole.union(single)
-    return _spans(pieces, length)
+    release(spark)
+    first = stored(paths.groupBy("path").agg(F.min("d").alias("src"), F.min_by("s", "d").alias("src_s"), F.max("d").alias("last")))
+    whole = paths.select("d", "k", "s", "n", "path").join(first.where("src < last").select("path", "src", "src_s"), "path").where(
+        F.col("d") > F.col("src")).select("d", "k", "s", "n", "src", "src_s")
+    # first holders of branching anchors, taken apart
+    heads = stored(paths.where("edges IS NOT NULL").select("path", F.col("d").alias("src"), "k", "s", "n", "later", "edges").join(
+        first.select("path", "src"), ["path", "src"]).select(F.col("src").alias("d"), "k", "s", "n", "later", "edges"))
+    release(spark)
+    apart = heads.select("d", "k", "s", "later", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substr("edges", i * EDGE + 1, F.lit(EDGE)))).alias("i", "edge")).withColumn("s", F.col("s") + F.col("i"))
+    source = apart.groupBy("edge").agg(F.min("d").alias("src"), F.min_by("s", "d").alias("src_s"), F.max("d").alias("last")).where("src < last").drop("last")
+    single = apart.where("later").select("edge", "d", "k", "s").join(source, "edge").where(F.col("d") > F.col("src")).select(
+        "d", "k", "s", F.lit(1).alias("n"), "src", "src_s")
+    return _spans(whole.union(single), length)
 
 
 def _spans(pieces: DataFrame, length: int) -> DataFrame:
@@ -165,7 +191,8 @@ def _spans(pieces: DataFrame, length: int) -> DataFrame:
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     """Rows of docs as struct ``row``, and their spans (null: none) as ``cuts``."""
-    cuts = repeated(docs, length).groupBy("d", "k").agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
+    cuts = stored(repeated(docs, length).groupBy("d", "k").agg(F.collect_set(F.struct("s", "e")).alias("cuts")))
+    release(docs.sparkSession)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"))
     return rows.join(cuts, ["d", "k"], "left").select("row", "cuts")
 
