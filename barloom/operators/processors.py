@@ -92,22 +92,17 @@ def cs_fill_na(df: DataFrame) -> DataFrame:
     return _rebuild(df, {c: apply(_prefer, x, cs_mean(x)) for c, x in clean.items()})
 
 
-def robust_zscore_norm(df: DataFrame, start=None, end=None, clip: bool = True, accuracy: int | None = None) -> DataFrame:
-    """Global median and MAD fitted on a date range.
-
-    ``accuracy`` switches to mergeable quantile sketches for data whose distinct
-    values do not fit one aggregation buffer.
-    """
+def robust_zscore_norm(df: DataFrame, start=None, end=None, clip: bool = True) -> DataFrame:
+    """Exact global median and MAD fitted on a date range; a column without spread stays finite."""
     from barloom.sources.store import within
     names = features(df)
-    mid = (lambda c: F.median(c)) if accuracy is None else (lambda c: F.percentile_approx(c, 0.5, accuracy))
     sample = within(df, "datetime", start, end).select(*[_clean(F.col(c)).alias(c) for c in names])
-    medians = sample.agg(*[mid(F.col(c)).alias(f"__m{i}") for i, c in enumerate(names)])
+    medians = sample.agg(*[F.median(c).alias(f"__m{i}") for i, c in enumerate(names)])
     mads = sample.crossJoin(F.broadcast(medians)).agg(
-        *[mid(F.abs(F.col(c) - F.col(f"__m{i}"))).alias(f"__d{i}") for i, c in enumerate(names)])
+        *[F.median(F.abs(F.col(c) - F.col(f"__m{i}"))).alias(f"__d{i}") for i, c in enumerate(names)])
     out = {}
     for i, c in enumerate(names):
-        z = (_clean(F.col(c)) - F.col(f"__m{i}")) / (F.col(f"__d{i}") * 1.4826 + 1e-12)
+        z = (_clean(F.col(c)) - F.col(f"__m{i}")) / ((F.col(f"__d{i}") + 1e-12) * 1.4826)
         out[c] = _clip3(z) if clip else z
     return df.crossJoin(F.broadcast(medians.crossJoin(mads))).withColumns(out).select(*df.columns)  # one row
 

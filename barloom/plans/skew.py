@@ -78,7 +78,7 @@ def value_counts(df: DataFrame, group: str, value: str, block: int) -> DataFrame
         df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("__cnt"))
     )
     sizes = distinct.groupBy(group).agg(F.count("*").alias("__d"))
-    parts = int(min(10_000, max(1, -(-(sizes.agg(F.max("__d")).first()[0] or 1) // max(1, block // 4)))))
+    parts = max(1, -(-(sizes.agg(F.max("__d")).first()[0] or 1) // max(1, block // 4)))
     qs = [i / parts for i in range(1, parts)]
     if qs:
         cuts = durable(

@@ -46,12 +46,19 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the reliable checkpoint folder.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    session that names none (tests) gets a temporary one.
+    session in local mode that names none (tests) gets a temporary one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; an error on a cluster that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return folder

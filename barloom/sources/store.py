@@ -23,6 +23,13 @@ def newest_wins(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "__row.*").select(*[c for c in both.columns if c != "__gen"])
 
 
+def _of_symbols(df: DataFrame, symbols: list[str] | DataFrame | None) -> DataFrame:
+    """Rows of the given symbols (None: all)."""
+    if isinstance(symbols, DataFrame):
+        return df.join(symbols.select("vt_symbol").distinct(), "vt_symbol", "left_semi")
+    return df if symbols is None else df.where(F.col("vt_symbol").isin(*symbols))
+
+
 @dataclass(frozen=True)
 class PanelStore:
     """Tables under one root; every write replaces only the partitions it touches."""
@@ -59,7 +66,8 @@ class PanelStore:
         return bool(fs.delete(p, True))
 
     def _replace_partitions(self, df: DataFrame, path: str, parts: list[str], sort: list[str]) -> None:
-        (df.repartition(*parts).sortWithinPartitions(*sort).write.mode("overwrite")
+        # a salt of the first sort key keeps a large partition from being one writer task
+        (df.repartition(*parts, F.pmod(F.hash(sort[0]), F.lit(16))).sortWithinPartitions(*sort).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
 
     # -------------------------------------------------------------------- bars
@@ -86,11 +94,7 @@ class PanelStore:
             df = df.where(F.col("year") >= F.year(F.lit(str(start)).cast("timestamp_ntz")))
         if end is not None:
             df = df.where(F.col("year") <= F.year(F.lit(str(end)).cast("timestamp_ntz")))
-        if isinstance(symbols, DataFrame):
-            df = df.join(symbols.select("vt_symbol").distinct(), "vt_symbol", "left_semi")
-        elif symbols is not None:
-            df = df.where(F.col("vt_symbol").isin(*symbols))
-        return df.drop("interval", "year")
+        return _of_symbols(df, symbols).drop("interval", "year")
 
     def load_bar_panel(self, interval: str, start: str, end: str, extended_days: int = 0,
                        symbols: list[str] | DataFrame | None = None) -> DataFrame:
@@ -98,8 +102,9 @@ class PanelStore:
         and suspended bars (all-zero prices and volumes) as NaN."""
         s = F.lit(start).cast("timestamp_ntz") - F.expr(f"interval {extended_days} days")
         e = F.lit(end).cast("timestamp_ntz") + F.expr(f"interval {extended_days // 10} days")
-        df = self.load_bars(interval, symbols=symbols)
-        return scaled_panel(df.where((F.col("datetime") >= s) & (F.col("datetime") <= e)))
+        df = self.read("bars").where((F.col("interval") == interval) & (F.col("year") >= F.year(s)) & (F.col("year") <= F.year(e))
+                                     & (F.col("datetime") >= s) & (F.col("datetime") <= e))
+        return scaled_panel(_of_symbols(df, symbols).drop("interval", "year"))
 
     def delete_bars(self, interval: str, symbols: list[str], kind: str = "bars") -> None:
         """Rewrite only the partitions that hold the symbols."""
@@ -119,14 +124,13 @@ class PanelStore:
 
     # ---------------------------------------------------------------- universes
     def save_members(self, index: str, members: DataFrame) -> None:
-        """Replace the given trade dates of a point universe."""
+        """Replace the given trade dates of a point universe; only their years are read and rewritten."""
         path = self.path("universe", index)
-        rows = members.select("trade_date", "vt_symbol").distinct()
+        rows = members.select("trade_date", "vt_symbol").distinct().withColumn("year", F.year("trade_date"))
         if self.exists("universe", index):
-            old = self.read("universe", index).select("trade_date", "vt_symbol")
+            old = self.read("universe", index).join(rows.select("year").distinct(), "year", "left_semi")
             rows = old.join(rows.select("trade_date").distinct(), "trade_date", "left_anti").unionByName(rows)
-        rows = durable(rows.withColumn("year", F.year("trade_date")))
-        self._replace_partitions(rows, path, ["year"], ["trade_date", "vt_symbol"])
+        self._replace_partitions(durable(rows), path, ["year"], ["trade_date", "vt_symbol"])
 
     def save_member_intervals(self, index: str, intervals: DataFrame) -> None:
         intervals.write.mode("overwrite").parquet(self.path("universe", index))
@@ -162,13 +166,9 @@ class PanelStore:
         """Distinct symbols active at any time in the range."""
         return self.member_intervals(index, start, end).select("vt_symbol").distinct()
 
-    def load_member_bars(self, index: str, interval: str, start: str, end: str, extended_days: int = 0,
-                         limit: int | None = None) -> DataFrame:
-        """Bars of a universe; ``limit`` keeps the first symbols in order (a smoke-run option)."""
-        names = self.symbols(index, start, end)
-        if limit is not None:
-            names = names.orderBy("vt_symbol").limit(limit)
-        return self.load_bar_panel(interval, start, end, extended_days, names)
+    def load_member_bars(self, index: str, interval: str, start: str, end: str, extended_days: int = 0) -> DataFrame:
+        """Bars of every symbol that is in the universe at any time in the range."""
+        return self.load_bar_panel(interval, start, end, extended_days, self.symbols(index, start, end))
 
     # -------------------------------------------------- signals, datasets, contracts
     def save_table(self, kind: str, name: str, df: DataFrame) -> None:

@@ -2,9 +2,10 @@
 
 Batch: cumulative counters become non-negative differences with ``lag`` over the
 panel evaluator (which splits a hot symbol), then windows are plain aggregates.
-Stream: the difference needs one previous tick per symbol, kept as state; windows
-use a watermark. Policy: rows later than the watermark are dropped, a counter that
-goes down counts as zero.
+Stream: the difference needs one previous tick per symbol, kept as state with its
+time (one row a symbol, kept for good); windows use a watermark. Policy: a
+tick older than one already taken of its symbol is dropped, a counter that goes
+down counts as zero, and a minute's first tick sets no extreme but its price.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from barloom.functions.expr import bar_index, col, shift
 from barloom.plans.panel import Panel
 
-TICK_STEPS = "vt_symbol string, datetime timestamp, last_price double, volume_step double, turnover_step double, high_hint double, low_hint double"
+TICK_STEPS = "vt_symbol string, datetime timestamp, last_price double, volume_step double, turnover_step double, high_hint double, low_hint double, open_interest double"
+TICK_STATE = "datetime timestamp, volume double, turnover double, high_price double, low_price double"
 
 
 def tick_steps(ticks: DataFrame) -> DataFrame:
@@ -43,15 +45,26 @@ def minute_bars(ticks: DataFrame) -> DataFrame:
     return df.groupBy("vt_symbol", "minute").agg(
         F.min_by("last_price", "datetime").alias("open"), F.greatest(F.max("last_price"), F.max("high_hint")).alias("high"),
         F.least(F.min("last_price"), F.min("low_hint")).alias("low"), F.max_by("last_price", "datetime").alias("close"),
-        F.sum("volume_step").alias("volume"), F.sum("turnover_step").alias("turnover"),
+        F.sum("volume_step").alias("volume"), F.sum("turnover_step").alias("turnover"), *_last_interest(df),
     ).withColumnRenamed("minute", "datetime")
 
 
+def _last_interest(df: DataFrame) -> list[Column]:
+    """Open interest is that of the last tick or bar, where the input has it."""
+    return [F.max_by("open_interest", "datetime").alias("open_interest")] if "open_interest" in df.columns else []
+
+
+def open_bars(bars: DataFrame) -> DataFrame:
+    """The bar each symbol is still in: its last one, to be flushed when a feed ends."""
+    last = bars.groupBy("vt_symbol").agg(F.max("datetime").alias("datetime"))
+    return bars.join(last, ["vt_symbol", "datetime"], "left_semi")
+
+
 def merge_bars(bars: DataFrame, bucket: Column, name: str = "datetime") -> DataFrame:
     """Combine bars of one bucket: first open, extremes, last close, summed flows."""
     return bars.withColumn("__bucket", bucket).groupBy("vt_symbol", "__bucket").agg(
         F.min_by("open", "datetime").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-        F.max_by("close", "datetime").alias("close"), F.sum("volume").alias("volume"), F.sum("turnover").alias("turnover"),
+        F.max_by("close", "datetime").alias("close"), F.sum("volume").alias("volume"), F.sum("turnover").alias("turnover"), *_last_interest(bars),
     ).withColumnRenamed("__bucket", name)
 
 
@@ -99,20 +112,25 @@ def _carry(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     last = state.get if state.exists else None
     frame = pd.concat(list(batches)).sort_values("datetime", kind="stable")
     frame = frame[frame["last_price"].fillna(0.0) != 0.0]
+    if last is not None:
+        frame = frame[frame["datetime"] >= pd.Timestamp(last[0])]
     if frame.empty:
         return
-    cols = ["volume", "turnover", "high_price", "low_price"]
+    cols = ["datetime", "volume", "turnover", "high_price", "low_price"]
     before = frame[cols].shift(1)
     if last is not None:
-        before.iloc[0] = list(last)
+        before.iloc[0] = [pd.Timestamp(last[0]), *last[1:]]
+    inside = frame["datetime"].dt.floor("min") == pd.to_datetime(before["datetime"]).dt.floor("min")
     out = pd.DataFrame({
         "vt_symbol": key[0], "datetime": frame["datetime"], "last_price": frame["last_price"],
-        "volume_step": (frame["volume"] - before["volume"]).clip(lower=0.0).fillna(0.0),
-        "turnover_step": (frame["turnover"] - before["turnover"]).clip(lower=0.0).fillna(0.0),
-        "high_hint": frame["high_price"].where(frame["high_price"] > before["high_price"]),
-        "low_hint": frame["low_price"].where(frame["low_price"] < before["low_price"]),
+        "volume_step": (frame["volume"] - before["volume"].astype(float)).clip(lower=0.0).fillna(0.0),
+        "turnover_step": (frame["turnover"] - before["turnover"].astype(float)).clip(lower=0.0).fillna(0.0),
+        "high_hint": frame["high_price"].where((frame["high_price"] > before["high_price"].astype(float)) & inside),
+        "low_hint": frame["low_price"].where((frame["low_price"] < before["low_price"].astype(float)) & inside),
+        "open_interest": frame["open_interest"] if "open_interest" in frame else None,
     })
-    state.update(tuple(float(v) for v in frame[cols].iloc[-1]))
+    end = frame[cols].iloc[-1]
+    state.update((end["datetime"].to_pydatetime(), *(float(v) for v in end.iloc[1:])))
     yield out
 
 
@@ -123,11 +141,14 @@ def stream_minute_bars(ticks: DataFrame, lateness: str = "2 minutes") -> DataFra
     is older than the watermark; update mode shows the current bar as well.
     """
     steps = ticks.groupBy("vt_symbol").applyInPandasWithState(
-        _carry, TICK_STEPS, "volume double, turnover double, high_price double, low_price double", "append", GroupStateTimeout.NoTimeout)
+        _carry, TICK_STEPS, TICK_STATE, "append", GroupStateTimeout.NoTimeout)
     bars = steps.withWatermark("datetime", lateness).groupBy("vt_symbol", F.window("datetime", "1 minute")).agg(
-        F.min_by("last_price", "datetime").alias("open"), F.max("last_price").alias("high"), F.min("last_price").alias("low"),
-        F.max_by("last_price", "datetime").alias("close"), F.sum("volume_step").alias("volume"), F.sum("turnover_step").alias("turnover"))
-    return bars.select("vt_symbol", F.col("window.start").alias("datetime"), "open", "high", "low", "close", "volume", "turnover")
+        F.min_by("last_price", "datetime").alias("open"), F.greatest(F.max("last_price"), F.max("high_hint")).alias("high"),
+        F.least(F.min("last_price"), F.min("low_hint")).alias("low"), F.max_by("last_price", "datetime").alias("close"),
+        F.sum("volume_step").alias("volume"), F.sum("turnover_step").alias("turnover"), F.max_by("open_interest", "datetime").alias("open_interest"))
+    if "open_interest" not in ticks.columns:
+        bars = bars.drop("open_interest")
+    return bars.select("vt_symbol", F.col("window.start").alias("datetime"), *(c for c in bars.columns if c not in ("vt_symbol", "window")))
 
 
 def stream_window_bars(bars: DataFrame, minutes: int, lateness: str = "2 minutes") -> DataFrame:

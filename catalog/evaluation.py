@@ -137,7 +137,7 @@ proc("pr_cs_fill_na", pr.cs_fill_na, {c: f"coalesce({c}, avg({c}) OVER {_D})" fo
 _rob = ("sm AS (SELECT * FROM rawf WHERE datetime BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-12-31'), md AS (SELECT " + ", ".join(f"median({c}) AS {c}m" for c in ("f1", "f2", "f3"))
         + " FROM sm), ad AS (SELECT " + ", ".join(f"median(abs({c} - {c}m)) AS {c}d" for c in ("f1", "f2", "f3")) + " FROM sm, md)")
 proc("pr_robust_zscore", lambda d: pr.robust_zscore_norm(d, "1995-01-01", "1998-12-31"),
-     {c: f"CASE WHEN {c} IS NOT NULL THEN greatest(-3, least(3, ({c} - {c}m) / ({c}d * 1.4826 + 1e-12))) END" for c in ("f1", "f2", "f3")}, _rob, "rawf, md, ad")
+     {c: f"CASE WHEN {c} IS NOT NULL THEN greatest(-3, least(3, ({c} - {c}m) / (({c}d + 1e-12) * 1.4826))) END" for c in ("f1", "f2", "f3")}, _rob, "rawf, md, ad")
 proc("pr_cs_rank_norm", lambda d: pr.cs_rank_norm(d, ["f1", "f2"]), {c: f"(({avg_rank(c)}) / count(*) OVER {_D} - 0.5) * 3.46" for c in ("f1", "f2")})
 proc("pr_drop_feature", lambda d: pr.drop_feature(d, ["f2"]), {"f2": None})
 

@@ -171,10 +171,7 @@ _X = PATH + """, hit AS (SELECT event_id, 'tp30_stop' AS exit_rule, coalesce(min
     WHEN step BETWEEN 1 AND last5 AND rh1 >= ep * 1.1 AND close < greatest(ep * 1.002, rh1 - atr * 2.5) THEN {'s': step, 'e': least(step + 1, last_idx - entry_idx), 'p': nxt, 'r': 'profit_protect'} END),
     min(CASE WHEN step = last5 THEN {'s': step, 'e': step, 'p': close, 'r': 'timeout'} END)) FROM px WHERE last5 > 0 GROUP BY 1),
   ex AS (SELECT h.event_id, exit_rule, x.r AS exit_reason, x.e AS e, x.p AS p, ep, rh, rl FROM hit h JOIN px ON px.event_id = h.event_id AND px.step = x.e WHERE x IS NOT NULL)"""
-_four = lambda df: df.where("exit_rule <> 'confirm3'")
-register("es_simulate_exits", lambda spark, sf: tidy(_four(exits(spark, sf)).select("event_id", "exit_rule", "exit_reason", "holding_bars", "gross_return", "net_return", "mfe", "mae")),
-         f"WITH {_X} SELECT event_id, exit_rule, exit_reason, CAST(e AS INTEGER) AS holding_bars, {r('p / ep - 1', 'gross_return')}, {r('p * 0.998 / (ep * 1.001) - 1', 'net_return')}, {r('rh / ep - 1', 'mfe')}, {r('rl / ep - 1', 'mae')} FROM ex")
-_C3 = PATH + """, cf AS (SELECT *, coalesce(max(CASE WHEN step >= 1 AND (close > signal_high OR (close > ef AND r5 >= 50) OR close > em) THEN 1 ELSE 0 END) OVER (PARTITION BY event_id ORDER BY step), 0) = 1 AS ok FROM
+_CF = """, cf AS (SELECT *, coalesce(max(CASE WHEN step >= 1 AND (close > signal_high OR (close > ef AND r5 >= 50) OR close > em) THEN 1 ELSE 0 END) OVER (PARTITION BY event_id ORDER BY step), 0) = 1 AS ok FROM
   (SELECT px.*, rs.v AS r5 FROM px JOIN rsi rs ON rs.vt_symbol = px.vt_symbol AND rs.idx = px.entry_idx + px.step)),
   h3 AS (SELECT event_id, any_value(ep) AS ep, coalesce(min(CASE WHEN step BETWEEN 1 AND last5 AND low <= stop THEN {'s': step, 'e': step, 'p': stop, 'r': 'wide_stop'} WHEN step BETWEEN 1 AND last5 AND high >= ep * 1.5 THEN {'s': step, 'e': step, 'p': ep * 1.5, 'r': 'target_hit'}
     WHEN step BETWEEN 1 AND last5 AND rh1 >= ep * 1.1 AND close < greatest(ep * 1.002, rh1 - atr * 2.5) THEN {'s': step, 'e': least(step + 1, last_idx - entry_idx), 'p': nxt, 'r': 'profit_protect'}
@@ -184,15 +181,19 @@ _RSI5 = f""", dx AS (SELECT *, close - lag(close) OVER {WS} AS dd FROM eb), dm A
   rw AS (SELECT vt_symbol, idx, 0e0 AS u, 0e0 AS w FROM dm WHERE idx = 0 UNION ALL SELECT s.vt_symbol, s.idx, CASE WHEN s.idx < 5 THEN 0e0 WHEN s.idx = 5 THEN s.mu ELSE (p.u * 4 + greatest(s.dd, 0)) / 5 END,
     CASE WHEN s.idx < 5 THEN 0e0 WHEN s.idx = 5 THEN s.md ELSE (p.w * 4 + greatest(-s.dd, 0)) / 5 END FROM rw p JOIN dm s ON s.vt_symbol = p.vt_symbol AND s.idx = p.idx + 1),
   rsi AS (SELECT vt_symbol, idx, CASE WHEN idx < 5 THEN CAST('nan' AS DOUBLE) WHEN u + w = 0 THEN 0 ELSE 100 * u / (u + w) END AS v FROM rw)"""
+_C3 = PATH + _RSI5 + _CF
+_A = _X + _RSI5 + _CF + """, al AS (SELECT * FROM ex UNION ALL SELECT h3.event_id, 'confirm3', x.r, x.e, x.p, px.ep, rh, rl FROM h3 JOIN px ON px.event_id = h3.event_id AND px.step = x.e WHERE x IS NOT NULL)"""
+register("es_simulate_exits", lambda spark, sf: tidy(exits(spark, sf).select("event_id", "exit_rule", "exit_reason", "holding_bars", "gross_return", "net_return", "mfe", "mae")),
+         f"WITH RECURSIVE {_A} SELECT event_id, exit_rule, exit_reason, CAST(e AS INTEGER) AS holding_bars, {r('p / ep - 1', 'gross_return')}, {r('p * 0.998 / (ep * 1.001) - 1', 'net_return')}, {r('rh / ep - 1', 'mfe')}, {r('rl / ep - 1', 'mae')} FROM al")
 register("es_exit_confirm3", lambda spark, sf: tidy(exits(spark, sf).where("exit_rule = 'confirm3'").select("event_id", "exit_reason", "holding_bars", "net_return")),
-         f"WITH RECURSIVE {_C3.replace(', cf AS', _RSI5 + ', cf AS', 1)} SELECT event_id, x.r AS exit_reason, CAST(x.e AS INTEGER) AS holding_bars, {r('x.p * 0.998 / (ep * 1.001) - 1', 'net_return')} FROM h3")
-register("es_exit_summary", lambda spark, sf: tidy(pa.exit_summary(_four(exits(spark, sf)))), f"WITH {_X}, n AS (SELECT *, p * 0.998 / (ep * 1.001) - 1 AS nr FROM ex) SELECT exit_rule, count(*) AS trades, {r('avg(nr)', 'mean_return')}, "
+         f"WITH RECURSIVE {_C3} SELECT event_id, x.r AS exit_reason, CAST(x.e AS INTEGER) AS holding_bars, {r('x.p * 0.998 / (ep * 1.001) - 1', 'net_return')} FROM h3")
+register("es_exit_summary", lambda spark, sf: tidy(pa.exit_summary(exits(spark, sf))), f"WITH RECURSIVE {_A}, n AS (SELECT *, p * 0.998 / (ep * 1.001) - 1 AS nr FROM al) SELECT exit_rule, count(*) AS trades, {r('avg(nr)', 'mean_return')}, "
          f"{r('quantile_cont(nr, 0.1)', 'p10')}, {r('median(nr)', 'median_return')}, {r('avg(CAST(nr > 0 AS DOUBLE))', 'win_rate')}, {r('avg(CAST(exit_reason = $$target_hit$$ AS DOUBLE))', 'target_rate')}, {r('avg(e)', 'avg_bars')} FROM n GROUP BY 1")
-register("es_reason_shares", lambda spark, sf: tidy(pa.reason_shares(_four(exits(spark, sf)))), f"WITH {_X} SELECT exit_rule, exit_reason, count(*) AS n, {r('avg(p * 0.998 / (ep * 1.001) - 1)', 'mean_return')}, "
-         f"{r('count(*) / sum(count(*)) OVER (PARTITION BY exit_rule)', 'share')} FROM ex GROUP BY 1, 2")
-register("es_zero_filled_curve", lambda spark, sf: tidy(pa.zero_filled_curve(_four(exits(spark, sf)).join(events(spark, sf).select("event_id", "signal_date"), "event_id"), _days(spark, sf)), 4),
-         f"""WITH {_X}, d AS (SELECT exit_rule, signal_date, avg(p * 0.998 / (ep * 1.001) - 1) AS x FROM ex JOIN ev USING (event_id) GROUP BY 1, 2), f AS (SELECT k.exit_rule, b.datetime AS signal_date, coalesce(x, 0) AS ret
-         FROM (SELECT DISTINCT exit_rule FROM ex) k CROSS JOIN (SELECT DISTINCT datetime FROM bars) b LEFT JOIN d ON d.exit_rule = k.exit_rule AND d.signal_date = b.datetime)
+register("es_reason_shares", lambda spark, sf: tidy(pa.reason_shares(exits(spark, sf))), f"WITH RECURSIVE {_A} SELECT exit_rule, exit_reason, count(*) AS n, {r('avg(p * 0.998 / (ep * 1.001) - 1)', 'mean_return')}, "
+         f"{r('count(*) / sum(count(*)) OVER (PARTITION BY exit_rule)', 'share')} FROM al GROUP BY 1, 2")
+register("es_zero_filled_curve", lambda spark, sf: tidy(pa.zero_filled_curve(exits(spark, sf).join(events(spark, sf).select("event_id", "signal_date"), "event_id"), _days(spark, sf)), 4),
+         f"""WITH RECURSIVE {_A}, d AS (SELECT exit_rule, signal_date, avg(p * 0.998 / (ep * 1.001) - 1) AS x FROM al JOIN ev USING (event_id) GROUP BY 1, 2), f AS (SELECT k.exit_rule, b.datetime AS signal_date, coalesce(x, 0) AS ret
+         FROM (SELECT DISTINCT exit_rule FROM al) k CROSS JOIN (SELECT DISTINCT datetime FROM bars) b LEFT JOIN d ON d.exit_rule = k.exit_rule AND d.signal_date = b.datetime)
          SELECT exit_rule, signal_date, {r('ret', 'ret', 4)}, {r('product(1 + ret) OVER (PARTITION BY exit_rule ORDER BY signal_date ROWS UNBOUNDED PRECEDING)', 'equity', 4)} FROM f""")
 
 
@@ -319,8 +320,8 @@ register("mn_matched_negatives", sampled, f"""WITH {EV}, k AS (SELECT strftime(s
   WHEN start_score * 100 <= 80 THEN '61_80' ELSE '81_100' END AS match_key, s_suppkey % 8 = 0 AS p FROM ev), c AS (SELECT match_key, count(*) FILTER (p) AS a, count(*) FILTER (NOT p) AS b FROM k GROUP BY 1)
   SELECT match_key, 'positive' AS sample_label, a AS n FROM c WHERE a > 0 UNION ALL SELECT match_key, 'negative', least(b, 2 * a) FROM c WHERE a > 0 AND b > 0""")
 _cal = lambda spark, sf: iv.calendar(bars(spark, sf).select(F.col("datetime").cast("date").alias("trade_date")), "trade_date")
-needed = lambda spark, sf: mn.required_dates(events(spark, sf).where("jump > 1").select("vt_symbol", F.col("signal_date").cast("date").alias("entry_date")), _cal(spark, sf), 3)
-_RD = EV + """, ca AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM (SELECT DISTINCT CAST(datetime AS DATE) AS d FROM bars)), rd AS (SELECT DISTINCT vt_symbol, b.d AS trade_date, b.i FROM ev JOIN ca a ON a.d = CAST(signal_date AS DATE) JOIN ca b ON b.i BETWEEN a.i AND a.i + 3 WHERE jump > 1)"""
+needed = lambda spark, sf: mn.required_dates(events(spark, sf).select("vt_symbol", F.col("signal_date").cast("date").alias("entry_date")), _cal(spark, sf), 3)
+_RD = EV + """, ca AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM (SELECT DISTINCT CAST(datetime AS DATE) AS d FROM bars)), rd AS (SELECT DISTINCT vt_symbol, b.d AS trade_date, b.i FROM ev JOIN ca a ON a.d = CAST(signal_date AS DATE) JOIN ca b ON b.i BETWEEN a.i AND a.i + 3)"""
 register("mn_required_dates", needed, f"WITH {_RD} SELECT vt_symbol, trade_date FROM rd")
 register("mn_fetch_ranges", lambda spark, sf: mn.fetch_ranges(needed(spark, sf), _cal(spark, sf)), f"WITH {_RD} SELECT vt_symbol, min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) AS interval_days FROM (SELECT *, i - row_number() OVER (PARTITION BY vt_symbol ORDER BY i) AS g FROM rd) GROUP BY vt_symbol, g")
 
@@ -371,13 +372,15 @@ def trades(spark, sf):
         F.element_at(F.array(*[F.lit(x) for x in ("open", "close", "closetoday")]), (F.col("event_id") % 3 + 1).cast("int")).alias("offset"), (F.col("event_id") % 9 + 1).cast("double").alias("volume"), (F.col("user_id") % 5 == 0).alias("old_first"))
 
 
-_LG = """tr AS (SELECT CAST(user_id % 50 AS VARCHAR) AS vt_symbol, epoch_us(ts) * 100 + event_id % 100 AS datetime, event_id % 2 = 0 AS lng, ['open', 'close', 'closetoday'][event_id % 3 + 1] AS o, event_id % 9 + 1.0 AS v, user_id % 5 = 0 AS old FROM events),
-  sq AS (SELECT *, row_number() OVER (PARTITION BY vt_symbol ORDER BY datetime) AS i FROM tr), st AS (SELECT *, CASE WHEN lng AND o = 'open' THEN v WHEN NOT lng AND (o = 'closetoday' OR (o = 'close' AND NOT old)) THEN -v ELSE 0 END AS ltd,
-    CASE WHEN lng AND o = 'open' THEN v WHEN NOT lng AND o <> 'open' THEN -v ELSE 0 END AS lall, NOT lng AND o = 'close' AND NOT old AS lc FROM sq),
-  wk AS (SELECT vt_symbol, datetime, i, CAST(CASE WHEN lc THEN greatest(0, ltd) ELSE ltd END AS DOUBLE) AS td, CAST(lall AS DOUBLE) AS pos FROM st WHERE i = 1 UNION ALL
-    SELECT s.vt_symbol, s.datetime, s.i, CASE WHEN s.lc THEN greatest(0, w.td + s.ltd) ELSE w.td + s.ltd END, w.pos + s.lall FROM wk w JOIN st s ON s.vt_symbol = w.vt_symbol AND s.i = w.i + 1)"""
-register("sm_position_ledger", lambda spark, sf: tidy(st.position_ledger(trades(spark, sf)).select("vt_symbol", "datetime", "long_td", "long_yd", "long_pos")),
-         f"WITH RECURSIVE {_LG} SELECT vt_symbol, datetime, {r('td', 'long_td')}, {r('pos - td', 'long_yd')}, {r('pos', 'long_pos')} FROM wk")
+_side = lambda n, opens: f"""CASE WHEN {opens} AND o = 'open' THEN v WHEN NOT ({opens}) AND (o = 'closetoday' OR (o = 'close' AND NOT old)) THEN -v ELSE 0 END AS {n}td,
+    CASE WHEN {opens} AND o = 'open' THEN v WHEN NOT ({opens}) AND o <> 'open' THEN -v ELSE 0 END AS {n}all, NOT ({opens}) AND o = 'close' AND NOT old AS {n}c"""
+_walk = lambda n: f"CASE WHEN s.{n}c THEN greatest(0, w.{n}td + s.{n}td) ELSE w.{n}td + s.{n}td END, w.{n}pos + s.{n}all"
+_LG = f"""tr AS (SELECT CAST(user_id % 50 AS VARCHAR) AS vt_symbol, epoch_us(ts) * 100 + event_id % 100 AS datetime, event_id % 2 = 0 AS lng, ['open', 'close', 'closetoday'][event_id % 3 + 1] AS o, event_id % 9 + 1.0 AS v, user_id % 5 = 0 AS old FROM events),
+  sq AS (SELECT *, row_number() OVER (PARTITION BY vt_symbol ORDER BY datetime) AS i FROM tr), st AS (SELECT *, {_side('l', 'lng')}, {_side('s', 'NOT lng')} FROM sq),
+  wk AS (SELECT vt_symbol, datetime, i, {', '.join(f"CAST(CASE WHEN {n}c THEN greatest(0, {n}td) ELSE {n}td END AS DOUBLE) AS {n}td, CAST({n}all AS DOUBLE) AS {n}pos" for n in 'ls')} FROM st WHERE i = 1 UNION ALL
+    SELECT s.vt_symbol, s.datetime, s.i, {_walk('l')}, {_walk('s')} FROM wk w JOIN st s ON s.vt_symbol = w.vt_symbol AND s.i = w.i + 1)"""
+register("sm_position_ledger", lambda spark, sf: tidy(st.position_ledger(trades(spark, sf)).select("vt_symbol", "datetime", *(f"{side}_{n}" for side in ("long", "short") for n in ("td", "yd", "pos")))),
+         f"WITH RECURSIVE {_LG} SELECT vt_symbol, datetime, " + ", ".join(f"{r(n + 'td', side + '_td')}, {r(n + 'pos - ' + n + 'td', side + '_yd')}, {r(n + 'pos', side + '_pos')}" for n, side in (("l", "long"), ("s", "short"))) + " FROM wk")
 _pos = lambda spark, sf: orders(spark, sf).select("vt_symbol").distinct().select("vt_symbol", *[(F.col("vt_symbol").cast("int") * k % 30).cast("double").alias(n) for n, k in (("long_td", 3), ("long_yd", 5), ("short_td", 7), ("short_yd", 11))])
 _FZ = ORD + """, ps AS (SELECT DISTINCT vt_symbol, CAST(vt_symbol AS INT) * 3 % 30 AS ltd, CAST(vt_symbol AS INT) * 5 % 30 AS lyd, CAST(vt_symbol AS INT) * 7 % 30 AS std, CAST(vt_symbol AS INT) * 11 % 30 AS syd FROM od),
   ac AS (SELECT vt_symbol, direction, offset_ AS o, volume - traded AS lft FROM la WHERE status IN ('nottraded', 'parttraded')),
@@ -388,6 +391,8 @@ _FZ = ORD + """, ps AS (SELECT DISTINCT vt_symbol, CAST(vt_symbol AS INT) * 3 %
 register("sm_frozen_volume", lambda spark, sf: tidy(st.frozen_volume(orders(spark, sf), _pos(spark, sf))),
          f"WITH {_FZ} SELECT vt_symbol, {r('a', 'long_td_frozen')}, {r('b', 'long_yd_frozen')}, {r('c', 'short_td_frozen')}, {r('d', 'short_yd_frozen')}, {r('a + b', 'long_pos_frozen')}, {r('c + d', 'short_pos_frozen')} FROM fz")
 
+register("sm_flush_open_bars", lambda spark, sf: tidy(sb.open_bars(sb.minute_bars(ticks(spark, sf)))), f"WITH {TICKS} SELECT vt_symbol, datetime, {_mb} FROM mb QUALIFY datetime = max(datetime) OVER (PARTITION BY vt_symbol)")
+
 
 def streamed(spark, sf):
     """The same ticks through the streaming plan (available-now trigger), read back."""

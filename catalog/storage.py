@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.functions import symbols as sy
 from barloom.operators import pit
 from barloom.plans import intervals as iv
+from barloom.session import shared_folder
 from barloom.sources import tables as tb
 from barloom.sources.store import PanelStore, price_range, scaled_panel
 
@@ -19,9 +19,8 @@ from catalog.base import BARS, WS, bars, r, register, table, tidy
 
 
 def scratch(spark) -> str:
-    """A new folder in the shared checkpoint area, or a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-")
+    """A new folder in the shared checkpoint area."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 OHLC = ("open", "high", "low", "close", "volume", "turnover")

@@ -178,6 +178,38 @@ def test_stream_bars_equal_batch_bars(spark, tmp_path):
     same(got, batch.join(got.select("vt_symbol", "datetime"), ["vt_symbol", "datetime"], "left_semi").select(*got.columns))
 
 
+def test_stream_bars_with_moving_extremes_batches_and_a_late_tick(spark, tmp_path):
+    base = dt.datetime(2024, 1, 2, 9, 0)
+    rows = [("S", base + dt.timedelta(seconds=7 * i), 10.0 + (i * 7 % 5), float(i), float(i * 10), 15.0 + i // 3, 9.0 - i / 100, float(i % 9)) for i in range(200)]
+    schema = ("vt_symbol string, datetime timestamp, last_price double, volume double, turnover double, high_price double, low_price double, open_interest double")
+    late = ("S", base + dt.timedelta(seconds=3), 99.0, 500.0, 5000.0, 99.0, 1.0, 7.0)
+    for part in (rows[:90], [late], rows[90:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream_bars.record(stream_bars.stream_minute_bars(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    batch = stream_bars.minute_bars(spark.createDataFrame(rows, schema))
+    assert got.count() > 10 and got.where("high > 15").count() > 0
+    same(got, batch.join(got.select("vt_symbol", "datetime"), ["vt_symbol", "datetime"], "left_semi").select(*got.columns))
+
+
+def test_robust_zscore_of_a_column_without_spread(spark):
+    from barloom.operators import processors
+    df = spark.createDataFrame([(dt.datetime(2024, 1, d), "A", 0.0 if d < 8 else 1e-12, 0.0) for d in range(1, 9)], "datetime timestamp_ntz, vt_symbol string, x double, label double")
+    got = [r["x"] for r in processors.robust_zscore_norm(df).orderBy("datetime").collect()]
+    assert got[:7] == [0.0] * 7 and abs(got[7] - 1 / 1.4826) < 1e-9
+
+
+def test_bar_panel_prunes_years(spark, tmp_path):
+    from barloom.sources.store import PanelStore
+    store = PanelStore(spark, str(tmp_path))
+    rows = [(dt.datetime(y, 6, 1), "A", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0) for y in range(2018, 2024)]
+    store.save_bars(spark.createDataFrame(rows, "datetime timestamp_ntz, vt_symbol string, open double, high double, low double, close double, volume double, turnover double"), "daily")
+    panel = store.load_bar_panel("daily", "2020-01-01", "2021-12-31", 0)
+    plan = panel._jdf.queryExecution().executedPlan().toString()
+    assert "year" in plan[plan.index("PartitionFilters"):][:300] and panel.count() == 2
+
+
 def test_momentum_has_positive_rank_ic_on_trends(spark):
     rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(days=d), f"S{s}", 100.0 * (1 + 0.001 * (s - 4)) ** d) for s in range(8) for d in range(40)]
     df = spark.createDataFrame(rows, "datetime timestamp_ntz, vt_symbol string, close double")
