@@ -183,9 +183,9 @@ def signal(spark, sf):
 
 
 SIG = FRAME + ", sig AS (SELECT datetime, vt_symbol, score AS signal, volume / 100 AS entry_signal, s_suppkey % 4 + 1.0 AS position_scale, close, s_suppkey FROM frame WHERE score IS NOT NULL)"
-_hold = lambda spark, sf: bars(spark, sf).where(F.col("vt_symbol").cast("long") % 17 == 0).select("datetime", "vt_symbol")
+_hold = lambda spark, sf: bars(spark, sf).where("close > 1.6 * open").select("datetime", "vt_symbol")  # what went up is held
 register("pf_top_k_drop_n", lambda spark, sf: pf.top_k_drop_n(signal(spark, sf), _hold(spark, sf), 12, 2),
-         f"""WITH {SIG}, hold AS (SELECT datetime, vt_symbol FROM bars WHERE CAST(vt_symbol AS BIGINT) % 17 = 0), hs AS (SELECT datetime, count(*) AS held FROM hold GROUP BY 1),
+         f"""WITH {SIG}, hold AS (SELECT datetime, vt_symbol FROM bars WHERE close > 1.6 * open), hs AS (SELECT datetime, count(*) AS held FROM hold GROUP BY 1),
          se AS (SELECT h.datetime, h.vt_symbol, row_number() OVER (PARTITION BY h.datetime ORDER BY signal ASC NULLS FIRST, h.vt_symbol DESC) AS r FROM hold h LEFT JOIN sig USING (datetime, vt_symbol)),
          bu AS (SELECT datetime, vt_symbol, row_number() OVER (PARTITION BY datetime ORDER BY signal DESC, vt_symbol) AS r FROM sig ANTI JOIN hold USING (datetime, vt_symbol))
          SELECT datetime, vt_symbol, 'sell' AS side FROM se WHERE r <= 2 UNION ALL SELECT datetime, vt_symbol, 'buy' AS side FROM bu LEFT JOIN hs USING (datetime)
@@ -201,12 +201,12 @@ register("pf_signal_defaults", lambda spark, sf: tidy(pf.signal_defaults(signal(
 
 def exits(spark, sf):
     s = signal(spark, sf).withColumns({"exit_signal": (F.col("s_suppkey") % 34 == 0).cast("double"), "stop_price": F.lit(1000.0), "max_hold_days": F.lit(6)})
-    held = _hold(spark, sf).withColumn("hold_days", F.month("datetime"))
+    held = bars(spark, sf).select("datetime", "vt_symbol", F.month("datetime").alias("hold_days"))
     return pf.exit_reasons(held, s, bars(spark, sf), 30)
 
 
 register("pf_exit_reasons", exits, f"""WITH {SIG}, rk AS (SELECT *, row_number() OVER (PARTITION BY datetime ORDER BY signal DESC, vt_symbol) AS r FROM sig),
-  p AS (SELECT b.datetime, b.vt_symbol, b.close, month(b.datetime) AS hd, r, s_suppkey FROM bars b LEFT JOIN rk USING (datetime, vt_symbol) WHERE CAST(b.vt_symbol AS BIGINT) % 17 = 0),
+  p AS (SELECT b.datetime, b.vt_symbol, b.close, month(b.datetime) AS hd, r, s_suppkey FROM bars b LEFT JOIN rk USING (datetime, vt_symbol)),
   x AS (SELECT datetime, vt_symbol, CASE WHEN r IS NOT NULL AND s_suppkey % 34 = 0 THEN 'exit_signal' WHEN r IS NOT NULL AND close <= 1000 THEN 'stop_price' WHEN r IS NOT NULL AND hd >= 6 THEN 'max_hold'
     WHEN r IS NULL OR r > 30 THEN 'rank' END AS exit_reason FROM p) SELECT * FROM x WHERE exit_reason IS NOT NULL""")
 
