@@ -33,17 +33,18 @@ def rebalance_calendar(days: DataFrame, config: PortfolioConfig) -> DataFrame:
 
     ``days`` is a calendar: one row per trading date, so one ordered task is small.
     """
-    last = days.agg(F.max("day_index").alias("__last"))
     k, lag = config.rebalance_days, config.entry_lag
-    rows = days.crossJoin(F.broadcast(last)).where(F.col("day_index") % k == 0)  # one row
-    nxt = F.when(F.col("day_index") + k <= F.col("__last"), F.col("day_index") + k).otherwise(F.col("__last") + 1)
-    rows = rows.select(
-        (F.col("day_index") / k).cast("long").alias("rebalance_id"), F.col(TIME).alias("signal_date"),
-        (F.col("day_index") + lag + 1).alias("start_index"), F.least(nxt + lag, F.col("__last")).alias("end_index"))
-    rows = rows.where(F.col("end_index") >= F.col("start_index"))
-    at = lambda i, name: days.select(F.col("day_index").alias(i), F.col(TIME).alias(name))
-    return rows.join(at("start_index", "effective_start"), "start_index").join(at("end_index", "effective_end"), "end_index").select(
-        "rebalance_id", "signal_date", "effective_start", "effective_end", "start_index", "end_index")
+    order = Window.orderBy("day_index")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.max("day_index").over(whole)
+    rows = days.select(
+        "day_index", TIME, F.least(F.col("day_index") + k + lag, last).alias("end_index"),
+        F.lead(TIME, lag + 1).over(order).alias("effective_start"),
+        F.coalesce(F.lead(TIME, k + lag).over(order), F.max(TIME).over(whole)).alias("effective_end"))
+    rows = rows.where((F.col("day_index") % k == 0) & (F.col("end_index") >= F.col("day_index") + lag + 1))
+    return rows.select(
+        (F.col("day_index") / k).cast("long").alias("rebalance_id"), F.col(TIME).alias("signal_date"), "effective_start", "effective_end",
+        (F.col("day_index") + lag + 1).alias("start_index"), "end_index")
 
 
 def active_days(days: DataFrame, rebalances: DataFrame) -> DataFrame:
