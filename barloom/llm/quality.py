@@ -14,6 +14,9 @@ count each; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +44,16 @@ def _length_of(text: Column, not_in: str) -> Column:
     return F.length(F.regexp_replace(text, not_in, "")).cast("long")
 
 
-def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, lang, the base counts and both histograms of every row; with ``carry`` the row itself as ``row``."""
+def measure(docs: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """The key (doc_id and lang by default), the base counts and both histograms of every row."""
     w, t = F.col("w"), F.col("t")
-    row = [F.struct(*docs.columns).alias("row")] if carry else []
-    held = ["row"] if carry else []
-    first = docs.select("doc_id", "lang", *row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("w", words(F.col("t")))
+    key = key or ["doc_id", "lang"]
+    first = docs.select(*key, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("w", words(F.col("t")))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     known = F.filter(w, lambda x: x.isin(*COMMON_WORDS))
     windows = F.when(F.size(w) > WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW))))
     second = first.select(
-        "doc_id", "lang", *held, "w", lines.alias("lines"), windows.alias("windows"),
+        *key, "w", lines.alias("lines"), windows.alias("windows"),
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.length(t).cast("long").alias("n_chars"),
@@ -72,7 +74,7 @@ def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
     one = [((F.octet_length("known") - F.octet_length(F.replace("known", F.lit(f" {x} "), F.lit("")))) / (len(x) + 2)).cast("long") for x in COMMON_WORDS]
     other_chars = F.col("word_chars") - F.col("n_symbols") - sum((F.col(n) for n in CLASSES), F.lit(0))
     return fourth.select(
-        "doc_id", "lang", *held, "n_words", "word_chars", "n_symbols",
+        *key, "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_chars",
         F.array(*(F.col(n) for n in CLASSES), "n_symbols", F.col("n_chars") - F.col("word_chars"), other_chars).alias("chars"),
@@ -114,7 +116,7 @@ def judge(measured: DataFrame) -> DataFrame:
     return shares.select(
         "*", F.round(distance(F.col("chars_share"), F.col("ref_chars_share")), 9).alias("char_distance"),
         F.round(distance(F.col("commons_share"), F.col("ref_commons_share")), 9).alias("word_distance"), base.alias("base_failed"),
-    ).select("doc_id", "lang", *(["row"] if "row" in measured.columns else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance",
+    ).select(*measured.columns[:measured.columns.index("n_words")], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance",
              "base_failed", (~F.col("base_failed") & ~far).alias("kept"))
 
 
@@ -125,4 +127,9 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep."""
-    return judge(stored(measure(docs, carry=True))).where("kept").select("row.*")
+    key = ["doc_id", "lang", "k"]
+    keyed = docs.select("doc_id", "lang", "text").withColumn("k", F.xxhash64("text"))
+    rejected = judge(stored(measure(keyed, key))).where("NOT kept").select(*(F.col(c).alias(f"no_{c}") for c in key)).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "lang", F.xxhash64("text").alias("k"))
+    # rows of one key have one text and language, and so one verdict
+    return rows.join(rejected, reduce(and_, (F.col(c).eqNullSafe(F.col(f"no_{c}")) for c in key)), "left_anti").select("row.*")

@@ -38,12 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stored
+from barloom.llm.common import release, stored
 from barloom.llm.components import components, forest, merge
 
 SEED = 42
 #: Fingerprints in a subtree row, about.
-BLOCK = 4096
+BLOCK = 16384
 #: A node pair of at most so many leaf pairs is compared leaf by leaf.
 LEAVES = 64
 #: Node pairs held at once; more wait on a stack.
@@ -246,7 +246,11 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, margin: flo
     total = math.floor(64 * lanes * differing_share(similarity - margin))
 
     def find(distinct: DataFrame, n: int) -> DataFrame:
-        return reduce(DataFrame.union, (links(distinct, n, lane, budget, bits, total) for lane in range(lanes)))
+        found = []
+        for lane in range(lanes):
+            found.append(stored(links(distinct, n, lane, budget, bits, total)))
+            release(docs.sparkSession)
+        return reduce(DataFrame.union, found)
 
     return _classes(stored(fingerprints(docs, size, lanes)), lanes, find)
 
