@@ -55,6 +55,20 @@ def test_distance_to_the_language_rejects_symbol_text_only_beyond_the_guard(spar
     assert got[101].kept and got[102].kept and all(got[i].kept for i in range(40))
 
 
+@pytest.mark.parametrize("junk", ["caps", "symbols", "giant"])
+def test_a_hot_source_of_junk_does_not_move_the_reference(spark, junk):
+    rng = random.Random(6)
+    vocab = ["the", "of", "and", "to", "in", "house", "stone", "river", "walks", "bright"]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    odd = {"caps": lambda: text(200).upper(), "symbols": lambda: " ".join(rng.choice(vocab) + "###" * 3 for _ in range(200)), "giant": lambda: text(9000).upper()}[junk]
+    rows = [(i, text(200), "en", f"s{i % 6}") for i in range(60)] + [(100 + i, odd(), "en", "hot") for i in range(3 if junk == "giant" else 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if r.kept} == set(range(60))
+    assert {r.doc_id for r in quality.accepted(docs).collect()} == set(range(60))
+
+
 MIT = """MIT License
 
 Permission is hereby granted, free of charge, to any person obtaining a copy
