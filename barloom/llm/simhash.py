@@ -20,6 +20,9 @@ lanes together agree as texts of that similarity do. The number of leading bits
 and of lanes follow from the number of rows, so that chance meetings per row and
 the share of links found stay the same at every size.
 
+``exact`` takes such links, with a loose total, as candidates only: links are the
+pairs whose sets of shingles reach the similarity, see there.
+
 Defined cases: null and blank texts have no shingle and fingerprint zero, and
 link like any other; a shorter text than a shingle is one shingle. Rows without
 doc_id get their fingerprint and a null component and link nothing. Repeated
@@ -48,6 +51,8 @@ BLOCK = 16384
 LEAVES = 64
 #: Node pairs held at once; more wait on a stack.
 FRONT = 1 << 19
+#: Shingles of a block of documents whose sets are compared with those of another, about.
+SHINGLES = 1 << 18
 #: Shingles whose bits are counted at once.
 SLICE = 1 << 16
 
@@ -147,11 +152,12 @@ def _leaves(a, b, same, alo, ahi, blo, bhi, budget, bits) -> Iterator[tuple[np.n
             yield i[hit], j[hit]
 
 
-def links(distinct: DataFrame, n: int, lane: int, budget: int, bits: int = 64, total: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, n: int, lane: int, budget: int, bits: int = 64, total: int | None = None, lanes: int | None = None) -> DataFrame:
     """Spanning links (u, v) of doc_id between ``n`` distinct fingerprints (fp, d).
 
     Two link if the leading ``bits`` of ``lane`` differ in at most ``budget``
-    and, where ``total`` is given, all lanes together in at most ``total`` bits.
+    and, where ``total`` is given, all lanes (the first ``lanes``) together in at
+    most ``total`` bits.
     """
     cut = min(bits, max(0, int(np.ceil(np.log2(max(1, n / BLOCK))))))
     key = F.get("fp", F.lit(lane))
@@ -182,7 +188,7 @@ def links(distinct: DataFrame, n: int, lane: int, budget: int, bits: int = 64, t
                 parent = np.arange(len(da) + (0 if same else len(db)))
                 for i, j in walk(fa[:, lane].copy(), fb[:, lane].copy(), same, cut, budget, bits):
                     if total is not None:
-                        near = np.bitwise_count(fa[i] ^ fb[j]).sum(axis=1, dtype=np.int64) <= total
+                        near = np.bitwise_count(fa[i, :lanes] ^ fb[j, :lanes]).sum(axis=1, dtype=np.int64) <= total
                         i, j = i[near], j[near]
                     merge(parent, i, j if same else j + len(da))
                 ids = da if same else np.concatenate([da, db])
@@ -255,13 +261,134 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, margin: flo
     return _classes(stored(fingerprints(docs, size, lanes)), lanes, find)
 
 
+def shingles(text: str, size: int) -> np.ndarray:
+    """The sorted set of a text's shingles as 64-bit hashes."""
+    words = text.encode().lower().split()
+    n = max(1, len(words) - size + 1) if words else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i:i + size]), SEED) for i in range(n)), np.uint64, n))
+
+
+def _digested(docs: DataFrame, size: int, lanes: int) -> DataFrame:
+    """``fingerprints`` with a digest of the set of shingles after the lanes, so that equal rows have equal sets."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = []
+            for t in batch.column("text").to_pylist():
+                fp += [fingerprint(t or "", size, lanes), np.array([xxhash.xxh64_intdigest(shingles(t or "", size).tobytes(), SEED)], np.uint64)]
+            flat = np.concatenate(fp).view(np.int64) if fp else np.empty(0, np.int64)
+            ends = pa.array(np.arange(0, len(flat) + 1, lanes + 1, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(flat))], ["doc_id", "fp"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, fp array<long>")
+
+
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """node and s, the set of shingles, of every row of docs (node, text)."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                sets = [shingles(t or "", size) for t in part.column("text").to_pylist()]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], ["node", "s"])
+
+    return docs.select("node", "text").mapInArrow(work, "node long, s array<long>")
+
+
+def _compared(some: pa.Table, all_: pa.Table, similarity: float) -> pa.Table:
+    """Spanning links (u, v) of the labels in two blocks, by pairs of documents whose sets reach the similarity."""
+    links: list[tuple[int, int]] = []
+    if some.num_rows and all_.num_rows:
+        sets, near = (t.column("s").combine_chunks() for t in (some, all_))
+        sizes = np.diff(near.offsets.to_numpy())
+        flat = near.flatten().to_numpy().view(np.uint64)
+        order = np.argsort(flat, kind="stable")
+        keys, owner = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+        labels = all_.column("v").to_numpy()
+        parent = {int(x): int(x) for x in np.concatenate([labels, some.column("v").to_numpy()])}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for row, own in enumerate(some.column("v").to_pylist()):
+            x = sets[row].values.to_numpy().view(np.uint64)
+            lo, hi = np.searchsorted(keys, x, "left"), np.searchsorted(keys, x, "right")
+            n = hi - lo
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            both = np.bincount(owner[at], minlength=len(sizes))
+            for other in np.unique(labels[(both > 0) & (both >= similarity * (len(x) + sizes - both) - 1e-9)]).tolist():
+                a, b = root(own), root(other)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    links.append((own, other))
+    u, v = zip(*links) if links else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def verified(docs: DataFrame, loose: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (u, v) of exact Jaccard ``similarity`` or more among the documents that ``loose`` links (spanning ones) lead to.
+
+    All pairs of a loose component count. First the loose links themselves are
+    compared, which joins most of a group of true copies; then what is still
+    outside the largest part of its component meets all the component's
+    documents, block by block. So a component costs its size times what the
+    first step left over, and no block depends on the component's size.
+    """
+    edges = stored(loose.distinct())
+    inside = components(edges)
+    kind = dict(docs.dtypes)["doc_id"]
+    texts = docs.select("doc_id", "text").join(inside.select(F.col("node").cast(kind).alias("doc_id"), "node"), "doc_id")
+    sets = stored(_sets(texts, size).withColumn("h", F.xxhash64("s")).dropDuplicates(["node", "h"]).drop("h"))
+    release(docs.sparkSession)
+    pairs = edges.join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
+    both = F.size(F.array_intersect("a", "b"))
+    near = stored(pairs.where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v").distinct())
+    parts = components(near).select(F.col("node").alias("part_node"), F.col("label").alias("part"))
+    members = stored(inside.join(parts, F.col("node") == F.col("part_node"), "left").select("node", "label", F.coalesce("part", "node").alias("v")))
+    sized = stored(sets.join(members, "node").select("label", "v", "s"))
+    split = sized.groupBy("label", "v").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("size")).groupBy("label").agg(
+        F.max_by("v", F.struct("n", "v")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "v", "size")).alias("top"))
+    # two documents have met already
+    split = split.where("parts > 1 AND n > 2").select("label", "main", F.ceil(F.col("size") / SHINGLES).cast("int").alias("blocks"),
+                                                      F.ceil((F.col("size") - F.col("top.size")) / SHINGLES).cast("int").alias("rest_blocks"))
+    rows = sized.join(split, "label").withColumn("h", F.xxhash64("s"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
+    block = lambda n: F.pmod("h", F.greatest(F.col(n), F.lit(1))).cast("int")
+    some = rows.where("v <> main").select("label", block("rest_blocks").alias("i"), upto("blocks").alias("j"), "v", "s")
+    all_ = rows.select("label", upto("rest_blocks").alias("i"), block("blocks").alias("j"), "v", "s").toDF("label_", "i_", "j_", "v", "s")
+    more = some.groupBy("label", "i", "j").cogroup(all_.groupBy("label_", "i_", "j_")).applyInArrow(lambda a, b: _compared(a, b, similarity), "u long, v long")
+    return near.union(stored(more))
+
+
+def exact(docs: DataFrame, size: int = 5, similarity: float = 0.8, loose: float = 0.6, budget: int = 4, found: float = 0.99) -> DataFrame:
+    """Per row: doc_id, fp (a number a lane and a digest) and component_id by links of exact Jaccard ``similarity`` or more.
+
+    Candidates are met with probability ``found`` at that similarity, and are
+    dropped unseen only where all lanes together speak for less than ``loose``.
+    """
+    bits, lanes = lane_plan(docs.count(), similarity, budget, found)
+    lanes = max(lanes, 4)
+    total = math.floor(64 * lanes * differing_share(loose))
+
+    def find(distinct: DataFrame, n: int) -> DataFrame:
+        met = []
+        for lane in range(lanes):
+            met.append(stored(links(distinct, n, lane, budget, bits, total, lanes)))
+            release(docs.sparkSession)
+        return verified(docs, reduce(DataFrame.union, met), size, similarity)
+
+    return _classes(stored(_digested(docs, size, lanes)), lanes + 1, find)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component of ``similar`` the one with the smallest doc_id.
+    """The rows of docs that stay: of each component of ``exact`` the one with the smallest doc_id.
 
     Rows that repeat a doc_id count as copies of one document: the one whose text
     has the smallest hash stays. Rows without doc_id stay.
     """
-    marked = similar(docs)
+    marked = exact(docs)
     keep = marked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     own = Window.partitionBy("doc_id").orderBy("order")
     rows = docs.select("doc_id", F.xxhash64("text").alias("order"), F.struct(*docs.columns).alias("row"))

@@ -95,6 +95,34 @@ def test_similar_texts_share_a_component_and_others_do_not(spark):
     assert pairs and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
 
 
+@pytest.mark.parametrize("block", [1 << 18, 50])
+def test_exact_links_are_the_pairs_of_that_jaccard(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "SHINGLES", block)
+    rng = random.Random(3)
+    rows = []
+    for group in range(30):  # copies of one text with runs of words replaced: Jaccard about 0.6 to 0.95
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for _ in range(6):
+            copy, n = list(base), rng.choice([2, 6, 10, 14, 20, 30])
+            at = rng.randrange(200 - n)
+            copy[at:at + n] = [f"x{rng.randrange(5000)}" for _ in range(n)]
+            rows.append((len(rows), " ".join(copy)))
+    # equal fingerprints by one shingle that outnumbers all others, but different sets
+    rows += [(len(rows) + k, "a " * 300 + " ".join(f"{c}{i}" for i in range(30))) for k, c in enumerate("yz")]
+    rows += [(500, rows[0][1]), (501, rows[0][1].upper())]
+    sets = {i: {tuple(w[k:k + 5]) for w in [t.lower().split()] for k in range(len(w) - 4)} for i, t in rows}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    want = plain_groups(list(sets), lambda a, b: (min(a, b), max(a, b)) in near)
+    docs = spark.createDataFrame([*rows, (None, "x y z")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.exact(docs).collect()}
+    assert got.pop(None) is None
+    apart = {(a, b) for a in sets for b in sets if a < b and want[a] != want[b]}
+    assert not any(got[a] == got[b] for a, b in apart)  # nothing below the bar is joined
+    assert sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {None, *(i for i, c in got.items() if i == c)}
+    assert simhash.exact(docs.where("false")).count() == 0
+
+
 def test_walk_finds_all_links_of_two_subtrees():
     rng = np.random.default_rng(1)
     x = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))
