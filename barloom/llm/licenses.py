@@ -40,12 +40,17 @@ SENTENCES = {
     "isc_grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
     "gpl3_ref": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"],
     "gpl2_ref": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "released under the gnu general public license version 2"],
-    "gpl3_later": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
-    "gpl2_later": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
-    "gpl_warranty": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    # a stop within a public wording cuts it, so its parts are the known ones; "this program is free software" goes before these
+    "gpl3_later": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "gpl2_later": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "gpl_terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "gpl3_version": ["either version 3 of the license or at your option any later version"],
+    "gpl2_version": ["either version 2 of the license or at your option any later version"],
+    "gpl_warranty": ["this program is distributed in the hope that it will be useful but without any warranty"],
+    "gpl_implied": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
     "gpl_copy": ["you should have received a copy of the gnu general public license along with this program"],
     "lgpl_ref": ["licensed under the gnu lesser general public license version 2.1", "licensed under the gnu lesser general public license version 3"],
-    "mpl_ref": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"],
+    "mpl_ref": ["this source code form is subject to the terms of the mozilla public license v", "this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"],
     "cc0_ref": ["this work is dedicated to the public domain under cc0 1.0", "this work is licensed under cc0 1.0 universal public domain dedication"],
     "ccby_ref": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
     "ccbysa_ref": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license"],
@@ -57,8 +62,9 @@ RULES = [
     ("MIT", ["mit_grant", "mit_notice", "mit_as_is", "liability"]), ("MIT", ["mit_grant", "mit_notice"]),
     ("Apache-2.0", ["apache_ref", "apache_limit", "apache_copy", "apache_as_is", "apache_see"]), ("Apache-2.0", ["apache_ref", "apache_limit", "apache_copy"]),
     ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_name"]), ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
-    ("GPL-3.0-or-later", ["gpl3_later", "gpl_warranty", "gpl_copy"]), ("GPL-2.0-or-later", ["gpl2_later", "gpl_warranty", "gpl_copy"]),
-    ("GPL-3.0-or-later", ["gpl3_later"]), ("GPL-2.0-or-later", ["gpl2_later"]), ("ISC", ["isc_grant"]),
+    ("GPL-3.0-or-later", ["gpl3_later", "gpl_warranty", "gpl_implied", "gpl_copy"]), ("GPL-2.0-or-later", ["gpl2_later", "gpl_warranty", "gpl_implied", "gpl_copy"]),
+    ("GPL-3.0-or-later", ["gpl_terms", "gpl3_version", "gpl_warranty", "gpl_implied", "gpl_copy"]), ("GPL-2.0-or-later", ["gpl_terms", "gpl2_version", "gpl_warranty", "gpl_implied", "gpl_copy"]),
+    ("GPL-3.0-or-later", ["gpl3_later"]), ("GPL-2.0-or-later", ["gpl2_later"]), ("GPL-3.0-or-later", ["gpl_terms", "gpl3_version"]), ("GPL-2.0-or-later", ["gpl_terms", "gpl2_version"]), ("ISC", ["isc_grant"]),
     ("MIT", ["mit_name"]), ("MIT", ["mit_ref"]), ("Apache-2.0", ["apache_ref"]), ("BSD-2-Clause", ["bsd2_ref"]), ("BSD-3-Clause", ["bsd3_ref"]),
     ("GPL-3.0-only", ["gpl3_ref"]), ("GPL-2.0-only", ["gpl2_ref"]), ("LGPL", ["lgpl_ref"]), ("MPL-2.0", ["mpl_ref"]),
     ("CC0-1.0", ["cc0_ref"]), ("CC-BY-4.0", ["ccby_ref"]), ("CC-BY-SA-4.0", ["ccbysa_ref"]), ("CC-BY-NC-4.0", ["ccbync_ref"]), ("Unlicense", ["unlicense"]),

@@ -107,6 +107,32 @@ def test_licences(spark):
     assert len(names) == sum(map(len, licenses.SENTENCES.values())) and all(x in licenses.SENTENCES for _, ids in licenses.RULES for x in ids)
 
 
+GPL = """This program is free software{stop} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{sep} either version {n} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_public_notices_with_stops_inside(spark):
+    notices = [(GPL.format(stop=":", sep=",", n=3), "GPL-3.0-or-later"), (GPL.format(stop=";", sep=";", n=2), "GPL-2.0-or-later"), (MPL, "MPL-2.0")]
+    marked = [(mark + t.replace("\n", "\n" + mark), want) for t, want in notices for mark in ("", "# ", "// ", " * ")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(marked)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.recognise(docs).collect()}
+    assert {i: r.licenses for i, r in got.items()} == {i: want for i, (_, want) in enumerate(marked)}
+    assert all("gpl_warranty,gpl_implied,gpl_copy" in got[i].sentence_ids for i, (_, want) in enumerate(marked) if want.startswith("GPL"))
+
+
 def test_packing_plan_places_every_piece_once():
     rng = random.Random(1)
     for _ in range(200):
