@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, counts, licenses, packing, quality, secrets, simhash, substring, vafile, warc
+from barloom.llm import align, bpe, counts, extract, licenses, packing, quality, secrets, simhash, substring, vafile, warc
 from barloom.llm.common import shared_folder, table
 from barloom.llm.sql import ORACLE
 
@@ -58,7 +58,15 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.describe(warc.read_archive(spark, path))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return align.link_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.extract(table(spark, sf, "pages"))
+
+
 QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_exact_top_k, op3_simhash_near_dedup, op4_secret_scans, op5_substring_dedup, op6_token_counts, op7_best_fit_packing, op8_license_scans,
-                                     op9_quality_rules, op10_warc)}
+                                     op9_quality_rules, op10_warc, op11_cross_tokenizer_alignment, op12_html_extraction)}
 
 __all__ = ["ORACLE", "QUERIES"]
