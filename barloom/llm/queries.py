@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import align, bpe, counts, extract, licenses, packing, quality, secrets, simhash, substring, vafile, warc
+from barloom.llm import align, bpe, counts, extract, licenses, packing, quality, repair, secrets, simhash, substring, vafile, warc
 from barloom.llm.common import shared_folder, table
 from barloom.llm.sql import ORACLE
 
@@ -66,7 +66,12 @@ def op12_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return extract.extract(table(spark, sf, "pages"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.repair(table(spark, sf, "conversations"))
+
+
 QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_exact_top_k, op3_simhash_near_dedup, op4_secret_scans, op5_substring_dedup, op6_token_counts, op7_best_fit_packing, op8_license_scans,
-                                     op9_quality_rules, op10_warc, op11_cross_tokenizer_alignment, op12_html_extraction)}
+                                     op9_quality_rules, op10_warc, op11_cross_tokenizer_alignment, op12_html_extraction,
+                                     op13_conversation_repair)}
 
 __all__ = ["ORACLE", "QUERIES"]
