@@ -48,12 +48,12 @@ from barloom.llm.common import chunks, stored
 BLANK = "▁"
 #: A unit starts at a blank after anything but white space.
 UNITS = regex.compile(r"(?<=\S)(?= )")
-#: Memoised units per Python worker; the memo starts anew beyond it.
-MEMO = 700_000
+#: Memoised units per Python worker; beyond it the half used most stays.
+MEMO = 300_000
 #: Longer units are not memoised beyond their block.
 MEMO_CHARS = 64
 #: Characters of a block (a longer document is a block alone).
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 
 def shared_cuts(a_end: np.ndarray, b_end: np.ndarray, a_lo, a_hi, b_lo, b_hi) -> tuple[np.ndarray, np.ndarray]:
@@ -147,11 +147,26 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.text: list[str] = []  # of each unit's groups
         self.bad: set[int] = set()  # units to whose bytes their tokens do not join
+        self.uses = np.zeros(0, np.int64)
         self.sizes = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, links
         self.first = np.zeros(1, np.int64)  # where a unit's pairs start
         self.pairs = np.zeros(0, np.int64)
         self.links = np.zeros(0, np.int64)
 
+    def thin_out(self, size: int) -> None:
+        """Keep the ``size`` memoised units that were used most."""
+        names = list(self.known)
+        at = np.fromiter(self.known.values(), np.int64, len(names))
+        best = np.argsort(-self.uses[at], kind="stable")[:size]
+        at, names = at[best], [names[i] for i in best.tolist()]
+        bad = {k for k, i in enumerate(at.tolist()) if i in self.bad}
+        per = self.first[at + 1] - self.first[at]
+        rows = ragged(self.first[at], per)
+        text, uses, sizes, pairs, links = [self.text[i] for i in at.tolist()], self.uses[at], self.sizes[at], self.pairs[rows], self.links[rows]
+        self.forget()
+        self.known, self.text, self.bad = {u: k for k, u in enumerate(names)}, text, bad
+        self.uses, self.sizes, self.first, self.pairs, self.links = uses // 2, sizes, np.append(0, np.cumsum(per)), pairs, links
+
     def _encode_a(self, units: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A ids of all units, one after the other, and how many each has.
 
@@ -232,13 +247,16 @@ class Aligner:
 
     def block(self, texts: list[str]) -> list[list[int] | None]:
         """Unit numbers of each text (None: it has no tokens)."""
-        if len(self.known) > MEMO:
-            self.forget()
+        if len(self.text) > MEMO:
+            self.thin_out(MEMO // 2)
         lists = [UNITS.split(" " + t) if t else [] for t in texts]
         new = list({u for units in lists for u in units if u not in self.known})
         if new:
             self.learn(new)
         found = [list(map(self.known.__getitem__, units)) for units in lists]
+        self.uses = np.append(self.uses, np.zeros(len(self.text) - len(self.uses), np.int64))
+        for ids in found:
+            np.add.at(self.uses, ids, 1)
         for u in new:
             if len(u) > MEMO_CHARS:
                 del self.known[u]
