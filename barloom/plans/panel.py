@@ -5,7 +5,7 @@ are grouped so that all work of one layout runs before the next shuffle:
 
 * symbol stage - trailing and leading frames, lags: one exchange, one sort
 * whole-symbol stage - per-symbol and running aggregates, same layout
-* recurrence stage - y = a*y + b along the bars, Arrow batches
+* recurrence stage - y = a*y + b along the bars, a parallel prefix on Arrow batches
 * date stage - cross-sectional aggregates and ranks
 
 When ``oversized`` finds a symbol (or date) too large for one task, the same
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from barloom.functions.expr import Expr
 from barloom.plans import skew
+from barloom.plans.prefix import scan_rows
 from barloom.session import durable
 
 IDX, BLK = "__idx", "__blk"
@@ -75,19 +76,6 @@ AGGS = {
 }
 
 
-def affine_scan(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Columns of y, of the running product of a, and of 'restarted since the start'."""
-    y, p = np.empty_like(b), np.empty_like(a)
-    state, prod = np.zeros(b.shape[1]), np.ones(b.shape[1])
-    with np.errstate(all="ignore"):
-        for t in range(len(b)):
-            # a restart must not let an earlier NaN through as 0 * NaN
-            state = np.where(a[t] == 0.0, b[t], a[t] * state + b[t])
-            prod = prod * a[t]
-            y[t], p[t] = state, prod
-    return y, p, np.logical_or.accumulate(a == 0.0, axis=0)
-
-
 class _Evaluation:
     def __init__(self, panel: Panel, exprs: dict[str, Expr], keep: list[str] | None):
         self.panel, self.exprs = panel, exprs
@@ -354,11 +342,12 @@ class _Evaluation:
         live = [c for c in df.columns if c not in feeds]
         df = df.withColumns(feeds)
         names = [self._name(n) for n in batch]
+        pairs = [(f"__a{n.uid}", f"__b{n.uid}") for n in batch]
         if not self.hot_symbol:
-            return _scan_groups(df, [self.symbol], self.time, live, batch, names, False)
+            return scan_rows(df, [self.symbol], self.time, live, pairs, [(name,) for name in names])
         df = durable(df.withColumn(BLK, F.floor(F.col(IDX) / F.lit(self.block))))
         local = durable(
-            _scan_groups(df, [self.symbol, BLK], self.time, [*live, BLK], batch, names, True)
+            scan_rows(df, [self.symbol, BLK], self.time, [*live, BLK], pairs, [(f"__y{n.uid}", f"__p{n.uid}", f"__r{n.uid}") for n in batch])
         )
         ends = local.groupBy(self.symbol, BLK).agg(*[
             F.max_by(F.struct(f"__y{n.uid}", f"__p{n.uid}", f"__r{n.uid}"), self.time).alias(f"__e{n.uid}")
@@ -372,7 +361,7 @@ class _Evaluation:
             )
         ])
         # one row per block: a symbol's chain of block ends is its rows / block size
-        carried = _scan_groups(chain, [self.symbol], BLK, [self.symbol, BLK], batch, names, False)
+        carried = scan_rows(chain, [self.symbol], BLK, [self.symbol, BLK], pairs, [(name,) for name in names])
         into = carried.select(
             self.symbol, (F.col(BLK) + 1).alias(BLK), *[F.col(self._name(n)).alias(f"__in{n.uid}") for n in batch]
         )
@@ -465,29 +454,3 @@ def _rank_groups(df: DataFrame, group: str, live: list[str], feeds: list[str], n
         return out
 
     return df.select(*dict.fromkeys([*live, *feeds])).groupBy(group).applyInArrow(run, T.StructType(fields))
-
-
-def _scan_groups(df, group, order, live, batch, names, blockwise):
-    """Run the recurrences of ``batch`` inside each group (a checked, bounded size)."""
-    fields = [df.schema[c] for c in live]
-    ys = [f"__y{n.uid}" for n in batch] if blockwise else names
-    fields += [T.StructField(y, T.DoubleType()) for y in ys]
-    if blockwise:
-        fields += [T.StructField(f"__p{n.uid}", T.DoubleType()) for n in batch]
-        fields += [T.StructField(f"__r{n.uid}", T.BooleanType()) for n in batch]
-    a_cols, b_cols = [f"__a{n.uid}" for n in batch], [f"__b{n.uid}" for n in batch]
-    p_cols, r_cols = [f"__p{n.uid}" for n in batch], [f"__r{n.uid}" for n in batch]
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(order).combine_chunks()
-        a = np.column_stack([rows[c].to_numpy() for c in a_cols])
-        b = np.column_stack([rows[c].to_numpy() for c in b_cols])
-        y, p, r = affine_scan(a, b)
-        extra = dict(zip(ys, y.T))
-        if blockwise:
-            extra.update(zip(p_cols, p.T))
-            extra.update(zip(r_cols, r.T))
-        return append_columns(rows.select(live), extra)
-
-    needed = list(dict.fromkeys([*live, *group, order, *a_cols, *b_cols]))
-    return df.select(*needed).groupBy(*group).applyInArrow(run, T.StructType(fields))
