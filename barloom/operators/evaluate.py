@@ -9,6 +9,7 @@ from barloom.functions import safe
 from barloom.functions.cs import cs_count, cs_pct, cs_rank
 from barloom.functions.expr import Expr, close, col, shift
 from barloom.plans.intervals import calendar
+from barloom.plans.gram import correlations
 from barloom.plans.panel import Panel
 
 Segments = dict[str, tuple[str, str]]
@@ -128,16 +129,12 @@ def yearly(daily: DataFrame) -> DataFrame:
 def rank_correlation(df: DataFrame, factors: list[str], **panel) -> DataFrame:
     """Pooled correlation of per-date percentile ranks for every factor pair.
 
-    Rows must have every factor (ranks are taken before that filter).
+    Rows must have every factor (ranks are taken before that filter). The pairs come
+    from one matrix of cross-products, so any number of factors is one pass.
     """
     clean = df.select("datetime", "vt_symbol", *[safe.nan_to_null(F.col(f).cast("double")).alias(f) for f in factors])
     pct = Panel(clean, **panel).select({f: cs_pct(col(f)) for f in factors}).na.drop(subset=factors)
-    pairs = [(a, b) for a in factors for b in factors]
-    row = pct.agg(*[corr_agg(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("factor"), F.lit(b).alias("other"), F.col(f"`{i}`").alias("corr"))
-        for i, (a, b) in enumerate(pairs)]))
-    return row.select(cells.alias("c")).select("c.*")
+    return correlations(pct, factors, shift=0.5)  # ranks lie around one half
 
 
 def composite(df: DataFrame, weights: dict[str, float], **panel) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions import safe
 from barloom.operators.events import bucket
-from barloom.plans.intervals import islands
+from barloom.plans.intervals import covering, islands, subtract_intervals
+from barloom.plans.quantiles import exact_quantiles
 
 WINDOWS = {"m5": 1, "m15": 3, "m30": 6, "m60": 12}  # bars of five minutes
 
@@ -70,10 +71,12 @@ def minute_features(events: DataFrame, minutes: DataFrame, windows: dict[str, in
 
 def quintiles(df: DataFrame, name: str, parts: int = 5) -> DataFrame:
     """Quantile bucket 1..n of a column; null unless it has enough distinct values."""
-    qs = [i / parts for i in range(1, parts)]
-    edges = df.agg(F.percentile(name, qs).alias("__q"), F.countDistinct(name).alias("__d"))
-    place = F.when((F.col("__d") >= parts) & F.col(name).isNotNull(), F.size(F.filter("__q", lambda q: q < F.col(name))) + 1)
-    return df.crossJoin(F.broadcast(edges)).withColumn(f"{name}_q", place).drop("__q", "__d")  # one row
+    qs = exact_quantiles(df, [name], [i / parts for i in range(1, parts)])[name]
+    enough = df.select(name).where(F.col(name).isNotNull()).distinct().limit(parts).count() >= parts  # a look at whether there are that many
+    if not enough:
+        return df.withColumn(f"{name}_q", F.lit(None).cast("int"))
+    place = F.size(F.filter(F.array(*[F.lit(q) for q in qs]), lambda q: q < F.col(name))) + 1
+    return df.withColumn(f"{name}_q", F.when(F.col(name).isNotNull(), place))
 
 
 def fixed_buckets(df: DataFrame, name: str, edges: list[float], labels: list[str]) -> DataFrame:
@@ -198,3 +201,18 @@ def required_dates(events: DataFrame, days: DataFrame, ahead: int) -> DataFrame:
 def fetch_ranges(needed: DataFrame, days: DataFrame) -> DataFrame:
     """Contiguous ranges on the trading calendar."""
     return islands(needed, days, "vt_symbol", "trade_date", start="start_date", end="end_date")
+
+
+def plan_lookup(events: DataFrame, plan: DataFrame, date: str = "entry_date") -> DataFrame:
+    """Events with the columns of the earliest range of their symbol's fetch plan that holds their date (none: nulls).
+
+    ``plan`` (vt_symbol, start_date, end_date, ...) may hold overlapping ranges.
+    """
+    return covering(events, plan, "vt_symbol", date, "start_date", "end_date")
+
+
+def negative_fetch_plan(cohort: DataFrame, days: DataFrame, ahead: int, fetched: DataFrame | None = None) -> DataFrame:
+    """Ranges of trading days that the sampled negatives of ``cohort`` need and ``fetched`` ranges do not hold yet."""
+    ranges = fetch_ranges(required_dates(cohort.where("sample_label = 'negative'"), days, ahead), days)
+    ranges = ranges.select("vt_symbol", "start_date", "end_date")
+    return ranges if fetched is None else subtract_intervals(ranges, fetched, days, "vt_symbol", "trade_date", "start_date", "end_date")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from barloom.functions import safe
 from barloom.functions.expr import close, col, running, shift
 from barloom.functions.maths import floor_to
 from barloom.operators.evaluate import compounded, segment_column, sharpe
-from barloom.plans.intervals import calendar
+from barloom.plans.intervals import calendar, ordinals
 from barloom.plans.panel import Panel
 from barloom.session import durable
 
@@ -53,9 +54,9 @@ def active_days(days: DataFrame, rebalances: DataFrame) -> DataFrame:
     return spread.join(days, "day_index").select(TIME, "rebalance_id")
 
 
-def _equal_weight(rows: DataFrame, count: str) -> DataFrame:
-    sizes = rows.groupBy("rebalance_id").agg(F.count("*").alias(count))
-    return rows.join(sizes, "rebalance_id").withColumn("weight", 1.0 / F.col(count))
+def _equal_weight(rows: DataFrame, count: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    sizes = rows.groupBy(*keys, "rebalance_id").agg(F.count("*").alias(count))
+    return rows.join(sizes, [*keys, "rebalance_id"]).withColumn("weight", 1.0 / F.col(count))
 
 
 def target_positions(frame: DataFrame, rebalances: DataFrame, config: PortfolioConfig) -> DataFrame:
@@ -79,29 +80,31 @@ def benchmark_positions(frame: DataFrame, rebalances: DataFrame) -> DataFrame:
     return _equal_weight(rows.select("rebalance_id", "effective_start", "effective_end", "vt_symbol"), "benchmark_count")
 
 
-def turnover_costs(positions: DataFrame, fee_rate: float) -> DataFrame:
-    """Sum of |weight change| against the previous non-empty rebalance, and its cost.
+def turnover_costs(positions: DataFrame, fee_rate: float | Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sum of |weight change| against the previous non-empty rebalance, and its cost, per book of ``keys``.
 
     Each position is counted once as a buy on its own rebalance and once as a sale
     on the next one present; grouping cancels the part that is kept. The first entry
-    is charged, the final exit is not.
+    is charged, the final exit is not. Positions are written once and read from there.
     """
     # positions are top-N or one rebalance's benchmark per period: far smaller than the panel
-    present = calendar(positions, "rebalance_id", "ordinal")
-    dates = positions.groupBy("rebalance_id").agg(F.min("effective_start").alias(TIME), F.count("*").alias("holding_count"))
-    placed = positions.select("rebalance_id", "vt_symbol", "weight").join(present, "rebalance_id")
-    legs = placed.select("vt_symbol", F.explode(F.array(
+    positions = durable(positions.select(*keys, "rebalance_id", "vt_symbol", "weight", "effective_start"))
+    order = Window.partitionBy(*keys).orderBy("rebalance_id") if keys else Window.orderBy("rebalance_id")
+    present = positions.groupBy(*keys, "rebalance_id").agg(F.min("effective_start").alias(TIME), F.count("*").alias("holding_count")).withColumn(
+        "ordinal", F.row_number().over(order).cast("long"))  # one row a rebalance
+    placed = positions.join(present.select(*keys, "rebalance_id", "ordinal"), [*keys, "rebalance_id"])
+    legs = placed.select(*keys, "vt_symbol", F.explode(F.array(
         F.struct(F.col("ordinal").alias("ordinal"), F.col("weight").alias("w")),
-        F.struct((F.col("ordinal") + 1).alias("ordinal"), (-F.col("weight")).alias("w")))).alias("leg")).select("vt_symbol", "leg.*")
-    change = legs.groupBy("ordinal", "vt_symbol").agg(F.sum("w").alias("w"))
-    total = change.groupBy("ordinal").agg(F.sum(F.abs("w")).alias("turnover"))
-    return total.join(present, "ordinal").join(dates, "rebalance_id").select(
-        TIME, "rebalance_id", "turnover", (F.col("turnover") * fee_rate).alias("cost"), "holding_count")
+        F.struct((F.col("ordinal") + 1).alias("ordinal"), (-F.col("weight")).alias("w")))).alias("leg")).select(*keys, "vt_symbol", "leg.*")
+    change = legs.groupBy(*keys, "ordinal", "vt_symbol").agg(F.sum("w").alias("w"))
+    total = change.groupBy(*keys, "ordinal").agg(F.sum(F.abs("w")).alias("turnover"))
+    return total.join(present, [*keys, "ordinal"]).select(
+        *keys, TIME, "rebalance_id", "turnover", (F.col("turnover") * fee_rate).alias("cost"), "holding_count")
 
 
-def position_returns(returns: DataFrame, positions: DataFrame, days: DataFrame, name: str) -> DataFrame:
-    rows = returns.join(days, TIME).join(positions.select("rebalance_id", "vt_symbol", "weight"), ["rebalance_id", "vt_symbol"])
-    return rows.groupBy(TIME).agg(F.sum(F.col("daily_return") * F.col("weight")).alias(name))
+def position_returns(returns: DataFrame, positions: DataFrame, days: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    held = positions.select(*keys, "rebalance_id", "vt_symbol", "weight").join(days, [*keys, "rebalance_id"])
+    return returns.join(held, [TIME, "vt_symbol"]).groupBy(*keys, TIME).agg(F.sum(F.col("daily_return") * F.col("weight")).alias(name))
 
 
 def backtest(frame: DataFrame, config: PortfolioConfig) -> DataFrame:
@@ -110,24 +113,48 @@ def backtest(frame: DataFrame, config: PortfolioConfig) -> DataFrame:
     ``frame``: trade_date, vt_symbol, daily_return, signal_eligible,
     benchmark_eligible and the score column.
     """
-    frame = durable(frame.select(
-        TIME, "vt_symbol", "daily_return", "signal_eligible", "benchmark_eligible", config.score))  # read eight times below
+    return backtest_grid(frame, [config]).drop("config")
+
+
+def backtest_grid(frame: DataFrame, configs: list[PortfolioConfig]) -> DataFrame:
+    """``backtest`` of several configurations, numbered in ``config``, on the same frame.
+
+    The configurations are an axis of the calendar: one shared calendar, symbols
+    ranked once per signal date, books and returns keyed by configuration.
+    """
+    if not configs:
+        raise ValueError("no configuration")
+    if any((c.entry_lag, c.score) != (configs[0].entry_lag, configs[0].score) for c in configs):
+        raise ValueError("configurations of one grid must share the panel settings")
+    key, score = ("config",), F.col(configs[0].score)
+    per_config = lambda of: F.element_at(F.array(*[F.lit(of(c)) for c in configs]), F.col("config") + 1)
+    frame = durable(frame.select(TIME, "vt_symbol", "daily_return", "signal_eligible", "benchmark_eligible", configs[0].score))
     days = durable(calendar(frame, TIME))
-    plan = durable(rebalance_calendar(days, config))
-    active, fee = active_days(days, plan), config.fee_bps / 10_000.0
-    book, bench = durable(target_positions(frame, plan, config)), durable(benchmark_positions(frame, plan))
+    plans = [rebalance_calendar(days, c).withColumn("config", F.lit(i)) for i, c in enumerate(configs)]
+    plan = durable(functools.reduce(DataFrame.unionByName, plans))  # one row a rebalance
+    dates = plan.select("config", "rebalance_id", "signal_date", "effective_start", "effective_end")
+    signals = frame.join(plan.select(F.col("signal_date").alias(TIME)).distinct(), TIME)
+    order = Window.partitionBy(TIME).orderBy(score.desc(), "vt_symbol")
+    top = signals.where(F.col("signal_eligible") & score.isNotNull() & ~F.isnan(score)).withColumn("rank", F.row_number().over(order))
+    top = top.where(F.col("rank") <= max(c.top_n for c in configs)).select(F.col(TIME).alias("signal_date"), "vt_symbol", "rank").join(dates, "signal_date")
+    book = durable(_equal_weight(top.where(F.col("rank") <= per_config(lambda c: c.top_n)), "selected_count", key))
+    even_book = signals.where("benchmark_eligible").select(F.col(TIME).alias("signal_date"), "vt_symbol").join(dates, "signal_date")
+    bench = durable(_equal_weight(even_book, "benchmark_count", key))
+    active = plan.select("config", "rebalance_id", F.explode(F.sequence("start_index", "end_index")).alias("day_index")).join(days, "day_index").drop("day_index")
     returns = frame.select(TIME, "vt_symbol", "daily_return").where(F.col("daily_return").isNotNull())
-    gross = position_returns(returns, book, active, "gross_return")
-    matched = position_returns(returns, bench, active, "benchmark_gross_return")
+    gross = position_returns(returns, book, active, "gross_return", key)
+    matched = position_returns(returns, bench, active, "benchmark_gross_return", key)
     even = frame.where(F.col("benchmark_eligible") & F.col("daily_return").isNotNull()).groupBy(TIME).agg(
         F.avg("daily_return").alias("daily_equal_weight_benchmark_return"))
-    cost = turnover_costs(book, fee).drop("rebalance_id")
-    bench_cost = turnover_costs(bench, fee).select(
-        TIME, F.col("turnover").alias("benchmark_turnover"), F.col("cost").alias("benchmark_cost"),
+    fee = per_config(lambda c: c.fee_bps / 10_000.0)
+    cost = turnover_costs(book, fee, key).drop("rebalance_id")
+    bench_cost = turnover_costs(bench, fee, key).select(
+        "config", TIME, F.col("turnover").alias("benchmark_turnover"), F.col("cost").alias("benchmark_cost"),
         F.col("holding_count").alias("benchmark_holding_count"))
-    rows = gross.join(matched, TIME, "left").join(even, TIME, "left").join(cost, TIME, "left").join(bench_cost, TIME, "left")
+    both = ["config", TIME]
+    rows = gross.join(matched, both, "left").join(even, TIME, "left").join(cost, both, "left").join(bench_cost, both, "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("turnover", "cost", "benchmark_turnover", "benchmark_cost")}
-    so_far = Window.orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)  # one row per date
+    so_far = Window.partitionBy("config").orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)  # one row per date
     held = {c: F.last(c, ignorenulls=True).over(so_far) for c in ("holding_count", "benchmark_holding_count")}
     rows = rows.withColumns(zero | held)
     rows = rows.withColumns({"net_return": F.col("gross_return") - F.col("cost"),
@@ -136,19 +163,7 @@ def backtest(frame: DataFrame, config: PortfolioConfig) -> DataFrame:
         "gross_excess_return": F.col("gross_return") - F.col("benchmark_gross_return"),
         "net_excess_return": F.col("net_return") - F.col("benchmark_return"),
         "daily_equal_weight_net_excess_return": F.col("net_return") - F.col("daily_equal_weight_benchmark_return"),
-        "top_n": F.lit(config.top_n), "rebalance_days": F.lit(config.rebalance_days)})
-
-
-def backtest_grid(frame: DataFrame, configs: list[PortfolioConfig]) -> DataFrame:
-    """One plan for several configurations of the same frame."""
-    if not configs:
-        raise ValueError("no configuration")
-    if any((c.entry_lag, c.score) != (configs[0].entry_lag, configs[0].score) for c in configs):
-        raise ValueError("configurations of one grid must share the panel settings")
-    out = backtest(frame, configs[0])
-    for c in configs[1:]:
-        out = out.unionByName(backtest(frame, c))
-    return out
+        "top_n": per_config(lambda c: c.top_n), "rebalance_days": per_config(lambda c: c.rebalance_days)})
 
 
 RETURNS = {"gross": "gross_return", "net": "net_return", "benchmark": "benchmark_return", "net_excess": "net_excess_return"}
@@ -366,12 +381,10 @@ def fill_missing_bars(bars: DataFrame, time: str = "datetime") -> DataFrame:
     The grid is symbols x dates from each symbol's first bar on.
     """
     days = bars.select(time).distinct()
-    first = bars.groupBy("vt_symbol").agg(F.min(time).alias("__first"))
-    year = lambda c: F.trunc(c, "year")
-    last = days.agg(F.max(time).alias("__last"))
-    years = first.crossJoin(F.broadcast(last)).select(  # one row
-        "vt_symbol", "__first", F.explode(F.sequence(year("__first"), year("__last"), F.expr("interval 1 year"))).alias("__y"))
-    grid = years.join(days.withColumn("__y", year(time)), "__y").where(F.col(time) >= F.col("__first")).select("vt_symbol", time)
+    first = bars.groupBy("vt_symbol").agg(F.min(time).alias("__start"))
+    spans = first.crossJoin(F.broadcast(days.agg(F.max(time).alias("__end"))))  # one row
+    cells = ordinals(spans, days, time, "__start", "__end")
+    grid = cells.select("vt_symbol", F.explode(F.sequence("__first", "__last")).alias("day_index")).join(calendar(days, time), "day_index").select("vt_symbol", time)
     rows = grid.join(bars, ["vt_symbol", time], "left")
     filled = Panel(rows, time=time).with_columns({"__last": running("last", close)})
     price = {c: F.coalesce(F.col(c), F.col("__last")) for c in ("open", "high", "low", "close")}

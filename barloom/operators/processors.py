@@ -14,6 +14,8 @@ from barloom.functions import safe
 from barloom.functions.cs import cs_mean, cs_median, cs_rank, cs_std, cs_sum
 from barloom.functions.expr import Expr, apply, col, lit, per_symbol
 from barloom.plans.panel import Panel
+from barloom.plans.quantiles import exact_quantiles
+from barloom.session import durable
 
 KEYS = ("datetime", "vt_symbol")
 
@@ -96,15 +98,16 @@ def robust_zscore_norm(df: DataFrame, start=None, end=None, clip: bool = True) -
     """Exact global median and MAD fitted on a date range; a column without spread stays finite."""
     from barloom.sources.store import within
     names = features(df)
-    sample = within(df, "datetime", start, end).select(*[_clean(F.col(c)).alias(c) for c in names])
-    medians = sample.agg(*[F.median(c).alias(f"__m{i}") for i, c in enumerate(names)])
-    mads = sample.crossJoin(F.broadcast(medians)).agg(
-        *[F.median(F.abs(F.col(c) - F.col(f"__m{i}"))).alias(f"__d{i}") for i, c in enumerate(names)])
+    sample = durable(within(df, "datetime", start, end).select(*[_clean(F.col(c)).alias(c) for c in names]))
+    medians = {c: m for c, (m,) in exact_quantiles(sample, names, [0.5]).items()}
+    known = [c for c in names if medians[c] is not None]
+    mads = {c: m for c, (m,) in exact_quantiles(sample, {c: F.abs(F.col(c) - medians[c]) for c in known}, [0.5]).items()} if known else {}
+    number = lambda x: F.lit(x).cast("double")
     out = {}
-    for i, c in enumerate(names):
-        z = (_clean(F.col(c)) - F.col(f"__m{i}")) / ((F.col(f"__d{i}") + 1e-12) * 1.4826)
+    for c in names:
+        z = (_clean(F.col(c)) - number(medians[c])) / ((number(mads.get(c)) + 1e-12) * 1.4826)
         out[c] = _clip3(z) if clip else z
-    return df.crossJoin(F.broadcast(medians.crossJoin(mads))).withColumns(out).select(*df.columns)  # one row
+    return df.withColumns(out).select(*df.columns)
 
 
 def cs_rank_norm(df: DataFrame, names: list[str]) -> DataFrame:

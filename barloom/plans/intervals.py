@@ -61,10 +61,70 @@ def expand(intervals: DataFrame, days: DataFrame | None, key: str, time: str = "
     """One row per (key, day) inside each interval; calendar days when ``days`` is None."""
     if days is None:
         return intervals.select(key, F.explode(F.sequence(start, end)).alias(time)).distinct()
-    # only years bound the join; the calendar itself is small (one row per date)
-    by_year = days.select(F.col(time), F.year(time).alias("__year"))
-    spread = intervals.withColumn("__year", F.explode(F.sequence(F.year(start), F.year(end))))
-    return spread.join(by_year, "__year").where(F.col(time).between(F.col(start), F.col(end))).select(key, time).distinct()
+    spans = ordinals(intervals, days, time, start, end)
+    spread = spans.select(key, F.explode(F.sequence("__first", "__last")).alias("day_index"))
+    return spread.join(calendar(days, time), "day_index").select(key, time).distinct()
+
+
+def ordinals(intervals: DataFrame, days: DataFrame, time: str, start: str, end: str) -> DataFrame:
+    """Intervals that hold a calendar day, with the ordinals of their first and last one.
+
+    Every distinct date of either side is one row of one ordered pass, and the
+    intervals meet it by equality on their two ends.
+    """
+    marks = days.select(F.col(time).alias("__d"), F.lit(1).alias("__n")).where("__d IS NOT NULL").distinct().unionByName(
+        intervals.select(F.explode(F.array(start, end)).alias("__d"), F.lit(0).alias("__n")).where("__d IS NOT NULL").distinct())
+    dates = marks.groupBy("__d").agg(F.max("__n").alias("__n"))  # one row a date
+    upto = dates.select("__d", "__n", F.sum("__n").over(Window.orderBy("__d")).alias("__upto"))
+    first = upto.select(F.col("__d").alias(start), (F.col("__upto") - F.col("__n")).alias("__first"))
+    last = upto.select(F.col("__d").alias(end), (F.col("__upto") - 1).alias("__last"))
+    return intervals.join(first, start).join(last, end).where("__first <= __last")
+
+
+def covering(points: DataFrame, ranges: DataFrame, key: str, time: str, start: str, end: str) -> DataFrame:
+    """``points`` with the columns of the earliest-starting range of their key that holds their time (none: nulls).
+
+    Among ranges sorted by start only those whose end is beyond all earlier ends can
+    be first to hold a point; cut at those ends they do not overlap. Then one range
+    at most is left per point: the last one begun, carried along a sweep of starts
+    and points.
+    """
+    rest = [c for c in ranges.columns if c not in (key, start, end)]
+    before = Window.partitionBy(key).orderBy(F.col(start), F.col(end).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    leaders = ranges.withColumn("__reach", F.max(end).over(before)).where(F.col("__reach").isNull() | (F.col(end) > F.col("__reach")))
+    # a range speaks from its start, or from just after what earlier ones reach
+    begins = F.when(F.col("__reach").isNull() | (F.col("__reach") < F.col(start)), F.struct(F.col(start).alias("at"), F.lit(0).alias("step"))).otherwise(
+        F.struct(F.col("__reach").alias("at"), F.lit(2).alias("step")))
+    marks = leaders.select(key, begins.alias("__at"), F.struct(start, end, *rest).alias("__range"))
+    rows = points.select("*", F.struct(F.col(time).alias("at"), F.lit(1).alias("step")).alias("__at"))
+    both = rows.withColumn("__point", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    last = F.last("__range", ignorenulls=True).over(Window.partitionBy(key).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("__range", last).where("__point")
+    held = F.col(time) <= F.col(f"__range.{end}")
+    return found.select(*points.columns, *[F.when(held, F.col(f"__range.{c}")).alias(c) for c in (start, end, *rest)])
+
+
+def subtract_intervals(wanted: DataFrame, taken: DataFrame, days: DataFrame, key: str, time: str, start: str, end: str) -> DataFrame:
+    """Maximal runs of calendar days that ``wanted`` intervals hold and ``taken`` ones do not.
+
+    A sweep of +1 and -1 bounds per key with running sums: between two bounds the
+    state does not change, so no interval is expanded into its days.
+    """
+    def bounds(df: DataFrame, kind: int) -> DataFrame:
+        spans = ordinals(df.select(key, start, end), days, time, start, end)
+        return spans.select(key, F.explode(F.array(
+            F.struct(F.col("__first").alias("at"), F.lit(1).alias("step")), F.struct((F.col("__last") + 1).alias("at"), F.lit(-1).alias("step")))).alias("b")).select(
+                key, "b.at", *[(F.col("b.step") if k == kind else F.lit(0)).alias(n) for k, n in enumerate(("want", "have"))])
+
+    order = Window.partitionBy(key).orderBy("at")
+    steps = bounds(wanted, 0).unionByName(bounds(taken, 1)).groupBy(key, "at").agg(F.sum("want").alias("want"), F.sum("have").alias("have"))
+    state = steps.select(key, "at", ((F.sum("want").over(order) > 0) & (F.sum("have").over(order) == 0)).alias("on"))
+    # rows that keep the state do not start or end a run
+    turns = state.withColumn("was", F.coalesce(F.lag("on").over(order), F.lit(False))).where(F.col("on") != F.col("was"))
+    runs = turns.withColumn("until", F.lead("at").over(order)).where("on").select(key, "at", (F.col("until") - 1).alias("upto"))
+    cal = calendar(days, time)
+    return runs.join(cal.select(F.col("day_index").alias("at"), F.col(time).alias(start)), "at").join(
+        cal.select(F.col("day_index").alias("upto"), F.col(time).alias(end)), "upto").select(key, start, end)
 
 
 def lead_intervals(df: DataFrame, key: str, start: str, end: str, last: Column | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from barloom.functions.expr import close, shift
 from barloom.operators import portfolio as pf
 from barloom.plans import intervals as iv
 from barloom.plans.panel import Panel
+from barloom.session import durable
 
 from catalog.base import BARS, W, WS, bars, r, register, table, tidy
 
@@ -33,28 +34,32 @@ FRAME = BARS + f""", frame AS MATERIALIZED (SELECT b.*, CAST(datetime AS DATE) A
   volume >= 60 AND s_suppkey % 9 <> 0 AS sel, volume >= 30 AS ben, turnover * 5 AS circ_mv, volume / 50 AS turnover_rate, close / 1000 AS pb,
   CASE WHEN s_nationkey > 2 THEN 'N' || s_nationkey END AS industry, s_suppkey % 2 = 0 AS is_a, s_suppkey % 5 = 0 AS is_b
   FROM bars b JOIN supplier ON CAST(s_suppkey AS VARCHAR) = vt_symbol)"""
-PLAN = FRAME + """, days AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT trade_date FROM frame)),
-  plan0 AS (SELECT CAST(i // 3 AS BIGINT) AS rebalance_id, trade_date AS signal_date, i + 2 AS s, least(CASE WHEN i + 3 < n THEN i + 3 ELSE n END + 1, n - 1) AS e FROM days WHERE i % 3 = 0),
+def plan_sql(k=3, top=10):
+    return FRAME + f""", days AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT trade_date FROM frame)),
+  plan0 AS (SELECT CAST(i // {k} AS BIGINT) AS rebalance_id, trade_date AS signal_date, i + 2 AS s, least(CASE WHEN i + {k} < n THEN i + {k} ELSE n END + 1, n - 1) AS e FROM days WHERE i % {k} = 0),
   plan AS (SELECT p.*, a.trade_date AS effective_start, b.trade_date AS effective_end FROM plan0 p JOIN days a ON a.i = s JOIN days b ON b.i = e WHERE e >= s),
   active AS (SELECT trade_date, rebalance_id FROM plan JOIN days ON i BETWEEN s AND e),
   pos0 AS (SELECT rebalance_id, effective_start, effective_end, vt_symbol, row_number() OVER (PARTITION BY rebalance_id ORDER BY score DESC, vt_symbol) AS rank
     FROM frame JOIN plan ON trade_date = signal_date WHERE sel AND score IS NOT NULL AND NOT isnan(score)),
-  pos AS (SELECT *, count(*) OVER (PARTITION BY rebalance_id) AS cnt, 1.0 / count(*) OVER (PARTITION BY rebalance_id) AS weight FROM pos0 WHERE rank <= 10),
+  pos AS (SELECT *, count(*) OVER (PARTITION BY rebalance_id) AS cnt, 1.0 / count(*) OVER (PARTITION BY rebalance_id) AS weight FROM pos0 WHERE rank <= {top}),
   bpos AS (SELECT rebalance_id, effective_start, effective_end, vt_symbol, count(*) OVER (PARTITION BY rebalance_id) AS cnt, 1.0 / count(*) OVER (PARTITION BY rebalance_id) AS weight
     FROM frame JOIN plan ON trade_date = signal_date WHERE ben)"""
 
 
-def costs_sql(pos, name):
+PLAN = plan_sql()
+
+
+def costs_sql(pos, name, fee=0.001):
     return f"""{name}_ids AS (SELECT rebalance_id, row_number() OVER (ORDER BY rebalance_id) AS o, min(effective_start) AS trade_date, count(*) AS holding_count FROM {pos} GROUP BY rebalance_id),
       {name}_p AS (SELECT o, vt_symbol, weight FROM {pos} JOIN {name}_ids USING (rebalance_id)),
       {name}_c AS (SELECT coalesce(a.o, b.o + 1) AS o, abs(coalesce(a.weight, 0) - coalesce(b.weight, 0)) AS d FROM {name}_p a FULL JOIN {name}_p b ON a.vt_symbol = b.vt_symbol AND a.o = b.o + 1),
-      {name} AS (SELECT trade_date, rebalance_id, sum(d) AS turnover, sum(d) * 0.001 AS cost, any_value(holding_count) AS holding_count FROM {name}_c JOIN {name}_ids USING (o) GROUP BY 1, 2)"""
+      {name} AS (SELECT trade_date, rebalance_id, sum(d) AS turnover, sum(d) * {fee} AS cost, any_value(holding_count) AS holding_count FROM {name}_c JOIN {name}_ids USING (o) GROUP BY 1, 2)"""
 
 
 def plan(spark, sf, df=None):
     df = frame(spark, sf) if df is None else df
-    days = iv.calendar(df, "trade_date")
-    return df, days, pf.rebalance_calendar(days, CONFIG)
+    days = durable(iv.calendar(df, "trade_date"))
+    return df, days, durable(pf.rebalance_calendar(days, CONFIG))
 
 
 register("pf_rebalance_calendar", lambda spark, sf: plan(spark, sf)[2].select("rebalance_id", "signal_date", "effective_start", "effective_end"),
@@ -62,18 +67,24 @@ register("pf_rebalance_calendar", lambda spark, sf: plan(spark, sf)[2].select("r
 register("pf_active_days", lambda spark, sf: pf.active_days(*plan(spark, sf)[1:]), f"WITH {PLAN} SELECT trade_date, rebalance_id FROM active")
 
 
-def positions(spark, sf):
+def target(spark, sf):
+    df, _, p = plan(spark, sf)
+    return pf.target_positions(df, p, CONFIG)
+
+
+def benchmark(spark, sf):
     df, _, p = plan(spark, sf)
-    return pf.target_positions(df, p, CONFIG), pf.benchmark_positions(df, p)
+    return pf.benchmark_positions(df, p)
 
 
-register("pf_target_positions", lambda spark, sf: tidy(positions(spark, sf)[0]),
+register("pf_target_positions", lambda spark, sf: tidy(target(spark, sf)),
          f"WITH {PLAN} SELECT rebalance_id, effective_start, effective_end, vt_symbol, CAST(rank AS INTEGER) AS rank, {r('weight', 'weight')}, cnt AS selected_count FROM pos")
-register("pf_benchmark_positions", lambda spark, sf: tidy(positions(spark, sf)[1]),
+register("pf_benchmark_positions", lambda spark, sf: tidy(benchmark(spark, sf)),
          f"WITH {PLAN} SELECT rebalance_id, effective_start, effective_end, vt_symbol, {r('weight', 'weight')}, cnt AS benchmark_count FROM bpos")
-register("pf_turnover_costs", lambda spark, sf: tidy(pf.turnover_costs(positions(spark, sf)[0], 0.001)),
+register("pf_turnover_costs", lambda spark, sf: tidy(pf.turnover_costs(target(spark, sf), 0.001)),
          f"WITH {PLAN}, {costs_sql('pos', 'tc')} SELECT trade_date, rebalance_id, {r('turnover', 'turnover')}, {r('cost', 'cost')}, holding_count FROM tc")
-BOOK = PLAN + f""", {costs_sql('pos', 'tc')}, {costs_sql('bpos', 'bc')},
+def book_sql(k=3, top=10, fee=0.001):
+    return plan_sql(k, top) + f""", {costs_sql('pos', 'tc', fee)}, {costs_sql('bpos', 'bc', fee)},
   g AS (SELECT trade_date, sum(daily_return * weight) AS gross FROM frame JOIN active USING (trade_date) JOIN pos USING (rebalance_id, vt_symbol) WHERE daily_return IS NOT NULL GROUP BY 1),
   bg AS (SELECT trade_date, sum(daily_return * weight) AS bgross FROM frame JOIN active USING (trade_date) JOIN bpos USING (rebalance_id, vt_symbol) WHERE daily_return IS NOT NULL GROUP BY 1),
   ew AS (SELECT trade_date, avg(daily_return) AS even FROM frame WHERE ben AND daily_return IS NOT NULL GROUP BY 1),
@@ -81,6 +92,9 @@ BOOK = PLAN + f""", {costs_sql('pos', 'tc')}, {costs_sql('bpos', 'bc')},
     last_value(tc.holding_count IGNORE NULLS) OVER (ORDER BY g.trade_date) AS holding_count FROM g LEFT JOIN bg USING (trade_date) LEFT JOIN ew USING (trade_date)
     LEFT JOIN tc USING (trade_date) LEFT JOIN bc USING (trade_date)),
   bt AS (SELECT *, gross - cost AS net, bgross - bcost AS bnet FROM book)"""
+
+
+BOOK = book_sql()
 register("pf_backtest", lambda spark, sf: tidy(pf.backtest(frame(spark, sf), CONFIG).select(
     "trade_date", "gross_return", "net_return", "benchmark_return", "net_excess_return", "daily_equal_weight_benchmark_return", "turnover", "holding_count")),
     f"WITH {BOOK} SELECT trade_date, {r('gross', 'gross_return')}, {r('net', 'net_return')}, {r('bnet', 'benchmark_return')}, {r('net - bnet', 'net_excess_return')}, "
@@ -94,8 +108,11 @@ _cols = ("segment", "days", "avg_holding_count", "avg_rebalance_turnover", "annu
 register("pf_summary_segments", lambda spark, sf: tidy(pf.summarize(pf.backtest(frame(spark, sf), CONFIG), SEG, 12.0).select(*_cols)),
          _SUM("CASE WHEN trade_date <= DATE '1998-12-31' THEN 'early' ELSE 'late' END"))
 register("pf_summary_years", lambda spark, sf: tidy(pf.summarize(pf.backtest(frame(spark, sf), CONFIG), None, 12.0).select(*_cols)), _SUM("CAST(year(trade_date) AS VARCHAR)"))
-register("pf_backtest_grid", lambda spark, sf: tidy(pf.backtest_grid(frame(spark, sf), [CONFIG, pf.PortfolioConfig(20, 6, 1, 5.0, "score", 12.0)])
-                                                    .groupBy("top_n", "rebalance_days").agg(F.count("*").alias("days"), F.sum("net_return").alias("net"))))
+GRID = [CONFIG, pf.PortfolioConfig(20, 6, 1, 5.0, "score", 12.0), pf.PortfolioConfig(5, 3, 1, 0.0, "score", 12.0)]
+register("pf_backtest_grid", lambda spark, sf: tidy(pf.backtest_grid(frame(spark, sf), GRID).select(
+    "top_n", "rebalance_days", "trade_date", "gross_return", "net_return", "benchmark_return", "turnover", "holding_count")), " UNION ALL ".join(
+    f"SELECT CAST({c.top_n} AS INTEGER) AS top_n, CAST({c.rebalance_days} AS INTEGER) AS rebalance_days, trade_date, {r('gross', 'gross_return')}, {r('net', 'net_return')}, "
+    f"{r('bnet', 'benchmark_return')}, {r('turnover', 'turnover')}, holding_count FROM (WITH {book_sql(c.rebalance_days, c.top_n, c.fee_bps / 10_000)} SELECT * FROM bt)" for c in GRID))
 _sb = lambda spark, sf: pf.selected_and_benchmark(frame(spark, sf), CONFIG)
 EXPO = FRAME + """, dts AS (SELECT trade_date FROM (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i FROM (SELECT DISTINCT trade_date FROM frame)) WHERE i % 3 = 0),
   cand AS (SELECT * FROM frame JOIN dts USING (trade_date) WHERE fhr IS NOT NULL),
