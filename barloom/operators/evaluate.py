@@ -133,7 +133,7 @@ def rank_correlation(df: DataFrame, factors: list[str], **panel) -> DataFrame:
     from one matrix of cross-products, so any number of factors is one pass.
     """
     clean = df.select("datetime", "vt_symbol", *[safe.nan_to_null(F.col(f).cast("double")).alias(f) for f in factors])
-    pct = Panel(clean, **panel).select({f: cs_pct(col(f)) for f in factors}).na.drop(subset=factors)
+    pct = Panel(clean, **panel).select({f: cs_pct(col(f)) for f in factors})
     return correlations(pct, factors, shift=0.5)  # ranks lie around one half
 
 

@@ -270,6 +270,24 @@ def tags(rules: dict[str, Column]) -> Column:
 def _was_before(recent): return F.coalesce(recent, F.lit(0))
 
 
+def jumps(bars: np.ndarray, last: float, cooldown: float) -> np.ndarray:
+    """Positions taken by the rule 'more than ``cooldown`` after the last one taken' over ascending ``bars``.
+
+    Each position points at the next one that could follow it; the chain from the
+    first is laid out by pointer doubling, in a logarithmic number of array steps.
+    """
+    n = len(bars)
+    after = np.append(np.searchsorted(bars, bars + cooldown, side="right"), n)
+    tables = [after]
+    for _ in range(max(1, n).bit_length()):
+        tables.append(tables[-1][tables[-1]])
+    chain = np.searchsorted(bars, [last + cooldown], side="right")
+    for table in reversed(tables):  # after the table of 2^k steps, the chain holds every 2^k-th place
+        chain = np.concatenate([chain, table[chain]])
+    chain = np.unique(chain)
+    return chain[chain < n]
+
+
 def pre_start_events(panel: Panel, exhaust_window: int = 10, cooldown: int = 5) -> DataFrame:
     """Near-start events: component flags, exhaustion memory, cooldown, clipped score.
 
@@ -286,12 +304,11 @@ def pre_start_events(panel: Panel, exhaust_window: int = 10, cooldown: int = 5)
     df = df.withColumns({"component_count": parts, "candidate": (parts > 0).cast("double"), "exhausted": any_now})
 
     def kernel(state, pdf):
-        last = state[0]
-        kept = np.zeros(len(pdf))
-        for i, (bar, wanted) in enumerate(zip(pdf["bar"].to_numpy(float), pdf["candidate"].to_numpy(float))):
-            if wanted and bar - last > cooldown:
-                kept[i], last = 1.0, bar
-        return np.array([last]), {"kept": kept}
+        bar, wanted = pdf["bar"].to_numpy(float), pdf["candidate"].to_numpy(float) != 0
+        at, kept = np.flatnonzero(wanted), np.zeros(len(pdf))
+        chosen = jumps(bar[at], state[0], cooldown)
+        kept[at[chosen]] = 1.0
+        return np.array([bar[at[chosen[-1]]] if len(chosen) else state[0]]), {"kept": kept}
 
     flagged = state_scan(Panel(df, panel.symbol, panel.time, panel.max_group_rows), kernel, (-1e18,), ["kept"])
     on = lambda c, yes, no=0: F.when(F.col(c) == 1, yes).otherwise(no)

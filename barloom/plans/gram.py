@@ -19,7 +19,7 @@ ONES = -1
 
 
 def cross_products(df: DataFrame, columns: list[str], shift: float = 0.0) -> DataFrame:
-    """(i, j, product): sum of (x_i - shift) * (x_j - shift) over rows without nulls, i <= j, by column number; i = ONES for the column of ones."""
+    """(i, j, product): sum of (x_i - shift) * (x_j - shift) over rows with finite values only, i <= j, by column number; i = ONES for the column of ones."""
     k = len(columns)
     upper = np.triu_indices(k + 1)
 
@@ -29,40 +29,33 @@ def cross_products(df: DataFrame, columns: list[str], shift: float = 0.0) -> Dat
             x = np.ones((batch.num_rows, k + 1))
             for n, c in enumerate(columns):
                 x[:, n + 1] = batch.column(c).to_numpy(zero_copy_only=False) - shift
+            x = x[np.isfinite(x).all(axis=1)]
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(upper[0] + ONES, pa.int32()), pa.array(upper[1] + ONES, pa.int32()), pa.array(total[upper])], ["i", "j", "product"])
 
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    # missing values are left out in the task: as many filters as columns would swamp the optimizer
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     return rows.mapInArrow(work, "i int, j int, product double").groupBy("i", "j").agg(F.sum("product").alias("product"))
 
 
-def matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
+def matrix(df: DataFrame, columns: list[str], shift: float = 0.0) -> np.ndarray:
     """The whole matrix with the ones first; its size depends on the columns alone."""
     out = np.zeros((len(columns) + 1,) * 2)
-    for r in cross_products(df, columns).collect():
+    for r in cross_products(df, columns, shift).collect():
         out[r.i - ONES, r.j - ONES] = out[r.j - ONES, r.i - ONES] = r.product
     return out
 
 
 def correlations(df: DataFrame, columns: list[str], shift: float = 0.0) -> DataFrame:
-    """(factor, other, corr) of every ordered pair; NaN where a column does not vary."""
-    from barloom.functions import safe
-    spark = df.sparkSession
-    cells = cross_products(df, columns, shift)
-    names = spark.createDataFrame(list(enumerate(columns)), "i int, name string")
-    count = cells.where((F.col("i") == ONES) & (F.col("j") == ONES)).select(F.col("product").alias("n"))
-    sums = cells.where((F.col("i") == ONES) & (F.col("j") != ONES)).select(F.col("j").alias("i"), F.col("product").alias("s"))
-    squares = cells.where((F.col("i") == F.col("j")) & (F.col("i") != ONES)).select("i", F.col("product").alias("q"))
-    # one row a column; what is left of q by rounding is no variance
-    left = F.col("q") - F.col("s") * F.col("s") / F.col("n")
-    each = names.join(sums, "i").join(squares, "i").crossJoin(F.broadcast(count)).select(  # one row
-        "i", "name", "n", "s", F.when(left > 1e-12 * F.col("q"), left).otherwise(F.lit(0.0)).alias("v"))
-    pairs = cells.where(F.col("i") != ONES).join(each, "i").withColumnsRenamed({"name": "a", "s": "sa", "v": "va"}).join(
-        each.select(F.col("i").alias("j"), F.col("name").alias("b"), F.col("s").alias("sb"), F.col("v").alias("vb")), "j")
-    same = F.col("i") == F.col("j")
-    corr = F.when(same & (F.col("va") > 0), F.lit(1.0)).otherwise(
-        safe.safe_div(F.col("product") - F.col("sa") * F.col("sb") / F.col("n"), F.sqrt(F.col("va") * F.col("vb"))))
-    both = F.when(same, F.array(F.struct(F.col("a").alias("factor"), F.col("b").alias("other")))).otherwise(
-        F.array(F.struct(F.col("a").alias("factor"), F.col("b").alias("other")), F.struct(F.col("b").alias("factor"), F.col("a").alias("other"))))
-    corr = F.when((F.col("va") > 0) & (F.col("vb") > 0), corr).otherwise(F.lit(safe.NAN))
-    return pairs.select(F.explode(both).alias("p"), corr.alias("corr")).select("p.*", "corr")
+    """(factor, other, corr) of every ordered pair; NaN where a column does not vary. One pass, at the call."""
+    total = matrix(df, columns, shift)
+    n, sums = total[0, 0], total[0, 1:]
+    with np.errstate(all="ignore"):
+        spread = total[1:, 1:] - np.outer(sums, sums) / n
+        # what is left of a constant column's squares is rounding
+        own = np.where(np.diag(spread) > 1e-12 * np.diag(total)[1:], np.diag(spread), 0.0)
+        corr = spread / np.sqrt(np.outer(own, own))
+    corr[np.diag_indices(len(columns))] = np.where(own > 0, 1.0, np.nan)
+    corr[(own == 0)[:, None] | (own == 0)[None, :]] = np.nan
+    cells = pa.table({"factor": np.repeat(columns, len(columns)), "other": np.tile(columns, len(columns)), "corr": corr.ravel()})
+    return df.sparkSession.createDataFrame(cells)

@@ -85,23 +85,20 @@ def covering(points: DataFrame, ranges: DataFrame, key: str, time: str, start: s
     """``points`` with the columns of the earliest-starting range of their key that holds their time (none: nulls).
 
     Among ranges sorted by start only those whose end is beyond all earlier ends can
-    be first to hold a point; cut at those ends they do not overlap. Then one range
-    at most is left per point: the last one begun, carried along a sweep of starts
-    and points.
+    be first to hold a point, and only past those ends: so cut, they do not overlap,
+    and a point meets one at most. The cut ranges bound their own year buckets, so
+    the points are read once and a hot key spreads over its years.
     """
     rest = [c for c in ranges.columns if c not in (key, start, end)]
     before = Window.partitionBy(key).orderBy(F.col(start), F.col(end).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    leaders = ranges.withColumn("__reach", F.max(end).over(before)).where(F.col("__reach").isNull() | (F.col(end) > F.col("__reach")))
-    # a range speaks from its start, or from just after what earlier ones reach
-    begins = F.when(F.col("__reach").isNull() | (F.col("__reach") < F.col(start)), F.struct(F.col(start).alias("at"), F.lit(0).alias("step"))).otherwise(
-        F.struct(F.col("__reach").alias("at"), F.lit(2).alias("step")))
-    marks = leaders.select(key, begins.alias("__at"), F.struct(start, end, *rest).alias("__range"))
-    rows = points.select("*", F.struct(F.col(time).alias("at"), F.lit(1).alias("step")).alias("__at"))
-    both = rows.withColumn("__point", F.lit(True)).unionByName(marks, allowMissingColumns=True)
-    last = F.last("__range", ignorenulls=True).over(Window.partitionBy(key).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("__range", last).where("__point")
-    held = F.col(time) <= F.col(f"__range.{end}")
-    return found.select(*points.columns, *[F.when(held, F.col(f"__range.{c}")).alias(c) for c in (start, end, *rest)])
+    known = ranges.where(F.col(start) <= F.col(end)).withColumn("__reach", F.max(end).over(before))
+    leaders = known.where(F.col("__reach").isNull() | (F.col(end) > F.col("__reach"))).select(
+        F.col(key).alias("__key"), F.col("__reach"), F.explode(F.sequence(F.year(F.greatest(start, F.coalesce("__reach", start))), F.year(end))).alias("__bucket"),
+        *[F.col(c).alias(c if c in rest else f"__{c}") for c in (start, end, *rest)])
+    rows = points.withColumn("__year", F.year(time))
+    hit = ((F.col(key) == F.col("__key")) & (F.col("__year") == F.col("__bucket")) & F.col(time).between(F.col(f"__{start}"), F.col(f"__{end}"))
+           & (F.col("__reach").isNull() | (F.col(time) > F.col("__reach"))))
+    return rows.join(leaders, hit, "left").select(*points.columns, F.col(f"__{start}").alias(start), F.col(f"__{end}").alias(end), *rest)
 
 
 def subtract_intervals(wanted: DataFrame, taken: DataFrame, days: DataFrame, key: str, time: str, start: str, end: str) -> DataFrame:

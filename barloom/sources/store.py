@@ -66,8 +66,8 @@ class PanelStore:
         return bool(fs.delete(p, True))
 
     def _replace_partitions(self, df: DataFrame, path: str, parts: list[str], sort: list[str]) -> None:
-        # a salt of the first sort key keeps a large partition from being one writer task
-        (df.repartition(*parts, F.pmod(F.hash(sort[0]), F.lit(16))).sortWithinPartitions(*sort).write.mode("overwrite")
+        # rebalanced by size: a large partition gets as many writer tasks as its bytes need
+        (df.hint("rebalance", *parts).sortWithinPartitions(*parts, *sort).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
 
     # -------------------------------------------------------------------- bars
@@ -79,11 +79,7 @@ class PanelStore:
             touched = new.select("interval", "year").distinct()
             old = self.read(kind).join(touched, ["interval", "year"], "left_semi")
             new = newest_wins(old, new, [*BAR_KEYS, "year"])
-        # one salt of the symbol per file keeps a hot symbol from being one writer task
-        rows = durable(new)
-        (rows.repartition("interval", "year", F.pmod(F.hash("vt_symbol", F.month("datetime")), F.lit(16)))
-         .sortWithinPartitions("vt_symbol", "datetime").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("interval", "year").parquet(self.path(kind)))
+        self._replace_partitions(durable(new), self.path(kind), ["interval", "year"], ["vt_symbol", "datetime"])
 
     def load_bars(self, interval: str, start=None, end=None, symbols: list[str] | DataFrame | None = None,
                   kind: str = "bars") -> DataFrame:

@@ -93,8 +93,12 @@ def replace_rows(old: DataFrame, new: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def replace_partition(spark: SparkSession, path: str, new: DataFrame, partition: str) -> None:
-    """Overwrite only the partitions present in ``new``."""
-    (new.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Overwrite only the partitions present in ``new``.
+
+    Rows are rebalanced by size: a hot partition is written by as many tasks as its
+    bytes need, small ones by one each (adaptive execution splits by the advisory size).
+    """
+    (new.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))
 
 

@@ -18,7 +18,7 @@ from barloom.streaming import bars as sb
 from barloom.streaming import state as st
 
 from catalog.base import BARS, W, WS, bars, panel_query, r, register, table, tidy
-from catalog.evaluation import FEATURES, LABELS
+from catalog.evaluation import FEATURES, LABELS, SCORED
 from catalog.operators_basic import full
 from catalog.portfolio import SEG
 
@@ -326,6 +326,25 @@ register("mn_required_dates", needed, f"WITH {_RD} SELECT vt_symbol, trade_date
 register("mn_fetch_ranges", lambda spark, sf: mn.fetch_ranges(needed(spark, sf), _cal(spark, sf)), f"WITH {_RD} SELECT vt_symbol, min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) AS interval_days FROM (SELECT *, i - row_number() OVER (PARTITION BY vt_symbol ORDER BY i) AS g FROM rd) GROUP BY vt_symbol, g")
 
 
+
+def fetched(spark, sf):
+    """Overlapping fetched ranges per symbol, from quarters of the bar calendar."""
+    d = bars(spark, sf).select("vt_symbol", F.col("datetime").cast("date").alias("d")).where("month(d) % 3 = 1")
+    return d.select("vt_symbol", F.col("d").alias("start_date"), F.add_months("d", F.month("d") % 4 + 1).alias("end_date"), F.date_format("d", "yyyyMM").alias("cache"))
+
+
+_FT = """ft AS (SELECT vt_symbol, d AS start_date, CAST(d + to_months(CAST(month(d) % 4 + 1 AS INTEGER)) AS DATE) AS end_date, strftime(d, '%Y%m') AS cache FROM (SELECT vt_symbol, CAST(datetime AS DATE) AS d FROM bars) WHERE month(d) % 3 = 1)"""
+_wanted = lambda spark, sf: events(spark, sf).select("event_id", "vt_symbol", F.col("signal_date").cast("date").alias("entry_date"))
+register("mn_plan_lookup", lambda spark, sf: mn.plan_lookup(_wanted(spark, sf), fetched(spark, sf)),
+         f"""WITH {EV}, {_FT}, j AS (SELECT event_id, e.vt_symbol, CAST(signal_date AS DATE) AS entry_date, start_date, end_date, cache, row_number() OVER (PARTITION BY event_id ORDER BY start_date, end_date DESC) AS k
+         FROM ev e LEFT JOIN ft ON ft.vt_symbol = e.vt_symbol AND CAST(signal_date AS DATE) BETWEEN start_date AND end_date) SELECT event_id, vt_symbol, entry_date, start_date, end_date, cache FROM j WHERE k = 1""")
+register("mn_negative_plan", lambda spark, sf: mn.negative_fetch_plan(_wanted(spark, sf).withColumn("sample_label", F.when(F.col("vt_symbol").cast("long") % 3 > 0, "negative").otherwise("positive")), _cal(spark, sf), 3, fetched(spark, sf)),
+         f"""WITH {EV}, {_FT}, ca AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM (SELECT DISTINCT CAST(datetime AS DATE) AS d FROM bars)),
+         need AS (SELECT DISTINCT vt_symbol, b.d, b.i FROM ev JOIN ca a ON a.d = CAST(signal_date AS DATE) JOIN ca b ON b.i BETWEEN a.i AND a.i + 3 WHERE CAST(vt_symbol AS BIGINT) % 3 > 0),
+         open AS (SELECT * FROM need n WHERE NOT EXISTS (SELECT 1 FROM ft WHERE ft.vt_symbol = n.vt_symbol AND n.d BETWEEN start_date AND end_date))
+         SELECT vt_symbol, min(d) AS start_date, max(d) AS end_date FROM (SELECT *, i - row_number() OVER (PARTITION BY vt_symbol ORDER BY i) AS g FROM open) GROUP BY vt_symbol, g""")
+
+
 # -------------------------------------------------------------------- streaming
 def ticks(spark, sf):
     """Events as ticks: price = value, cumulative counters and day extremes per user."""
@@ -419,9 +438,9 @@ def learn(spark, sf):
 NAMES = list(FEATURES)
 
 
-def lasso_signal(spark, sf):
+def lasso(spark, sf):
     df, train, valid = learn(spark, sf)
-    return ml.predict(ml.fit_lasso(train, valid, NAMES), df, NAMES)
+    return df, ml.lasso_path(train.unionByName(valid), NAMES, [0.0005])[0.0005]
 
 
 def tree_signal(spark, sf):
@@ -429,12 +448,29 @@ def tree_signal(spark, sf):
     return ml.predict(ml.fit_trees(train, valid, NAMES, rounds=8, depth=3), df, NAMES)
 
 
-def lasso_detail(spark, sf):
-    _, train, valid = learn(spark, sf)
-    return ml.importance(ml.fit_lasso(train, valid, NAMES), NAMES)
+_OK = " AND ".join(f"isfinite({c})" for c in ("f1", "f2", "f3", "h1"))
+
+
+def lasso_sql(name, where, alpha):
+    """Coordinate descent as a recursion of 600 sweeps over the 3 x 3 cross-products."""
+    soft = lambda x: f"(sign({x}) * greatest(abs({x}) - {alpha}, 0))"
+    pairs = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a <= b]
+    gram = ", ".join([f"sum(f{a} * f{b}) / count(*) AS g{a}{b}" for a, b in pairs] + [f"sum(f{a} * h1) / count(*) AS c{a}" for a in (1, 2, 3)])
+    return f"""{name}g AS (SELECT {gram} FROM scored WHERE {where} AND {_OK}),
+      {name}w AS (SELECT 0 AS it, CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS w2, CAST(0 AS DOUBLE) AS w3 UNION ALL
+        SELECT it + 1, w1, w2, {soft('(c3 - g13 * w1 - g23 * w2)')} / g33 FROM (SELECT it, w1, {soft('(c2 - g12 * w1 - g23 * w3)')} / g22 AS w2, c3, g13, g23, g33 FROM
+          (SELECT it, {soft('(c1 - g12 * w2 - g13 * w3)')} / g11 AS w1, w3, g.* FROM {name}w, {name}g g WHERE it < 600))),
+      {name} AS (SELECT w1, w2, w3 FROM {name}w WHERE it = 600)"""
 
 
-register("ml_lasso_signal", lambda spark, sf: tidy(lasso_signal(spark, sf)))
+_FIT = f"WITH RECURSIVE {SCORED}, {lasso_sql('m', "datetime < TIMESTAMP '2000-07-01'", 0.0005)}"
+_ZERO = [f"CASE WHEN isfinite(f{i}) THEN f{i} ELSE 0 END" for i in (1, 2, 3)]
+register("ml_lasso_signal", lambda spark, sf: tidy((lambda df, m: m.predict(df))(*lasso(spark, sf))),
+         f"{_FIT} SELECT vt_symbol, datetime, {r(' + '.join(f'coalesce({z}, 0) * w{i}' for i, z in enumerate(_ZERO, 1)), 'signal')} FROM scored, m")
 register("ml_tree_signal", lambda spark, sf: tidy(tree_signal(spark, sf)))
-register("ml_importance", lambda spark, sf: tidy(lasso_detail(spark, sf)))
-register("ml_grid_search", lambda spark, sf: tidy(ml.grid_search(*learn(spark, sf)[1:], NAMES, [0.0005, 0.01])))
+register("ml_importance", lambda spark, sf: tidy(lasso(spark, sf)[1].detail(spark)),
+         f"{_FIT} " + " UNION ALL ".join(f"SELECT 'f{i}' AS feature, {r(f'w{i}', 'value')} FROM m WHERE w{i} <> 0" for i in (1, 2, 3)))
+register("ml_grid_search", lambda spark, sf: tidy(ml.grid_search(*learn(spark, sf)[1:], NAMES, [0.0005, 0.01])),
+         f"WITH RECURSIVE {SCORED}, " + ", ".join(lasso_sql(n, "datetime < TIMESTAMP '1999-01-01'", x) for n, x in (("ma", 0.0005), ("mb", 0.01))) + " " + " UNION ALL ".join(
+             f"SELECT CAST({x} AS DOUBLE) AS alpha, {r('avg(pow(f1 * w1 + f2 * w2 + f3 * w3 - h1, 2))', 'mse')} FROM scored, {n} WHERE datetime >= TIMESTAMP '1999-01-01' AND datetime < TIMESTAMP '2000-07-01' AND {_OK}"
+             for n, x in (("ma", 0.0005), ("mb", 0.01))))

@@ -187,5 +187,16 @@ register("in_keltner", lambda spark, sf: tidy(Panel(bars(spark, sf)).select({"up
               "0e0 AS y, s.m14", wilder_step("y", "tr", 14, 14, "m") + ", s.m14",
               f"""step AS (SELECT *, row_number() OVER {WS} - 1 AS i, {_TR} AS tr, avg(close) OVER {W(14)} AS m14 FROM bars),
               seq AS (SELECT *, avg(tr) OVER {W(14)} AS m FROM step)"""))
+#: The stop's state before each bar, bar by bar: side, next stop, extreme, factor and the bar before.
+_SAR = f"""WITH RECURSIVE {BARS}, b AS (SELECT vt_symbol, datetime, high AS h, low AS l, row_number() OVER {WS} AS i FROM bars),
+  sa AS (SELECT c.vt_symbol, c.i, up, CASE WHEN up THEN p.l ELSE p.h END AS stop, CASE WHEN up THEN c.h ELSE c.l END AS ep, CAST(0.02 AS DOUBLE) AS af, c.h AS ph, c.l AS pl
+      FROM b c JOIN b p ON p.vt_symbol = c.vt_symbol AND c.i = 2 AND p.i = 1, LATERAL (SELECT NOT (p.l - c.l > 0 AND p.l - c.l > c.h - p.h) AS up)
+    UNION ALL SELECT vt_symbol, i + 1, up1, CASE WHEN up1 THEN least(s1 + af1 * (ep1 - s1), pl, l) ELSE greatest(s1 + af1 * (ep1 - s1), ph, h) END, ep1, af1, h, l FROM (
+      SELECT *, up <> turn AS up1, CASE WHEN NOT turn THEN stop WHEN up THEN greatest(ep, ph, h) ELSE least(ep, pl, l) END AS s1,
+        CASE WHEN turn THEN 0.02 WHEN up AND h > ep OR NOT up AND l < ep THEN least(af + 0.02, 0.2) ELSE af END AS af1,
+        CASE WHEN up = turn THEN CASE WHEN turn THEN l ELSE least(ep, l) END ELSE CASE WHEN turn THEN h ELSE greatest(ep, h) END END AS ep1
+      FROM (SELECT sa.*, h, l, CASE WHEN up THEN l <= stop ELSE h >= stop END AS turn FROM sa JOIN b USING (vt_symbol, i))))"""
 register("in_sar", lambda spark, sf: tidy(ind.sar(Panel(bars(spark, sf).select("vt_symbol", "datetime", "high", "low")))
-                                          .select("vt_symbol", "datetime", "sar")))
+                                          .select("vt_symbol", "datetime", "sar")),
+         f"""{_SAR} SELECT vt_symbol, datetime, {r("CASE WHEN i = 1 THEN CAST('nan' AS DOUBLE) WHEN up AND l <= stop THEN greatest(ep, ph, h) WHEN NOT up AND h >= stop THEN least(ep, pl, l) ELSE stop END", 'sar')}
+         FROM b LEFT JOIN sa USING (vt_symbol, i)""")
