@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import Expr
@@ -39,9 +39,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly OHLCV bars per supplier."""
-    line = table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("vt_symbol"),
-        F.trunc("l_shipdate", "month").cast("timestamp_ntz").alias("datetime"),
+    return _ohlcv(table(spark, sf, "lineitem"), F.col("l_suppkey"), F.trunc("l_shipdate", "month"))
+
+
+def daily_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily OHLCV bars of ten symbols (suppliers by their last digit): years of bars for the long windows."""
+    return _ohlcv(table(spark, sf, "lineitem"), F.col("l_suppkey") % 10 + 1, F.col("l_shipdate"))
+
+
+def _ohlcv(lineitem: DataFrame, symbol: Column, time: Column) -> DataFrame:
+    line = lineitem.select(
+        symbol.cast("string").alias("vt_symbol"),
+        time.cast("timestamp_ntz").alias("datetime"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.struct(
             "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"
@@ -72,6 +81,9 @@ BARS = """bars AS (
          CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 / sum(l_quantity) AS vwap
   FROM lineitem GROUP BY 1, 2)"""
 
+#: The same relation by day and last digit of the supplier.
+DAILY = BARS.replace("CAST(l_suppkey AS VARCHAR)", "CAST(l_suppkey % 10 + 1 AS VARCHAR)").replace("date_trunc('month', l_shipdate)", "l_shipdate")
+
 DIGITS = 6
 
 

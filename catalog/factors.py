@@ -10,17 +10,17 @@ from barloom.factors.spec import expressions, extract
 from barloom.functions import safe
 from barloom.plans.panel import Panel
 
-from catalog.base import BARS, W, WS, bars, panel_query, register, table, tidy
+from catalog.base import BARS, DAILY, W, WS, bars, daily_bars, panel_query, register, table, tidy
 from catalog.operators_basic import corr_sql, full
 from catalog.sqlgen import COMPARISONS, family_sql
 
 
-def enriched(spark, sf):
+def enriched(spark, sf, panel=bars):
     """Bars plus stand-ins for limits, turnover rate, valuation, fundamentals, benchmark and regime."""
     sym = Window.partitionBy("vt_symbol").orderBy("datetime")
     day = Window.partitionBy("datetime")
     nation = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("vt_symbol"), "s_nationkey")
-    df = bars(spark, sf).join(nation, "vt_symbol")
+    df = panel(spark, sf).join(nation, "vt_symbol")
     before, vol, tov = F.lag("close").over(sym), F.lag("volume").over(sym), F.lag("turnover").over(sym)
     df = df.withColumns({
         "up_limit": before * 1.1, "down_limit": before * 0.9,
@@ -58,8 +58,19 @@ ENRICHED = BARS + """, e0 AS (SELECT b.*, s_nationkey FROM bars b JOIN supplier
     f"CAST(market_regime = '{x}' AS INTEGER) AS regime_{x}" for x in ("bull_active", "range_neutral", "weak_defensive", "bear_pause", "unknown")) + " FROM e1)"
 
 
-def family_query(name, factors, rich=False, digits=7):
-    frame = enriched if rich else bars
+def daily_enriched(spark, sf):
+    return enriched(spark, sf, daily_bars)
+
+
+DAILY_ENRICHED = ENRICHED.replace(BARS, DAILY)
+#: (panel, its SQL, its relation) by whether it is enriched and whether it is daily.
+PANELS = {(False, False): (bars, BARS, "bars"), (True, False): (enriched, ENRICHED, "enriched"),
+          (False, True): (daily_bars, DAILY, "bars"), (True, True): (daily_enriched, DAILY_ENRICHED, "enriched")}
+
+
+def family_query(name, factors, rich=False, digits=7, daily=False):
+    """A family on monthly bars, or on daily ones where its windows are long."""
+    frame, base, relation = PANELS[rich, daily]
     flags = {f.name for f in factors if f.expr.op == "map" and f.expr.params[0].__name__ in COMPARISONS}
 
     def run(spark, sf):
@@ -68,12 +79,12 @@ def family_query(name, factors, rich=False, digits=7):
         return tidy(df.withColumns(counts) if counts else df, digits)
 
     register(name, run,
-             family_sql(expressions(factors), ENRICHED if rich else BARS, "enriched" if rich else "bars", digits))
+             family_sql(expressions(factors), base, relation, digits))
 
 
 for w in alpha158.WINDOWS:
     family_query(f"fa_alpha158_window_{w}", alpha158.factors((w,)))
-family_query("fa_classic_price", common.classic_price((5, 20, 60)))
+family_query("fa_classic_price", common.classic_price(), daily=True)
 family_query("fa_technical", common.technical())
 family_query("fa_candlestick", common.candlestick())
 family_query("fa_accumulation", common.accumulation())
@@ -81,28 +92,28 @@ _crowding = [f for f in common.liquidity() if "crowding_score" in f.name]
 family_query("fa_liquidity", [f for f in common.liquidity() if "crowding_score" not in f.name], rich=True)
 # ranks of two-bar z-scores compare noise between engines: rows only, tested on a fixture
 register("fa_crowding_score", lambda spark, sf: tidy(extract(Panel(enriched(spark, sf)), _crowding)))
-family_query("fa_position_breakout", common.position((20, 60)))
+family_query("fa_position_breakout", common.position(), daily=True)
 family_query("fa_oscillator", common.oscillator())
 family_query("fa_relative_strength", common.relative_strength(), rich=True)
 family_query("fa_limit_state", common.limit_state(), rich=True)
 family_query("fa_fundamental", common.fundamental(), rich=True)
 family_query("fa_mean_groups", common.mean_groups())
-family_query("fa_channels", common.channels(fast=(14, 16), slow=(30, 40)))
+family_query("fa_channels", common.channels(), daily=True)
 family_query("fa_compression", common.compression())
 family_query("fa_trade_filters", common.trade_filters(), rich=True)
-family_query("fa_double_bottom", patterns.double_bottom((40, 60)))
+family_query("fa_double_bottom", patterns.double_bottom(), daily=True)
 family_query("fa_box", patterns.box())
-family_query("fa_box_trade_rules", patterns.trade_rules((20,)), rich=True)
+family_query("fa_box_trade_rules", patterns.trade_rules(), rich=True, daily=True)
 family_query("fa_combos", composites.combos(), rich=True)
-family_query("fa_trend_rsi", composites.trend_rsi(1))
-family_query("fa_trend_rsi_v2", composites.trend_rsi(2))
-family_query("fa_first_pass_scan", composites.first_pass((20, 60)), rich=True)
+family_query("fa_trend_rsi", composites.trend_rsi(1), daily=True)
+family_query("fa_trend_rsi_v2", composites.trend_rsi(2), daily=True)
+family_query("fa_first_pass_scan", composites.first_pass(), rich=True, daily=True)
 family_query("fa_signal_close_extras", composites.signal_close_extras(), rich=True)
 for name, exprs in (("fa_candidate_composites", composites.candidates() | composites.candidate_composites()),
-                    ("fa_price_flow_3", composites.price_flow_3(12, 20, 20)),
-                    ("fa_panel_expressions", composites.panel_expressions((5, 20)))):
-    register(name, lambda spark, sf, exprs=exprs: tidy(Panel(enriched(spark, sf)).select(exprs), 7),
-             family_sql(exprs, ENRICHED, "enriched", 7))
+                    ("fa_price_flow_3", composites.price_flow_3()),
+                    ("fa_panel_expressions", composites.panel_expressions())):
+    register(name, lambda spark, sf, exprs=exprs: tidy(Panel(daily_enriched(spark, sf)).select(exprs), 7),
+             family_sql(exprs, DAILY_ENRICHED, "enriched", 7))
 
 _all = alpha101.formulas()
 # four alphas rank or compare values equal up to float noise on this panel: rows only

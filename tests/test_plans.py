@@ -188,3 +188,12 @@ def test_turnover_reads_positions_once(spark):
     from catalog import portfolio as queries
     plan = portfolio.turnover_costs(queries.target(spark, "/root/testdata/sf0.001"), 0.001)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("Relation [") <= 4 and "parquet" not in plan
+
+
+@pytest.mark.parametrize("name", ["fa_channels", "fa_position_breakout"])
+def test_long_windows_give_values_that_vary(spark, name):
+    from catalog import load
+    rows = load().QUERIES[name](spark, "/root/testdata/sf0.01")
+    names = [c for c in rows.columns if c not in ("vt_symbol", "datetime")]
+    spread = rows.agg(*[F.count_distinct(c).alias(c) for c in names]).first()
+    assert all(spread[c] > 1 for c in names), [c for c in names if spread[c] <= 1]
