@@ -3,8 +3,6 @@
 import os
 import subprocess
 import sys
-import subprocess
-import sys
 from pathlib import Path
 
 import __spark_entry__ as entry
