@@ -219,3 +219,13 @@ def test_search_equals_all_pairs(spark, monkeypatch):
     assert vafile.top_k(docs.where("false"), docs, 10).count() == 0
     few = docs.where("vec_id < 3")
     assert vafile.top_k(few, few.where("vec_id = 0"), 10).count() == 2
+
+
+def test_archive_refuses_two_payloads_of_one_digest(spark):
+    rows = [(b"one", "d1", "aa", 3), (b"one", "d1", "aa", 3), (b"two", "d2", "bb", 3), (b"twoo", "d2", "bb", 4)]
+    df = spark.createDataFrame(rows, "payload binary, sha256 string, sha1 string, n long")
+    assert [(r.sha256, bytes(r.payload)) for r in warc.stored_once(df.where("sha256 = 'd1'")).collect()] == [("d1", b"one")]
+    with pytest.raises(Exception, match="two payloads of one digest"):
+        warc.stored_once(df).select("payload").collect()
+    with pytest.raises(Exception, match="two payloads of one digest"):
+        warc.stored_once(df.withColumn("n", F.lit(3).cast("long")).withColumn("sha1", F.hex("payload"))).select("payload").collect()
