@@ -12,17 +12,17 @@ a component. For a query, a cell gives a lower and an upper bound of the score.
    bound still reaches it. After that no other vector can enter the result.
 
 The scan shuffles cells (a byte a component) once per tile of queries; exact
-vectors are read by id for candidates only. Queries are a stated set and meet
-all rows in blocks. Of equal vectors in a block only the k + 1 smallest ids can
-enter any result, so only they go on: copies, however many, stay bounded.
+vectors are read by row number for candidates only. Queries are a stated set and meet
+all rows in blocks. Of equal vectors in a block only k copies of each of the k + 1
+smallest ids can enter any result, so only they go on: copies stay bounded.
 
 Scores are exact: products are sums of integers in double precision while those
 stay below 2**53, else in Python's integers; beyond the range of a long a score
 is the nearest long.
 
 Defined cases: rows whose id or vector is null, or whose vector holds null or a
-non-finite component, take no part; nor do vectors of another length than the
-most frequent one. Repeated ids are rows of their own as candidates; a query's
+non-finite component, take no part. Vectors of different lengths do not meet: each
+length is ranked on its own. Repeated ids are rows of their own as candidates; a query's
 own id is never its candidate. Ties go to the smaller id.
 """
 
@@ -43,6 +43,7 @@ BLOCK = 4096
 TILE = 1024
 EXACT = 2.0 ** 53
 LONG = 2 ** 63
+RESULT = "query_id long, rank int, vec_id long, score long"
 
 
 def integer_vectors(rows: DataFrame, vector_id: str, vector: str, scale: int) -> DataFrame:
@@ -71,19 +72,22 @@ def cells(vectors: DataFrame, low: np.ndarray, size: np.ndarray, k: int) -> Data
         for batch in batches:
             for first in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(first, BLOCK)
-                ids, x = part.column("id").to_numpy(), _matrix(part.column("v"), len(low))
-                order = np.argsort(ids, kind="stable")
-                ids, x = ids[order], x[order]
+                ids, row, x = part.column("id").to_numpy(), part.column("row").to_numpy(), _matrix(part.column("v"), len(low))
+                order = np.lexsort((row, ids))
+                ids, row, x = ids[order], row[order], x[order]
                 _, same = np.unique(x, axis=0, return_inverse=True)
                 by = np.argsort(same.ravel(), kind="stable")
-                g = same.ravel()[by]
-                starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                place = np.arange(len(g)) - np.repeat(starts, np.diff(np.append(starts, len(g))))
-                keep = np.sort(by[place <= k])
+                vector, own = np.diff(same.ravel()[by], prepend=-1) != 0, ids[by]
+                one = vector | np.concatenate([[True], own[1:] != own[:-1]])  # first of a vector and id
+                number = np.cumsum(one)
+                at = np.arange(len(by))
+                copy = at - np.maximum.accumulate(np.where(one, at, 0))
+                ordinal = number - number[np.maximum.accumulate(np.where(vector, at, 0))]
+                keep = np.sort(by[(ordinal <= k) & (copy < k)])
                 code = np.minimum((x[keep] - low) // size, CELLS - 1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[keep].tobytes()], pa.binary()), pa.array([code.tobytes()], pa.binary())], ["ids", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary()) for y in (ids[keep], row[keep], code)], ["ids", "rows", "cells"])
 
-    return vectors.select("id", "v").mapInArrow(work, "ids binary, cells binary")
+    return vectors.select("id", "row", "v").mapInArrow(work, "ids binary, rows binary, cells binary")
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,13 +100,13 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _scan(pairs: DataFrame, low: np.ndarray, size: np.ndarray, k: int) -> DataFrame:
-    """Candidates of each pair of blocks with bounds: q, id, low, high."""
+    """Candidates of each pair of blocks with bounds: q, id, row, low, high."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int64)
-                corner = np.frombuffer(batch.column("cells")[row].as_py(), np.uint8).reshape(len(ids), -1) * size + low
-                queries = batch.column("tile")[row].values
+            for n in range(batch.num_rows):
+                ids, row = (np.frombuffer(batch.column(c)[n].as_py(), np.int64) for c in ("ids", "rows"))
+                corner = np.frombuffer(batch.column("cells")[n].as_py(), np.uint8).reshape(len(ids), -1) * size + low
+                queries = batch.column("tile")[n].values
                 qid, qv = queries.field("id").to_numpy(), _matrix(queries.field("v"), len(low))
                 base = _dot(qv, corner)
                 if base.dtype == object:
@@ -120,13 +124,13 @@ def _scan(pairs: DataFrame, low: np.ndarray, size: np.ndarray, k: int) -> DataFr
                     # doubles next to an exact bound, outwards, so that rounding loses no candidate
                     lower = np.nextafter((b + slack_low[i]).astype(float), -np.inf)
                     upper = np.nextafter((b + slack_high[i]).astype(float), np.inf)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), qid[i])), pa.array(ids[own]), pa.array(lower), pa.array(upper)], ["q", "id", "low", "high"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), qid[i])), pa.array(ids[own]), pa.array(row[own]), pa.array(lower), pa.array(upper)], ["q", "id", "row", "low", "high"])
 
-    return pairs.mapInArrow(work, "q long, id long, low double, high double")
+    return pairs.mapInArrow(work, "q long, id long, row long, low double, high double")
 
 
 def _scores(candidates: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Exact scores of candidate pairs, from the vectors read by id."""
+    """Exact scores of candidate pairs, from the vectors read by row."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -137,46 +141,50 @@ def _scores(candidates: DataFrame, vectors: DataFrame, queries: DataFrame) -> Da
                 else:
                     exact = [sum(int(x) * int(y) for x, y in zip(r, s)) for r, s in zip(a.tolist(), b.tolist())]
                     score = np.array([max(-LONG, min(LONG - 1, x)) for x in exact], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("id"), pa.array(score)], ["q", "id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("id"), batch.column("row"), pa.array(score)], ["q", "id", "row", "score"])
 
-    pairs = candidates.select("q", "id").join(vectors.select("id", "v"), "id").join(queries.select(F.col("id").alias("q"), F.col("v").alias("w")), "q")
-    return pairs.select("q", "id", "v", "w").mapInArrow(work, "q long, id long, score long")
+    pairs = candidates.select("q", "id", "row").join(vectors.select("row", "v"), "row").join(queries.select(F.col("id").alias("q"), F.col("v").alias("w")), "q")
+    return pairs.select("q", "id", "row", "v", "w").mapInArrow(work, "q long, id long, row long, score long")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, vector_id: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
     """For each row of ``queries`` (distinct ids) its ``k`` rows of highest score: query_id, rank, vec_id, score."""
     spark = rows.sparkSession
-    schema = "query_id long, rank int, vec_id long, score long"
-    every = integer_vectors(rows, vector_id, vector, scale)
-    widths = every.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if widths is None or widths.w == 0:
-        return spark.createDataFrame([], schema)
-    width = widths.w
-    every = stored(every.where(F.size("v") == width))
-    asked = stored(integer_vectors(queries, vector_id, vector, scale).where(F.size("v") == width).dropDuplicates(["id"]))
+    every = stored(integer_vectors(rows, vector_id, vector, scale).withColumn("row", F.monotonically_increasing_id()))
+    widths = sorted(r.w for r in every.select(F.size("v").alias("w")).distinct().collect() if r.w)  # lengths, not rows
+    out = spark.createDataFrame([], RESULT)
+    for width in widths:
+        asked = integer_vectors(queries, vector_id, vector, scale).where(F.size("v") == width).dropDuplicates(["id"])
+        out = out.union(_top_k(every.where(F.size("v") == width), stored(asked), width, k))
+    return out
+
+
+def _top_k(every: DataFrame, asked: DataFrame, width: int, k: int) -> DataFrame:
+    """``top_k`` among vectors of one length."""
+    spark = every.sparkSession
     low, size = grid_of(every, width)
     index = stored(cells(every, low, size, k))
     blocks, n_queries = index.count(), asked.count()
     if not n_queries:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], RESULT)
     tiles = -(-n_queries // TILE)
     parts = max(1, min(blocks, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     tile = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
     left = index.select("*", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("t"))
     right = asked.groupBy(tile.alias("t")).agg(F.collect_list(F.struct("id", "v")).alias("tile")).select(
         "t", "tile", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    met = left.join(right.repartition(max(2, parts), "t", "part"), ["t", "part"]).select("ids", "cells", "tile")
+    met = left.join(right.repartition(max(2, parts), "t", "part"), ["t", "part"]).select("ids", "rows", "cells", "tile")
     found = stored(_scan(met, low, size, k))
     by_low = Window.partitionBy("q").orderBy(F.desc("low"))
     kth = found.withColumn("r", F.row_number().over(by_low)).where(F.col("r") <= k).groupBy("q").agg(F.min("low").alias("kth"), F.count("*").alias("n"))
-    left_over = stored(found.join(kth, "q").where((F.col("n") < k) | (F.col("high") >= F.col("kth"))).select("q", "id", "high"))
+    left_over = stored(found.join(kth, "q").where((F.col("n") < k) | (F.col("high") >= F.col("kth"))).select("q", "id", "row", "high"))
     # first the k best upper bounds, then whatever can still reach the exact k-th score
-    order = Window.partitionBy("q").orderBy(F.desc("high"), "id")
+    order = Window.partitionBy("q").orderBy(F.desc("high"), "id", "row")
     ranked = left_over.withColumn("r", F.row_number().over(order))
     first = stored(_scores(ranked.where(F.col("r") <= k), every, asked))
     sure = first.groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     second = ranked.where(F.col("r") > k).join(sure, "q").where((F.col("n") < k) | (F.col("high") >= F.col("least")))
     exact = first.union(_scores(second, every, asked))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "id", "row")
     return exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
