@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from barloom.functions import symbols as sy
 from barloom.operators import pit
 from barloom.plans import intervals as iv
-from barloom.session import shared_folder
+from barloom.session import durable, shared_folder
+from barloom.sources import manifest as mf
 from barloom.sources import tables as tb
 from barloom.sources.store import PanelStore, price_range, scaled_panel
 
@@ -300,3 +301,53 @@ register("pt_open_days_bounds", lambda spark, sf: pit.date_bounds(daily(spark, s
     F.col("trade_date").alias("cal_date"), (F.col("day_index") % 2).alias("is_open")), "1996-01-01", "2001-12-31").agg(F.count("*").alias("open_days"))),
     f"WITH {DAILY}, c AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i FROM (SELECT DISTINCT trade_date FROM dl)) SELECT DATE '1996-01-01' AS start, (SELECT max(trade_date) FROM dl) AS \"end\", "
     "count(*) AS open_days FROM c WHERE i % 2 = 1 AND trade_date BETWEEN DATE '1996-01-01' AND DATE '2001-12-31'")
+
+
+# ------------------------------------------------- several tables in one commit
+def _market(spark, sf):
+    """Three market tables by trade date, from orders."""
+    o = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("trade_date"), F.col("o_custkey").cast("string").alias("vt_symbol"), "o_orderkey", "o_totalprice")
+    o = o.withColumn("trade_date", F.trunc("trade_date", "year"))
+    return {"daily": o.select("trade_date", "vt_symbol", "o_orderkey", F.col("o_totalprice").alias("close")), "valuation": o.select("trade_date", "vt_symbol", "o_orderkey", (F.col("o_totalprice") / 1000).alias("pb")),
+            "limits": o.select("trade_date", "vt_symbol", "o_orderkey", (F.col("o_totalprice") * 2).alias("up_limit"))}
+
+
+def replaced_dates(spark, sf):
+    """Every date loaded, one replaced in all three tables, a second replacement that never commits."""
+    store = mf.TableSet(spark, f"{scratch(spark)}/market")
+    frames = {n: durable(df) for n, df in _market(spark, sf).items()}
+    dates = [str(r[0]) for r in frames["daily"].select("trade_date").distinct().orderBy("trade_date").collect()]  # seven years
+    on = lambda df, d: df.where(F.col("trade_date") == F.lit(d).cast("date"))
+    store.replace({n: {d: on(df, d) for d in dates} for n, df in frames.items()})
+    mf.replace_date(store, "1996-01-01", {n: on(df, "1996-01-01").where("o_orderkey % 2 = 0") for n, df in frames.items()})
+    try:
+        mf.replace_date(store, "1997-01-01", {"daily": on(frames["daily"], "1997-01-01").limit(0), "valuation": frames["valuation"]})
+    except ValueError:
+        pass
+    d, v, u = (store.read(n) for n in ("daily", "valuation", "limits"))
+    return d.join(v.drop("trade_date", "vt_symbol"), "o_orderkey").join(u.drop("trade_date", "vt_symbol"), "o_orderkey").groupBy("trade_date").agg(
+        F.count("*").alias("n"), F.round(F.max("close"), 2).alias("close"), F.round(F.max("pb"), 6).alias("pb"), F.round(F.max("up_limit"), 2).alias("up_limit"))
+
+
+register("io_replace_date_tables", replaced_dates,
+         "SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS trade_date, count(*) AS n, round(max(o_totalprice), 2) AS close, round(max(o_totalprice / 1000), 6) AS pb, round(max(o_totalprice * 2), 2) AS up_limit "
+         "FROM orders WHERE year(o_orderdate) <> 1996 OR o_orderkey % 2 = 0 GROUP BY 1")
+
+
+def exported(spark, sf):
+    store = mf.TableSet(spark, f"{scratch(spark)}/research")
+    points = bars(spark, sf).select(F.to_date("datetime").alias("trade_date"), "vt_symbol", "volume")
+    mf.export_research(store, bars(spark, sf), {"large": points.where("volume >= 150"), "small": points.where("volume < 60"), "all": points})
+    spans = store.read("universes").groupBy("vt_symbol", "universe").agg(F.count("*").alias("spans"), F.sum("interval_days").alias("days"))
+    wide = spans.groupBy("vt_symbol").pivot("universe", ["large", "small", "all"]).agg(F.first("spans").alias("spans"), F.first("days").alias("days"))
+    return store.read("coverage").join(store.read("contracts"), "vt_symbol").join(wide, "vt_symbol").join(store.read("bars").groupBy("vt_symbol").agg(F.count("*").alias("stored")), "vt_symbol").select(
+        "vt_symbol", "bar_count", "stored", "first_date", "last_date", F.round("coverage", 6).alias("coverage"), "pricetick", *[F.coalesce(f"{u}_{c}", F.lit(0)).alias(f"{u}_{c}") for u in ("large", "small", "all") for c in ("spans", "days")])
+
+
+register("io_research_export", exported, f"""WITH {BARS}, ca AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM (SELECT DISTINCT CAST(datetime AS DATE) AS d FROM bars)),
+  p AS (SELECT vt_symbol, i, volume FROM bars JOIN ca ON d = CAST(datetime AS DATE)),
+  u AS (SELECT vt_symbol, i, 'large' AS u FROM p WHERE volume >= 150 UNION ALL SELECT vt_symbol, i, 'small' FROM p WHERE volume < 60 UNION ALL SELECT vt_symbol, i, 'all' FROM p),
+  g AS (SELECT vt_symbol, u, i - row_number() OVER (PARTITION BY vt_symbol, u ORDER BY i) AS g FROM u), c AS (SELECT vt_symbol, u, count(DISTINCT g) AS spans, count(*) AS days FROM g GROUP BY 1, 2)
+  SELECT vt_symbol, any_value(n) AS bar_count, any_value(n) AS stored, any_value(f) AS first_date, any_value(l) AS last_date, round(any_value(n) * 1.0 / (any_value(j) - any_value(k) + 1), 6) AS coverage, CAST(0.01 AS DOUBLE) AS pricetick,
+  """ + ", ".join(f"coalesce(max({c}) FILTER (u = '{u}'), 0) AS {u}_{c}" for u in ("large", "small", "all") for c in ("spans", "days")) + """
+  FROM c JOIN (SELECT vt_symbol, count(*) AS n, min(CAST(datetime AS DATE)) AS f, max(CAST(datetime AS DATE)) AS l, max(i) AS j, min(i) AS k FROM bars JOIN ca ON d = CAST(datetime AS DATE) GROUP BY 1) USING (vt_symbol) GROUP BY 1""")
