@@ -10,7 +10,7 @@ from barloom.factors.spec import expressions, extract
 from barloom.functions import safe
 from barloom.plans.panel import Panel
 
-from catalog.base import BARS, DAILY, W, WS, bars, daily_bars, panel_query, register, table, tidy
+from catalog.base import BARS, DAILY, W, WS, avg_rank, bars, daily_bars, panel_query, register, table, tidy
 from catalog.operators_basic import corr_sql, full
 from catalog.sqlgen import COMPARISONS, family_sql
 
@@ -149,3 +149,34 @@ panel_query("fa_alpha158_by_hand", {
     "vsumn_10": f"({full('sum(greatest(-dv, 0))', 'greatest(-dv, 0)', 10)}) / (({full('sum(abs(dv))', 'dv', 10)}) + 1e-12)",
 }, f"""d AS (SELECT *, row_number() OVER {WS} - 1.0 AS i, close - lag(close) OVER {WS} AS d, volume - lag(volume) OVER {WS} AS dv,
    abs(close / lag(close) OVER {WS} - 1) * volume AS m FROM bars)""", "d", digits=5)
+
+# the templates of five families, written out as SQL over daily bars
+E = "1e-12"
+_sum = lambda x, n: f"({full(f'sum({x})', x, n)})"
+_HAND = {
+    "classic_momentum_120": avg_rank("m120"), "classic_reversal_20": f"-({avg_rank('m20')})", "classic_range_position_120": avg_rank("rp120"), "classic_low_volatility_20": f"-({avg_rank('vol20')})",
+    "classic_volume_ratio_60": avg_rank("vr60"), "classic_turnover_ratio_60": avg_rank("tr60"),
+    "common_momentum_20": f"close / (lag(close, 20) OVER {WS} + {E}) - 1", "common_ma_bias_60": f"close / (avg(close) OVER {W(60)} + {E}) - 1", "common_range_position_20": f"(close - min(low) OVER {W(20)}) / (max(high) OVER {W(20)} - min(low) OVER {W(20)} + {E})",
+    "common_return_volatility_20": "vole20", "common_volume_ratio_20": f"volume / (avg(pv) OVER {W(20)} + {E})", "common_turnover_ratio_60": f"turnover / (avg(pt) OVER {W(60)} + {E})",
+    "common_open_gap": f"open / (pc + {E}) - 1", "common_intraday_return": f"close / (open + {E}) - 1", "common_high_low_range_pct": f"(high - low) / (open + {E})", "common_real_body_pct": f"abs(close - open) / (open + {E})",
+    "common_body_to_range": f"abs(close - open) / (high - low + {E})", "common_close_position": f"(close - low) / (high - low + {E})", "common_open_position": f"(open - low) / (high - low + {E})",
+    "common_upper_shadow_pct": f"(high - greatest(open, close)) / (open + {E})", "common_lower_shadow_pct": f"(least(open, close) - low) / (open + {E})", "common_upper_shadow_ratio": f"(high - greatest(open, close)) / (high - low + {E})",
+    "common_lower_shadow_ratio": f"(least(open, close) - low) / (high - low + {E})", "common_candle_shift": f"(close * 2 - high - low) / (open + {E})",
+    "common_obv_pressure_20": f"{_sum('sv', 20)} / ({_sum('volume', 20)} + {E})", "common_pvt_pressure_60": f"{_sum('rv', 60)} / ({_sum('volume', 60)} + {E})", "common_cmf_20": f"{_sum('lv', 20)} / ({_sum('volume', 20)} + {E})",
+    "common_money_flow_pressure_20": f"{_sum('st', 20)} / ({_sum('turnover', 20)} + {E})", "common_volume_weighted_return_20": f"{_sum('rv', 20)} / ({_sum('volume', 20)} + {E})",
+    "common_up_volume_ratio_20": f"{_sum('uv', 20)} / ({_sum('volume', 20)} + {E})", "common_down_volume_ratio_60": f"{_sum('dv', 60)} / ({_sum('volume', 60)} + {E})",
+    "common_close_to_high_120": f"(max(high) OVER {W(120)} - close) / (close + {E})", "common_close_to_low_60": f"(close - min(low) OVER {W(60)}) / (close + {E})", "common_drawdown_from_high_120": f"close / (max(high) OVER {W(120)} + {E}) - 1",
+    "common_rebound_from_low_20": f"close / (min(low) OVER {W(20)} + {E}) - 1", "common_prior_high_breakout_60": f"close / (max(ph) OVER {W(60)} + {E}) - 1", "common_prior_low_breakdown_20": f"close / (min(pl) OVER {W(20)} + {E}) - 1",
+    "common_low_reclaim_strength_120": f"(close - low) / (max(high) OVER {W(120)} - min(low) OVER {W(120)} + {E})",
+    "common_stoch_k_14": "k14", "common_stoch_d_14": f"avg(k14) OVER {W(3)}", "common_williams_r_14": f"-(max(high) OVER {W(14)} - close) / (max(high) OVER {W(14)} - min(low) OVER {W(14)} + {E})",
+    "common_cci_14": f"(tp - tm) / (avg(abs(tp - tm)) OVER {W(14)} * 0.015 + {E})", "common_up_day_ratio_14": f"avg(CAST(close > pc AS INTEGER)) OVER {W(14)}", "common_down_day_ratio_20": f"avg(CAST(close < pc AS INTEGER)) OVER {W(20)}",
+    "common_dmi_balance_14": f"({_sum('up', 14)} - {_sum('dn', 14)}) / ({_sum('up', 14)} + {_sum('dn', 14)} + {E})",
+}
+_by_name = {f.name: f.expr for family in (common.classic_price(), common.technical(), common.candlestick(), common.accumulation(), common.position(), common.oscillator()) for f in family}
+panel_query("fa_common_by_hand", {n: _by_name[n] for n in _HAND}, _HAND, f"""
+  h0 AS (SELECT *, lag(close) OVER {WS} AS pc, lag(volume) OVER {WS} AS pv, lag(turnover) OVER {WS} AS pt, lag(high) OVER {WS} AS ph, lag(low) OVER {WS} AS pl, (high + low + close) / 3 AS tp FROM bars),
+  h1 AS (SELECT *, lag(tp) OVER {WS} AS ptp, avg(tp) OVER {W(14)} AS tm, close / pc - 1 AS r, close / (pc + {E}) - 1 AS re, CASE WHEN close > pc THEN 1.0 WHEN close < pc THEN -1.0 ELSE 0.0 END * volume AS sv, (close / (pc + {E}) - 1) * volume AS rv,
+    ((close - low) - (high - close)) / (high - low + {E}) * volume AS lv, CAST(close > pc AS INTEGER) * volume AS uv, CAST(close < pc AS INTEGER) * volume AS dv, greatest(high - ph, 0) AS up, greatest(pl - low, 0) AS dn,
+    (close - min(low) OVER {W(14)}) / (max(high) OVER {W(14)} - min(low) OVER {W(14)} + {E}) AS k14, close / lag(close, 20) OVER {WS} - 1 AS m20, close / lag(close, 120) OVER {WS} - 1 AS m120,
+    (close - min(low) OVER {W(120)}) / (max(high) OVER {W(120)} - min(low) OVER {W(120)} + {E}) AS rp120, volume / (avg(volume) OVER {W(60)} + {E}) AS vr60, turnover / (avg(turnover) OVER {W(60)} + {E}) AS tr60 FROM h0),
+  h2 AS (SELECT *, CASE WHEN tp > ptp THEN 1.0 WHEN tp < ptp THEN -1.0 ELSE 0.0 END * turnover AS st, stddev_pop(r) OVER {W(20)} AS vol20, stddev_pop(re) OVER {W(20)} AS vole20 FROM h1)""", "h2", digits=5, frame=daily_bars, base=DAILY)
