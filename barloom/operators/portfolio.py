@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from barloom.functions import safe
 from barloom.functions.expr import close, col, running, shift
 from barloom.functions.maths import floor_to
+from barloom.factors.composites import price_flow_3
+from barloom.operators.eligibility import panel_masks
 from barloom.operators.evaluate import compounded, segment_column, sharpe
 from barloom.plans.intervals import calendar, ordinals
 from barloom.plans.panel import Panel
@@ -29,6 +31,34 @@ class PortfolioConfig:
     annual_days: float = 243.0
 
 
+def strategy_panel(panel: DataFrame, config: PortfolioConfig, segments: dict[str, tuple[str, str]], member: str | None = None, new_listing_days: int = 120,
+                   min_turnover: float = 50_000_000, min_circ_mv: float = 100_000, windows: tuple[int, int, int] = (120, 20, 20)) -> DataFrame:
+    """Rows of a research panel inside the segments' span (and ``member``), with masks, base factors and their combined rank.
+
+    ``panel`` has trade_date, vt_symbol, name, list_date, is_limit_up, is_limit_down,
+    has_valid_bar, is_list_life_valid, close, volume, turnover, circ_mv and more. The
+    filters come first, so lags and ranks see the rows that stay.
+    """
+    first, last = min(a for a, _ in segments.values()), max(b for _, b in segments.values())
+    rows = panel.where(F.col(TIME).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    if member is not None:
+        rows = rows.where(F.coalesce(F.col(member), F.lit(False)))
+    scored = Panel(rows, time=TIME).with_columns(price_flow_3(*windows) | {
+        "daily_return": close / shift(close, 1) - 1.0,
+        "forward_holding_return": shift(close, -(config.rebalance_days + config.entry_lag)) / shift(close, -config.entry_lag) - 1.0})
+    return panel_masks(scored, config.entry_lag, new_listing_days, min_turnover, min_circ_mv)
+
+
+def backtest_frame(panel: DataFrame, config: PortfolioConfig, segments: dict[str, tuple[str, str]], **rules) -> DataFrame:
+    """The frame that ``backtest`` and ``backtest_grid`` take, from a research panel (rules: see ``strategy_panel``)."""
+    return strategy_panel(panel, config, segments, **rules).select(TIME, "vt_symbol", "daily_return", "signal_eligible", "benchmark_eligible", config.score)
+
+
+def exposure_frame(panel: DataFrame, config: PortfolioConfig, segments: dict[str, tuple[str, str]], **rules) -> DataFrame:
+    """The frame of the exposure diagnostics: all columns of ``strategy_panel`` but the daily return."""
+    return strategy_panel(panel, config, segments, **rules).drop("daily_return")
+
+
 def rebalance_calendar(days: DataFrame, config: PortfolioConfig) -> DataFrame:
     """rebalance_id, signal_date and the effective window as calendar positions and dates.
 

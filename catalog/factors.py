@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from barloom.factors import alpha101, alpha158, common, composites, patterns
 from barloom.factors.spec import expressions, extract
 from barloom.functions import safe
+from barloom.operators import portfolio as pf
 from barloom.plans.panel import Panel
 
-from catalog.base import BARS, DAILY, W, WS, avg_rank, bars, daily_bars, panel_query, register, table, tidy
+from catalog.base import BARS, DAILY, W, WS, avg_rank, bars, daily_bars, panel_query, r, register, table, tidy
 from catalog.operators_basic import corr_sql, full
 from catalog.sqlgen import COMPARISONS, family_sql
 
@@ -180,3 +181,31 @@ panel_query("fa_common_by_hand", {n: _by_name[n] for n in _HAND}, _HAND, f"""
     (close - min(low) OVER {W(14)}) / (max(high) OVER {W(14)} - min(low) OVER {W(14)} + {E}) AS k14, close / lag(close, 20) OVER {WS} - 1 AS m20, close / lag(close, 120) OVER {WS} - 1 AS m120,
     (close - min(low) OVER {W(120)}) / (max(high) OVER {W(120)} - min(low) OVER {W(120)} + {E}) AS rp120, volume / (avg(volume) OVER {W(60)} + {E}) AS vr60, turnover / (avg(turnover) OVER {W(60)} + {E}) AS tr60 FROM h0),
   h2 AS (SELECT *, CASE WHEN tp > ptp THEN 1.0 WHEN tp < ptp THEN -1.0 ELSE 0.0 END * turnover AS st, stddev_pop(r) OVER {W(20)} AS vol20, stddev_pop(re) OVER {W(20)} AS vole20 FROM h1)""", "h2", digits=5, frame=daily_bars, base=DAILY)
+
+# ------------------------------------------- frames of the strategy on its own factors
+_SPAN = {"train": ("1993-01-01", "1995-12-31"), "test": ("1996-01-01", "1997-12-31")}
+_BOOK = pf.PortfolioConfig(top_n=3, rebalance_days=20, entry_lag=1)
+_RULES = dict(member="in_large", new_listing_days=60, min_turnover=20_000.0, min_circ_mv=150_000.0)
+
+
+def research_panel(spark, sf):
+    """The enriched daily panel with the columns of a research panel."""
+    df = daily_enriched(spark, sf).withColumn("trade_date", F.col("datetime").cast("date"))
+    return df.select("trade_date", "vt_symbol", F.when(F.col("vt_symbol") == "7", "ST 7").otherwise(F.concat(F.lit("N"), "vt_symbol")).alias("name"),
+                     F.when(F.col("vt_symbol") != "3", F.date_add(F.lit("1992-06-01").cast("date"), (F.col("vt_symbol").cast("int") * 40))).alias("list_date"),
+                     (F.col("close") >= F.col("up_limit")).alias("is_limit_up"), (F.col("close") <= F.col("down_limit")).alias("is_limit_down"), (F.col("volume") > 20).alias("has_valid_bar"),
+                     F.lit(True).alias("is_list_life_valid"), (F.dayofmonth("trade_date") != 13).alias("in_large"), "close", "volume", "turnover", "turnover_rate", "circ_mv", "total_mv", "pb", "pe_ttm")
+
+
+_FLT = DAILY_ENRICHED + """, flt AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(datetime AS DATE) AS trade_date, CASE WHEN vt_symbol = '7' THEN 'ST 7' ELSE 'N' || vt_symbol END AS name,
+    CASE WHEN vt_symbol <> '3' THEN DATE '1992-06-01' + CAST(vt_symbol AS INTEGER) * 40 END AS list_date, close >= up_limit AS lu, close <= down_limit AS ld, volume > 20 AS valid FROM enriched)
+    WHERE trade_date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' AND day(trade_date) <> 13)"""
+_MASKS = f"""SELECT vt_symbol, datetime, trade_date, close / lag(close) OVER {WS} - 1 AS daily_return, lead(close, 21) OVER {WS} / lead(close) OVER {WS} - 1 AS fhr,
+    valid AND close > 0 AND name NOT LIKE '%ST%' AND turnover >= 20000 AND circ_mv >= 150000 AS ben,
+    list_date IS NOT NULL AND trade_date >= list_date + 60 AND NOT coalesce(lead(lu) OVER {WS}, false) AND NOT coalesce(lead(ld) OVER {WS}, false) AS sig FROM flt"""
+_STRATEGY = f"""(WITH {_FLT} {_MASKS}) m JOIN ({family_sql({'combo_price_flow_3': composites.price_flow_3()['combo_price_flow_3']}, _FLT, 'flt', 7)}) f USING (vt_symbol, datetime)"""
+register("pf_backtest_frame", lambda spark, sf: tidy(pf.backtest_frame(research_panel(spark, sf), _BOOK, _SPAN, **_RULES), 7),
+         f"SELECT trade_date, vt_symbol, {r('daily_return', 'daily_return', 7)}, ben AND sig AS signal_eligible, ben AS benchmark_eligible, combo_price_flow_3 FROM {_STRATEGY}")
+register("pf_exposure_frame", lambda spark, sf: tidy(pf.exposure_frame(research_panel(spark, sf), _BOOK, _SPAN, **_RULES).select(
+    "trade_date", "vt_symbol", "forward_holding_return", "signal_eligible", "benchmark_eligible", "combo_price_flow_3"), 7),
+         f"SELECT trade_date, vt_symbol, {r('fhr', 'forward_holding_return', 7)}, ben AND sig AS signal_eligible, ben AS benchmark_eligible, combo_price_flow_3 FROM {_STRATEGY}")
