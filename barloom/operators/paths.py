@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import safe
-from barloom.functions.expr import bar_index, col, shift
+from barloom.functions.expr import Expr, apply, bar_index, close, col, high, low, shift
+from barloom.functions.ta import ewm
 from barloom.operators.portfolio import net_return
 from barloom.plans.panel import Panel
 from barloom.session import durable
@@ -233,3 +234,20 @@ def zero_filled_curve(exits: DataFrame, days: DataFrame, date: str = "signal_dat
     full = grid.join(daily, ["exit_rule", date], "left").na.fill(0.0, ["ret"])
     w = Window.partitionBy("exit_rule").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
     return full.withColumn("equity", F.product(1.0 + F.col("ret")).over(w))
+
+
+def path_indicators(fast: int = 20, mid: int = 60, n: int = 14) -> dict[str, Expr]:
+    """Exponential means of the close, RSI and ATR that adaptive exits read, seeded with their first value.
+
+    Gains, losses and true ranges are smoothed with 1/n; a value shows after as many
+    bars as its window. The first bar has no gain, and its true range is its own span.
+    """
+    step, before = close - shift(close, 1), shift(close, 1)
+    wilder = lambda x: ewm(x, 1.0 / n, n)
+    return {"ema_fast": ewm(close, 2.0 / (fast + 1), fast), "ema_mid": ewm(close, 2.0 / (mid + 1), mid),
+            "rsi": apply(_strength, wilder(apply(_gain, step)), wilder(apply(_gain, -step))), "atr": wilder(apply(_true_range, high, low, before))}
+
+
+def _gain(step): return F.when(step > 0, step).when(step <= 0, F.lit(0.0))
+def _strength(up, down): return 100.0 - safe.safe_div(F.lit(100.0), 1.0 + safe.safe_div(up, down))
+def _true_range(h, l, before): return F.greatest(h - l, F.abs(h - before), F.abs(l - before))

@@ -199,6 +199,16 @@ def read_symbol_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(to_vt_symbol(F.col("raw")).alias("vt_symbol")).distinct()
 
 
+def select_symbols(df: DataFrame, listed: DataFrame, strict: bool = False) -> DataFrame:
+    """Rows of the listed symbols; ``strict`` raises if the list names a symbol that ``df`` does not have."""
+    wanted = listed.select("vt_symbol").distinct()
+    if strict:
+        lost = wanted.join(df.select("vt_symbol"), "vt_symbol", "left_anti")
+        if not lost.isEmpty():
+            raise ValueError(f"symbols without rows, such as {lost.first()[0]}")
+    return df.join(wanted, "vt_symbol", "left_semi")
+
+
 def normalize_events(df: DataFrame, dates: list[str], flags: dict[str, bool], start=None, end=None,
                      on: str = "signal_date") -> DataFrame:
     """Dates parsed, boolean flags with a default, date range applied."""

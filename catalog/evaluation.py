@@ -105,6 +105,29 @@ _QR = f"""x AS (SELECT datetime, f1, lead(close) OVER {WS} / close - 1 AS fwd FR
   WHERE f1 IS NOT NULL AND fwd IS NOT NULL)"""
 register("ds_quantile_performance", lambda spark, sf: tidy(ev.quantile_returns(scored(spark, sf).withColumn("factor", F.col("f1")))),
          f"WITH {SCORED}, {_QR} SELECT datetime, CAST(greatest(1, ceil(round(pct * 10, 9))) AS INTEGER) AS quantile, {r('avg(fwd)', 'mean_return')}, count(*) AS n FROM y GROUP BY 1, 2")
+from barloom.operators.dataset import signal_performance  # noqa: E402
+from barloom.operators import eligibility as el_guard  # noqa: E402
+
+register("ds_signal_performance", lambda spark, sf: tidy(signal_performance(Panel(bars(spark, sf)), scored(spark, sf).where("month(datetime) <> 7").select("datetime", "vt_symbol", F.col("f1").alias("signal")), 5, 3)),
+         f"""WITH {SCORED}, x AS (SELECT datetime, CASE WHEN month(datetime) <> 7 THEN f1 END AS f1, lead(close, 3) OVER {WS} / close - 1 AS fwd FROM scored), y AS (SELECT *, ({avg_rank('f1')}) / count(*) OVER (PARTITION BY datetime) AS pct FROM x
+  WHERE f1 IS NOT NULL AND fwd IS NOT NULL) SELECT datetime, CAST(greatest(1, ceil(round(pct * 5, 9))) AS INTEGER) AS quantile, {r('avg(fwd)', 'mean_return')}, count(*) AS n FROM y GROUP BY 1, 2""")
+
+
+def snapshot(spark, sf):
+    """A live slice of the events; the guard must have refused their future columns."""
+    rows = _events(spark, sf).withColumnsRenamed({"h1": "future_h1", "h3": "next_h3"})
+    try:
+        el_guard.assert_no_lookahead(rows.columns)
+        raise AssertionError("look-ahead columns passed")
+    except ValueError:
+        pass
+    out = el_guard.live_snapshot(rows, "1995-01-01", "1996-12-31", ["f1", "vt_symbol"])
+    el_guard.assert_no_lookahead(out.columns)
+    return out
+
+
+register("el_live_snapshot", lambda spark, sf: tidy(snapshot(spark, sf)),
+         f"WITH {SCORED} SELECT datetime AS signal_date, vt_symbol, vt_symbol || '|' || strftime(datetime, '%Y-%m-%d %H:%M:%S') AS event_id, {r('f1', 'f1')} FROM scored WHERE datetime BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31'")
 _events = lambda spark, sf: scored(spark, sf).select(F.col("datetime").alias("signal_date"), "vt_symbol", F.concat_ws("|", "vt_symbol", F.col("datetime").cast("string")).alias("event_id"), "f1", "h1", "h3")
 register("ev_event_score_ic", lambda spark, sf: tidy(ev.event_score_ic(_events(spark, sf), ["f1"], ["h1", "h3"])),
          f"WITH {SCORED}, {obs_sql(('f1',), ('h1', 'h3')).replace('n >= 10', 'n >= 3')} SELECT factor_name, label_name, {r('avg(ic)', 'ic_mean')}, {r('median(ic)', 'ic_median')}, "

@@ -345,6 +345,15 @@ register("mn_negative_plan", lambda spark, sf: mn.negative_fetch_plan(_wanted(sp
          SELECT vt_symbol, min(d) AS start_date, max(d) AS end_date FROM (SELECT *, i - row_number() OVER (PARTITION BY vt_symbol ORDER BY i) AS g FROM open) GROUP BY vt_symbol, g""")
 
 
+_ewm_step = lambda c, a, x: f"(1 - {a}) * p.{c} + {a} * {x}"
+panel_query("es_path_indicators", pa.path_indicators(), {
+    "ema_fast": "CASE WHEN i >= 20 THEN ef END", "ema_mid": "CASE WHEN i >= 60 THEN em END", "rsi": "CASE WHEN i >= 15 THEN 100 - 100 / (1 + u / d) END", "atr": "CASE WHEN i >= 14 THEN t END"},
+    f"""pb AS (SELECT *, row_number() OVER {WS} AS i, close - lag(close) OVER {WS} AS dc, greatest(high - low, abs(high - lag(close) OVER {WS}), abs(low - lag(close) OVER {WS})) AS tr FROM bars),
+    wk AS (WITH RECURSIVE w AS (SELECT vt_symbol, datetime, i, close AS ef, close AS em, CAST(NULL AS DOUBLE) AS u, CAST(NULL AS DOUBLE) AS d, tr AS t FROM pb WHERE i = 1 UNION ALL
+      SELECT b.vt_symbol, b.datetime, b.i, {_ewm_step('ef', '2.0 / 21', 'b.close')}, {_ewm_step('em', '2.0 / 61', 'b.close')}, CASE WHEN b.i = 2 THEN greatest(dc, 0) ELSE {_ewm_step('u', '1.0 / 14', 'greatest(dc, 0)')} END,
+      CASE WHEN b.i = 2 THEN greatest(-dc, 0) ELSE {_ewm_step('d', '1.0 / 14', 'greatest(-dc, 0)')} END, {_ewm_step('t', '1.0 / 14', 'b.tr')} FROM w p JOIN pb b ON b.vt_symbol = p.vt_symbol AND b.i = p.i + 1) SELECT * FROM w)""", "wk")
+
+
 # -------------------------------------------------------------------- streaming
 def ticks(spark, sf):
     """Events as ticks: price = value, cumulative counters and day extremes per user."""

@@ -351,3 +351,51 @@ register("io_research_export", exported, f"""WITH {BARS}, ca AS (SELECT d, row_n
   SELECT vt_symbol, any_value(n) AS bar_count, any_value(n) AS stored, any_value(f) AS first_date, any_value(l) AS last_date, round(any_value(n) * 1.0 / (any_value(j) - any_value(k) + 1), 6) AS coverage, CAST(0.01 AS DOUBLE) AS pricetick,
   """ + ", ".join(f"coalesce(max({c}) FILTER (u = '{u}'), 0) AS {u}_{c}" for u in ("large", "small", "all") for c in ("spans", "days")) + """
   FROM c JOIN (SELECT vt_symbol, count(*) AS n, min(CAST(datetime AS DATE)) AS f, max(CAST(datetime AS DATE)) AS l, max(i) AS j, min(i) AS k FROM bars JOIN ca ON d = CAST(datetime AS DATE) GROUP BY 1) USING (vt_symbol) GROUP BY 1""")
+
+
+# ------------------------------------------- contracts, datasets, exports, symbol lists
+def contracts(spark, sf):
+    """A contract per large nation's first supplier, two of them set anew."""
+    store = PanelStore(spark, scratch(spark))
+    wanted = [r[0] for r in table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("k")).orderBy("k").limit(3).select("k").collect()]  # three contracts
+    for k in wanted:
+        store.add_contract(str(k), 0.001, 0.002, 10, 0.5)
+    for k in wanted[:2]:
+        store.add_contract(str(k), 0.003, 0.004, 20, 1.0)
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("vt_symbol"), "s_nationkey").join(store.contracts(), "vt_symbol")
+
+
+_CON = "con AS (SELECT k, row_number() OVER (ORDER BY k) AS i FROM (SELECT min(s_suppkey) AS k FROM supplier GROUP BY s_nationkey))"
+register("io_contracts", contracts, f"""WITH {_CON} SELECT CAST(k AS VARCHAR) AS vt_symbol, s_nationkey, CASE WHEN i < 3 THEN 0.003 ELSE 0.001 END::DOUBLE AS long_rate, CASE WHEN i < 3 THEN 0.004 ELSE 0.002 END::DOUBLE AS short_rate,
+  CASE WHEN i < 3 THEN 20.0 ELSE 10.0 END::DOUBLE AS size, CASE WHEN i < 3 THEN 1.0 ELSE 0.5 END::DOUBLE AS pricetick FROM con JOIN supplier ON s_suppkey = k WHERE i <= 3""")
+
+
+def datasets(spark, sf):
+    """Datasets saved, one replaced, one removed, read back with their settings."""
+    store = PanelStore(spark, scratch(spark))
+    df = bars(spark, sf).select("datetime", "vt_symbol", "close")
+    for name, low in (("a", 0.0), ("b", 1000.0), ("a", 500.0)):
+        store.save_dataset(name, df.where(F.col("close") > low), {"low": low})
+    store.remove_dataset("b")
+    data, meta = store.load_dataset("a")
+    return data.groupBy("vt_symbol").agg(F.count("*").alias("n"), F.round(F.sum("close"), 4).alias("total")).withColumns({"low": F.lit(meta["low"]), "names": F.lit(",".join(store.list_datasets()))})
+
+
+register("io_datasets", datasets, f"WITH {BARS} SELECT vt_symbol, count(*) AS n, round(sum(close), 4) AS total, CAST(500 AS DOUBLE) AS low, 'a' AS names FROM bars WHERE close > 500 GROUP BY 1")
+
+
+def exports(spark, sf):
+    """Factors written as CSV and Parquet, read back as a numeric panel, cut to a symbol list from a text file."""
+    root = scratch(spark)
+    df = bars(spark, sf).select("datetime", "vt_symbol", "close", F.col("volume").cast("int").alias("volume"))
+    tb.export_frame(df, f"{root}/factors.parquet")
+    tb.export_frame(df, f"{root}/factors.csv")
+    lines = df.select("vt_symbol").distinct().where("vt_symbol LIKE '%1'").selectExpr("concat(vt_symbol, '.SSE, comment') AS value").union(spark.createDataFrame([("# picked",), ("vt_symbol",), ("",)], "value string"))
+    lines.write.text(f"{root}/symbols")
+    listed = tb.read_symbol_list(spark, f"{root}/symbols").select(F.split_part("vt_symbol", F.lit("."), F.lit(1)).alias("vt_symbol"))
+    panel = tb.load_numeric_panel(spark, f"{root}/factors.parquet", "1994-01-01", "1997-12-31", 300.0)
+    typed = spark.read.csv(f"{root}/factors.csv", header=True).select("vt_symbol", F.col("datetime").cast("timestamp_ntz").alias("datetime"), F.col("close").cast("double").alias("csv_close"))
+    return tidy(tb.select_symbols(panel, listed, strict=True).join(typed, ["vt_symbol", "datetime"]).select("datetime", "vt_symbol", "close", "volume", "csv_close"))
+
+
+register("io_factor_export", exports, f"WITH {BARS} SELECT datetime, vt_symbol, {r('close', 'close')}, volume, {r('close', 'csv_close')} FROM bars WHERE vt_symbol LIKE '%1' AND datetime BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1997-12-31' AND close >= 300")
