@@ -91,8 +91,7 @@ family_query("fa_candlestick", common.candlestick())
 family_query("fa_accumulation", common.accumulation())
 _crowding = [f for f in common.liquidity() if "crowding_score" in f.name]
 family_query("fa_liquidity", [f for f in common.liquidity() if "crowding_score" not in f.name], rich=True)
-# ranks of two-bar z-scores compare noise between engines: rows only, tested on a fixture
-register("fa_crowding_score", lambda spark, sf: tidy(extract(Panel(enriched(spark, sf)), _crowding)))
+family_query("fa_crowding_score", _crowding, rich=True, daily=True)
 family_query("fa_position_breakout", common.position(), daily=True)
 family_query("fa_oscillator", common.oscillator())
 family_query("fa_relative_strength", common.relative_strength(), rich=True)
@@ -117,14 +116,17 @@ for name, exprs in (("fa_candidate_composites", composites.candidates() | compos
              family_sql(exprs, DAILY_ENRICHED, "enriched", 7))
 
 _all = alpha101.formulas()
-# four alphas rank or compare values equal up to float noise on this panel: rows only
+#: These rank or compare values that tie on short monthly windows.
 UNSTABLE = ("alpha45", "alpha64", "alpha78", "alpha99")
 for lo, hi in ((1, 20), (21, 40), (41, 60), (61, 80), (81, 101)):
     part = {k: v for k, v in _all.items() if lo <= int(k[5:]) <= hi and k not in UNSTABLE}
     register(f"fa_alpha101_{lo}_{hi}", lambda spark, sf, part=part: tidy(Panel(bars(spark, sf)).select(part)),
              family_sql(part))
+# alpha45 ranks two-bar correlations, which are all plus or minus one: rows only
 register("fa_alpha101_rows_only",
          lambda spark, sf: tidy(Panel(bars(spark, sf)).select({k: _all[k] for k in UNSTABLE})))
+for _name in ("alpha64", "alpha78", "alpha99"):
+    register(f"fa_{_name}_daily", lambda spark, sf, part={_name: _all[_name]}: tidy(Panel(daily_bars(spark, sf)).select(part)), family_sql({_name: _all[_name]}, DAILY))
 
 # ------------------------------------------------ formulas written out by hand
 panel_query("fa_alpha158_by_hand", {
