@@ -25,26 +25,29 @@ TOP_K = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1
 
 def _secrets() -> str:
     kinds = [("assign", secrets.ASSIGN, "length(regexp_extract_all(t, {p}, 2)[i]) >= 12"), ("access", secrets.ACCESS, "length(m[i]) >= 18"),
-             ("hex", "[0-9a-f]+", "length(m[i]) >= 16"), ("wide", secrets.CANDIDATE, "true")]
+             ("hex", "[0-9a-f]+", "length(m[i]) >= 16")]
+    for name, (pattern, must, *_) in secrets.CLASSES.items():
+        fits = " AND ".join(f"regexp_matches(m[i], {_q(p)})" for p in (*must, secrets.NOT_PLAIN))
+        allowed = " OR ".join(f"regexp_matches(m[i], {_q(p)})" for p in secrets.ALLOWED)
+        kinds.append((name, pattern, f"length(m[i]) >= {secrets.WINDOW} AND {fits} AND NOT ({allowed})"))
     parts = []
     for k, (name, pattern, keep) in enumerate(kinds):
         p = _q(pattern)
-        parts.append(f"""{name} AS (SELECT doc_id, {k} AS k, i, m[i] AS x, s, s + length(m[i]) AS e, {keep.format(p=p)} AS keep FROM (
+        parts.append(f"""{name} AS (SELECT doc_id, {k} AS k, i, m[i] AS x, s, s + length(m[i]) AS e, {keep.replace("{p}", p)} AS keep FROM (
     SELECT doc_id, t, m, unnest(range(1, len(m) + 1)) AS i, CAST(list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS s
     FROM (SELECT doc_id, t, regexp_extract_all(t, {p}) AS m, string_split_regex(t, {p}) AS g FROM d WHERE regexp_matches(t, {p}))))""")
     weights = "[" + ", ".join(map(str, secrets.WEIGHTS)) + "]"
-    allowed = " OR ".join(f"regexp_matches(x, {_q(p)})" for p in secrets.ALLOWED) + f" OR NOT regexp_matches(x, {_q(secrets.NOT_PLAIN)})"
     n = secrets.WINDOW
-    most = {k: secrets.most_weight(b) for k, b in secrets.BITS.items()}
     names = "[" + ", ".join(map(_q, secrets.KINDS)) + "]"
+    same = lambda k: "lower(x)" if k in secrets.LOWERED else "translate(x, {}, {})".format(*map(_q, secrets.TRANSLATED))
+    cand = " UNION ALL ".join(f"SELECT doc_id, k, i, s, {same(k)} AS x, {secrets.most_weight(c[3])} AS most FROM {k} WHERE keep" for k, c in secrets.CLASSES.items())
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {', '.join(parts)},
-  cand AS (SELECT doc_id, i, s, regexp_matches(x, {_q(secrets.HEX_ONLY)}) AS hex, CASE WHEN regexp_matches(x, {_q(secrets.HEX_ONLY)}) THEN lower(x) ELSE x END AS x FROM wide WHERE NOT ({allowed})),
-  win AS (SELECT doc_id, i, s, hex, o, string_split(substr(x, o + 1, {n}), '') AS c FROM (SELECT *, unnest(range(0, length(x) - {n - 1})) AS o FROM cand)),
-  hit AS (SELECT doc_id, i, s, hex, o FROM win WHERE list_sum(list_transform(list_distinct(c), lambda u: {weights}[len(list_filter(c, lambda y: y = u)) + 1])) <=
-    CASE WHEN hex THEN {most['entropy_hex']} ELSE {most['entropy_base64']} END),
-  isl AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, i ORDER BY o) AS g FROM (SELECT *, CASE WHEN o <= lag(o) OVER (PARTITION BY doc_id, i ORDER BY o) + {n} THEN 0 ELSE 1 END AS new FROM hit)),
+  cand AS ({cand}),
+  win AS (SELECT doc_id, k, i, s, most, o, string_split(substr(x, o + 1, {n}), '') AS c FROM (SELECT *, unnest(range(0, length(x) - {n - 1})) AS o FROM cand)),
+  hit AS (SELECT doc_id, k, i, s, o FROM win WHERE list_sum(list_transform(list_distinct(c), lambda u: {weights}[len(list_filter(c, lambda y: y = u)) + 1])) <= most),
+  isl AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, k, i ORDER BY o) AS g FROM (SELECT *, CASE WHEN o <= lag(o) OVER (PARTITION BY doc_id, k, i ORDER BY o) + {n} THEN 0 ELSE 1 END AS new FROM hit)),
   spans AS (SELECT doc_id, k, s, e FROM assign WHERE keep UNION ALL SELECT doc_id, k, s, e FROM access WHERE keep UNION ALL SELECT doc_id, k, s, e FROM hex WHERE keep
-    UNION ALL SELECT doc_id, CASE WHEN hex THEN 3 ELSE 4 END, min(s + o), max(s + o) + {n} FROM isl GROUP BY doc_id, i, hex, g),
+    UNION ALL SELECT doc_id, k, min(s + o), max(s + o) + {n} FROM isl GROUP BY doc_id, k, i, g),
   l AS (SELECT doc_id, k, {names}[k + 1] || ':' || s || ':' || e AS x, s, e FROM spans)
   SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
     sha256(coalesce(string_agg(x, ',' ORDER BY s, k, e) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, k, e), '') AS spans
