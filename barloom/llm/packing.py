@@ -9,16 +9,18 @@ tokens it may still take. At the end every bin shrinks to the smallest capacity
 that holds its contents. The plan says, for each run of equal bins, which ranks
 of a length go where.
 
-Spark then numbers the pieces of a length (salted, so that a frequent length is
-many small windows) and joins them with the plan on length and rank block.
+Spark then numbers the pieces of a length: sorted into ranges of (length, doc_id,
+piece), they are numbered inside each range, and a length that spans several ranges
+goes on from the counts before. So a frequent length takes as many windows as its
+rows fill ranges. Numbers are joined with the plan on length and rank block.
 
 Cost of a bin: its capacity plus ``overhead`` tokens. A new bin's size is the one
 with the least cost per token filled, where the fill is forecast from the shorter
 pieces still to come.
 
 Defined cases: sequences of length zero or null are not packed and have no row;
-repeated rows are packed each; ties in length go by doc_id, then by an arbitrary
-but fixed order of equal rows. Other columns are not read.
+repeated rows are packed each; ties in length go by doc_id (null first), then by
+piece, then by an arbitrary order of equal rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +33,6 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import stored, words
 
-#: Windows a frequent length is numbered in.
-SALTS = 64
 #: Ranks in one block of the plan's join key.
 STRIDE = 4096
 
@@ -70,10 +70,13 @@ def plan(histogram: dict[int, int], capacities: list[int], overhead: int = 16) -
                 if not open_runs[room]:
                     rooms.pop(at)
                     del open_runs[room]
-                take = min(left, count)
+                # a bin that takes a piece is then the fullest that fits: it takes more while it can
+                fit = min(room // length, left)
+                take = min(left // fit, count)
                 if take < count:
                     put([first + take, count - take, capacity, tuple((x, r + take) for x, r in contents)], room)
-                put([first, take, capacity, (*contents, (length, rank))], room - length)
+                put([first, take, capacity, contents + tuple((length, rank + i * take) for i in range(fit))], room - fit * length)
+                take *= fit
             else:
                 # tokens of shorter pieces that each new bin may count on
                 share = to_come / left
@@ -111,16 +114,18 @@ def pack(sequences: DataFrame, capacities: list[int], overhead: int = 16) -> Dat
     sized = sequences.where(F.col("size") > 0).select("doc_id", size.alias("size"))
     pieces = sized.select("doc_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / largest))).alias("piece")).select(
         "doc_id", "piece", (F.col("piece") * largest).alias("start"), F.least(F.lit(largest), F.col("size") - F.col("piece") * largest).cast("int").alias("length"))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    local = stored(pieces.withColumn("r", F.row_number().over(own) - 1))
-    # at most one row for each length and salt: bounded by capacity, not by documents
-    counts = local.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # stored first: ranges are sampled from it, and texts are not counted again
+    held = stored(pieces.withColumn("order", F.monotonically_increasing_id()))
+    ranges = held.repartitionByRange("length", "doc_id", "piece", "order").withColumn("range", F.spark_partition_id())
+    own = Window.partitionBy("length", "range").orderBy("doc_id", "piece", "order")
+    local = stored(ranges.withColumn("r", F.row_number().over(own) - 1).drop("order"))
+    # at most one row for each length and range: bounded by capacity and partitions, not by documents
+    counts = local.groupBy("length", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("length", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     histogram = {row.length: row.n for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     placed = spark.createDataFrame(plan(histogram, capacities, overhead), "length int, rank0 long, count long, bin0 long, bin_offset int, bin_capacity int")
-    ranked = local.join(offsets, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("r")).drop("before", "r", "salt")
+    ranked = local.join(offsets, ["length", "range"]).withColumn("rank", F.col("before") + F.col("r")).drop("before", "r", "range")
     blocks = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("rank0") / STRIDE), F.floor((F.col("rank0") + F.col("count") - 1) / STRIDE))))
     inside = (F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("count"))
     return ranked.withColumn("block", F.floor(F.col("rank") / STRIDE)).join(blocks, ["length", "block"]).where(inside).select(

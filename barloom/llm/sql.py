@@ -69,25 +69,39 @@ def _quality() -> str:
     classes = [length_of(p) for p in quality.CLASSES.values()]
     chars = ", ".join([*classes, "n_symbols", "length(t) - word_chars", f"word_chars - n_symbols - ({' + '.join(classes)})"])
     commons = ", ".join(f"len(list_filter(w, lambda x: x = {_q(k)}))" for k in quality.COMMON_WORDS)
-    sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i}])" for i in range(1, n + 1)) + "]"
+    n_chars, n_words = len(quality.CLASSES) + 3, len(quality.COMMON_WORDS) + 1
+    array = lambda first, n: f"CASE WHEN max(step) FILTER (class = {first}) IS NOT NULL THEN [" + ", ".join(
+        f"max(step) FILTER (class = {i})" for i in range(first, first + n)) + "] END"
+    steps = lambda c, first, enough: (
+        f"SELECT lang, source, unnest(range({first}, {first} + len({c}))) AS class, unnest(list_transform({c}, lambda x: CAST(round({quality.GRID} * "
+        f"(CASE WHEN list_sum({c}) > 0 THEN CAST(x AS DOUBLE) / list_sum({c}) ELSE 0 END)) AS BIGINT))) AS step FROM judged WHERE {enough}")
 
     def jsd(p: str, q: str) -> str:
         share = lambda a: f"(CASE WHEN list_sum({a}) > 0 THEN CAST({a}[i] AS DOUBLE) / list_sum({a}) ELSE 0 END)"
         part = lambda x, y: f"(CASE WHEN {x} > 0 THEN {x} * log2(2.0::DOUBLE * {x} / ({x} + {y})) ELSE 0 END)"
         return f"round(sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: {part(share(p), share(q))} + {part(share(q), share(p))})) / 2)), 9)"
 
-    return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+    return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
   lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
   g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
   rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
-  a AS (SELECT d.doc_id, lang, t, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  a AS (SELECT d.doc_id, lang, source, t, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST({length_of(quality.SYMBOLS)} AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
     FROM d JOIN lines USING (doc_id) LEFT JOIN rep ON rep.doc_id = d.doc_id),
-  h AS (SELECT *, [{chars}] AS hc, list_append([{commons}], n_words - len(list_filter(w, lambda x: list_contains({known}, x)))) AS hw FROM a),
-  r AS (SELECT lang AS rl, {sums('hc', len(quality.CLASSES) + 3)} AS rc, {sums('hw', len(quality.COMMON_WORDS) + 1)} AS rw FROM h GROUP BY lang),
-  j AS (SELECT *, {jsd('hc', 'rc')} AS dc, {jsd('hw', 'rw')} AS dw, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM h JOIN r ON lang IS NOT DISTINCT FROM rl)
+  h AS (SELECT *, [{chars}] AS hc, list_append([{commons}], n_words - len(list_filter(w, lambda x: list_contains({known}, x)))) AS hw,
+    n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM a),
+  judged AS (SELECT lang, source, length(t) AS n_chars, n_words, hc, hw FROM h WHERE NOT base_failed AND (length(t) >= {quality.GUARD_CHARS} OR n_words >= {quality.GUARD_WORDS})),
+  origins AS (SELECT lang AS ol, source AS os, count(*) AS n FROM judged GROUP BY lang, source),
+  weights AS (SELECT ol, os, CAST(ceil({quality.WEIGHT} * least(1.0::DOUBLE, CAST(avg(n) OVER (PARTITION BY ol) AS DOUBLE) / n)) AS BIGINT) AS weight FROM origins),
+  steps AS ({steps('hc', 0, f"n_chars >= {quality.GUARD_CHARS}")} UNION ALL {steps('hw', n_chars, f"n_words >= {quality.GUARD_WORDS}")}),
+  held AS (SELECT lang, class, step, sum(weight) AS weight FROM steps JOIN weights ON lang IS NOT DISTINCT FROM ol AND source IS NOT DISTINCT FROM os GROUP BY lang, class, step),
+  upto AS (SELECT *, sum(weight) OVER (PARTITION BY lang, class ORDER BY step) AS below, sum(weight) OVER (PARTITION BY lang, class) AS total FROM held),
+  medians AS (SELECT lang, class, min(step) AS step FROM upto WHERE 2 * below >= total GROUP BY lang, class),
+  r AS (SELECT lang AS rl, {array(0, n_chars)} AS rc, {array(n_chars, n_words)} AS rw FROM medians GROUP BY lang),
+  j AS (SELECT *, {jsd('hc', 'rc')} AS dc, {jsd('hw', 'rw')} AS dw FROM h LEFT JOIN r ON lang IS NOT DISTINCT FROM rl)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed
-    AND NOT (length(t) >= {quality.GUARD_CHARS} AND dc > {quality.MAX_CHAR_DISTANCE}) AND NOT (n_words >= {quality.GUARD_WORDS} AND dw > {quality.MAX_WORD_DISTANCE}) AS kept FROM j"""
+    AND NOT coalesce(length(t) >= {quality.GUARD_CHARS} AND dc > {quality.MAX_CHAR_DISTANCE}, false)
+    AND NOT coalesce(n_words >= {quality.GUARD_WORDS} AND dw > {quality.MAX_WORD_DISTANCE}, false) AS kept FROM j"""
 
 
 def _licenses() -> str:

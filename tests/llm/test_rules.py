@@ -6,11 +6,13 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import licenses, packing, quality, vafile, warc
+from barloom.llm.sql import ORACLE
 
 WORD = "[^\x20\x09-\x0D]+"
 
@@ -67,6 +69,10 @@ def test_a_hot_source_of_junk_does_not_move_the_reference(spark, junk):
     assert not any(r.base_failed for r in got.values())
     assert {i for i, r in got.items() if r.kept} == set(range(60))
     assert {r.doc_id for r in quality.accepted(docs).collect()} == set(range(60))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    assert {r[0] for r in con.sql(f"SELECT doc_id FROM ({ORACLE['op9_quality_rules']}) WHERE kept").fetchall()} == set(range(60))
 
 
 MIT = """MIT License
@@ -152,6 +158,51 @@ def test_packing_plan_places_every_piece_once():
         assert all(cells == set(range(len(cells))) and size[b] == min(c for c in caps if c >= len(cells)) for b, cells in used.items())
 
 
+def one_by_one(histogram, caps, overhead):
+    """Best fit of single pieces, longest first: contents and final capacity of every bin."""
+    bins, stacks, to_come = [], {}, sum(n * c for n, c in histogram.items())
+    for length in sorted(histogram, reverse=True):
+        to_come -= length * histogram[length]
+        promised, capacity = 0, None  # bins still to open at the capacity chosen last
+        for left in range(histogram[length], 0, -1):
+            rooms = [room for room, x in stacks.items() if x and room >= length]
+            if rooms:
+                at = stacks[min(rooms)].pop()
+            else:
+                if not promised:
+                    cost = {c: (c + overhead) / min(c, length * (c // length) + to_come / left) for c in caps if c >= length}
+                    capacity = min(cost, key=lambda c: (cost[c], c))
+                    promised = left // min(capacity // length, left)
+                promised -= 1
+                at = len(bins)
+                bins.append([capacity, []])
+            bins[at][1].append(length)
+            stacks.setdefault(bins[at][0] - sum(bins[at][1]), []).append(at)
+    return sorted((min(c for c in caps if c >= sum(x)), sorted(x)) for _, x in bins)
+
+
+def test_packing_plan_is_best_fit_piece_by_piece():
+    rng = random.Random(4)
+    for _ in range(300):
+        caps = sorted(rng.sample(range(4, 60), rng.randint(1, 4)))
+        h = {rng.randint(1, max(caps)): rng.randint(1, 30) for _ in range(rng.randint(0, 20))}
+        overhead = rng.choice([0, 3, 16])
+        bins = {}
+        for length, _, count, first, _, cap in packing.plan(h, caps, overhead):
+            for i in range(count):
+                bins.setdefault(first + i, (cap, []))[1].append(length)
+        assert sorted((c, sorted(x)) for c, x in bins.values()) == one_by_one(h, caps, overhead)
+
+
+def test_packing_breaks_ties_by_document(spark):
+    rows = [(i, 4) for i in random.Random(1).sample(range(40), 40)] + [(None, 4), (7, 4), (50, 23)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, size int").repartition(5), [8]).where("length = 4").collect()
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.bin_offset, r.bin))]
+    assert len(order) == 42 and order == [None, *sorted([*range(40), 7])]
+    long = packing.pack(spark.createDataFrame([(1, 1_000_003)], "doc_id long, size int"), [8, 16]).collect()
+    assert sum(r.length for r in long) == 1_000_003 and len({(r.bin, r.bin_offset) for r in long}) == len(long) == 62_501
+
+
 def test_packing_of_a_table(spark):
     rows = [(i, "w " * n) for i, n in enumerate([5, 5, 9, 3, 1, 30, 8, 16, 17, 0])] + [(5, "x " * 7), (None, "a b"), (77, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit("x")).withColumn("bin", F.lit(0))
