@@ -49,6 +49,24 @@ SENTENCES = {
     "gpl_warranty": ["this program is distributed in the hope that it will be useful but without any warranty"],
     "gpl_implied": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
     "gpl_copy": ["you should have received a copy of the gnu general public license along with this program"],
+    "lgpl_terms": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "lgpl21_version": ["either version 2.1 of the license or at your option any later version"],
+    "lgpl21_later": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version"],
+    "lgpl3_later": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "lgpl_warranty": ["this library is distributed in the hope that it will be useful but without any warranty"],
+    "lgpl_copy": ["you should have received a copy of the gnu lesser general public license along with this library", "you should have received a copy of the gnu lesser general public license along with this program"],
+    "agpl_terms": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"],
+    "agpl3_later": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl_copy": ["you should have received a copy of the gnu affero general public license along with this program"],
+    "zlib_as_is": ["this software is provided as-is without any express or implied warranty"],
+    "zlib_liable": ["in no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib_grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "epl2_ref": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl-2.0",
+                 "this program and the accompanying materials are made available under the terms of the eclipse public license v2.0 which accompanies this distribution and is available at https www.eclipse.org legal epl-v20.html"],
+    "bsd_as_is": ["this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "bsd_liable": ["in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services",
+                   "in no event shall the copyright owner or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services"],
+    "isc_as_is": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
     "lgpl_ref": ["licensed under the gnu lesser general public license version 2.1", "licensed under the gnu lesser general public license version 3"],
     "mpl_ref": ["this source code form is subject to the terms of the mozilla public license v", "this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"],
     "cc0_ref": ["this work is dedicated to the public domain under cc0 1.0", "this work is licensed under cc0 1.0 universal public domain dedication"],
@@ -64,7 +82,10 @@ RULES = [
     ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_name"]), ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
     ("GPL-3.0-or-later", ["gpl3_later", "gpl_warranty", "gpl_implied", "gpl_copy"]), ("GPL-2.0-or-later", ["gpl2_later", "gpl_warranty", "gpl_implied", "gpl_copy"]),
     ("GPL-3.0-or-later", ["gpl_terms", "gpl3_version", "gpl_warranty", "gpl_implied", "gpl_copy"]), ("GPL-2.0-or-later", ["gpl_terms", "gpl2_version", "gpl_warranty", "gpl_implied", "gpl_copy"]),
-    ("GPL-3.0-or-later", ["gpl3_later"]), ("GPL-2.0-or-later", ["gpl2_later"]), ("GPL-3.0-or-later", ["gpl_terms", "gpl3_version"]), ("GPL-2.0-or-later", ["gpl_terms", "gpl2_version"]), ("ISC", ["isc_grant"]),
+    ("GPL-3.0-or-later", ["gpl3_later"]), ("GPL-2.0-or-later", ["gpl2_later"]), ("GPL-3.0-or-later", ["gpl_terms", "gpl3_version"]), ("GPL-2.0-or-later", ["gpl_terms", "gpl2_version"]),
+    ("LGPL-2.1-or-later", ["lgpl_terms", "lgpl21_version"]), ("LGPL-3.0-or-later", ["lgpl_terms", "gpl3_version"]), ("LGPL-2.1-or-later", ["lgpl21_later"]), ("LGPL-3.0-or-later", ["lgpl3_later"]),
+    ("AGPL-3.0-or-later", ["agpl_terms", "gpl3_version"]), ("AGPL-3.0-or-later", ["agpl3_later"]),
+    ("Zlib", ["zlib_as_is", "zlib_liable", "zlib_grant"]), ("EPL-2.0", ["epl2_ref"]), ("ISC", ["isc_grant"]),
     ("MIT", ["mit_name"]), ("MIT", ["mit_ref"]), ("Apache-2.0", ["apache_ref"]), ("BSD-2-Clause", ["bsd2_ref"]), ("BSD-3-Clause", ["bsd3_ref"]),
     ("GPL-3.0-only", ["gpl3_ref"]), ("GPL-2.0-only", ["gpl2_ref"]), ("LGPL", ["lgpl_ref"]), ("MPL-2.0", ["mpl_ref"]),
     ("CC0-1.0", ["cc0_ref"]), ("CC-BY-4.0", ["ccby_ref"]), ("CC-BY-SA-4.0", ["ccbysa_ref"]), ("CC-BY-NC-4.0", ["ccbync_ref"]), ("Unlicense", ["unlicense"]),

@@ -129,14 +129,57 @@ MPL = """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
+#: Public wordings of the other notices, each with the licence it names.
+LESSER = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+AFFERO = GPL.replace("GNU General", "GNU Affero General")
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+claim that you wrote the original software."""
+EPL = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+
+The rest of the file."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+
 
 def test_public_notices_with_stops_inside(spark):
-    notices = [(GPL.format(stop=":", sep=",", n=3), "GPL-3.0-or-later"), (GPL.format(stop=";", sep=";", n=2), "GPL-2.0-or-later"), (MPL, "MPL-2.0")]
+    notices = [(LESSER, "LGPL-2.1-or-later"), (AFFERO.format(stop=":", sep=",", n=3), "AGPL-3.0-or-later"), (AFFERO.format(stop=";", sep=";", n=3), "AGPL-3.0-or-later"),
+               (ZLIB, "Zlib"), (EPL, "EPL-2.0"), (BSD, "BSD-2-Clause"), (GPL.format(stop=":", sep=",", n=3), "GPL-3.0-or-later"), (GPL.format(stop=";", sep=";", n=2), "GPL-2.0-or-later"), (MPL, "MPL-2.0")]
     marked = [(mark + t.replace("\n", "\n" + mark), want) for t, want in notices for mark in ("", "# ", "// ", " * ")]
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(marked)], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.recognise(docs).collect()}
     assert {i: r.licenses for i, r in got.items()} == {i: want for i, (_, want) in enumerate(marked)}
     assert all("gpl_warranty,gpl_implied,gpl_copy" in got[i].sentence_ids for i, (_, want) in enumerate(marked) if want.startswith("GPL"))
+    assert all("bsd_as_is" in got[i].sentence_ids for i, (_, want) in enumerate(marked) if want.startswith("BSD"))
 
 
 def test_packing_plan_places_every_piece_once():
