@@ -7,16 +7,16 @@ their paths differ and gives a pair up as soon as the budget is exceeded, so eve
 link within the budget is found and no other pair reaches a leaf.
 
 On Spark the trie is cut at a depth where a subtree holds about ``BLOCK``
-fingerprints: each subtree is one row (several, if it is crowded), subtree pairs
-whose prefixes differ within the budget are joined, and each pair is walked on
-its own with numpy. A task gives back a spanning forest of the links it found,
+fingerprints (a crowded one is dealt over several parts). Pairs of subtrees whose
+prefixes differ within the budget are tiles; a fingerprint goes once to each of its
+tiles, and each tile is walked on its own with numpy. A task gives back a spanning forest of the links it found,
 never all pairs of a group; the forests are merged by contraction on Spark.
 
 ``groups`` is one trie over 64 bits with a fixed budget. Four bits are little:
 texts that share 0.8 of their shingles differ in about ten of 64. ``similar``
 links by similarity instead: several fingerprints (lanes) with different seeds,
-a trie self-join over the leading bits of each, and a link where all bits of all
-lanes together agree as texts of that similarity do. The number of leading bits
+a trie self-join over the leading bits of each, and a link where the bits of
+several lanes together agree as texts of that similarity do. The number of leading bits
 and of lanes follow from the number of rows, so that chance meetings per row and
 the share of links found stay the same at every size.
 
@@ -32,7 +32,7 @@ rows share a component. Other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -46,11 +46,13 @@ from barloom.llm.components import components, forest, merge
 
 SEED = 42
 #: Fingerprints in a subtree row, about.
-BLOCK = 16384
+BLOCK = 1 << 16
 #: A node pair of at most so many leaf pairs is compared leaf by leaf.
 LEAVES = 64
 #: Node pairs held at once; more wait on a stack.
 FRONT = 1 << 19
+#: Further lanes whose bits a candidate of ``exact`` is judged by.
+CHECKED = 2
 #: Shingles of a block of documents whose sets are compared with those of another, about.
 SHINGLES = 1 << 18
 #: Shingles whose bits are counted at once.
@@ -152,57 +154,59 @@ def _leaves(a, b, same, alo, ahi, blo, bhi, budget, bits) -> Iterator[tuple[np.n
             yield i[hit], j[hit]
 
 
-def links(distinct: DataFrame, n: int, lane: int, budget: int, bits: int = 64, total: int | None = None, lanes: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, n: int, lane: int, budget: int, bits: int = 64, checked: Sequence[int] = (), total: int = 64) -> DataFrame:
     """Spanning links (u, v) of doc_id between ``n`` distinct fingerprints (fp, d).
 
     Two link if the leading ``bits`` of ``lane`` differ in at most ``budget``
-    and, where ``total`` is given, all lanes (the first ``lanes``) together in at
-    most ``total`` bits.
+    and all bits of it and of the ``checked`` lanes in at most ``total``.
+
+    A tile is a pair of subtrees, or of parts of crowded ones, and one task walks
+    it. A row goes to each of its tiles once, with its numbers only.
     """
     cut = min(bits, max(0, int(np.ceil(np.log2(max(1, n / BLOCK))))))
-    key = F.get("fp", F.lit(lane))
-    rows = distinct.select("fp", "d", (F.shiftrightunsigned(key, 64 - cut) if cut else F.lit(0).cast("long")).alias("p"))
+    held = [lane, *checked]
+    names = [f"f{i}" for i in range(len(held))]
+    rows = distinct.select(*(F.get("fp", F.lit(x)).alias(c) for x, c in zip(held, names)), "d")
+    rows = rows.withColumn("p", F.shiftrightunsigned("f0", 64 - cut) if cut else F.lit(0).cast("long"))
     sizes = rows.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    blocks = stored(rows.join(sizes, "p").select("p", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("c"), F.struct("fp", "d").alias("x"))
-                    .groupBy("p", "c").agg(F.collect_list("x").alias("x")))
+    rows = rows.join(sizes, "p").withColumn("c", F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int")).drop("chunks")
     masks = [m for m in range(1 << cut) if m.bit_count() <= budget]
-    own = blocks.select("p", "c")
-    after = own.groupBy("p").agg((F.max("c") + 1).alias("chunks"))
-    pairs = own.select("p", "c", F.explode(F.lit(masks).cast("array<long>")).alias("m")).select("p", "c", F.col("p").bitwiseXOR(F.col("m")).alias("q"))
-    pairs = pairs.join(after.withColumnRenamed("p", "q"), "q").select("p", "c", "q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("e"))
-    # each unordered pair once, by turns at either end, so that no block gets all of its pairs
-    even = (F.col("p") + F.col("q") + F.col("c") + F.col("e")) % 2 == 0
-    lower = F.struct("p", "c") < F.struct(F.col("q").alias("p"), F.col("e").alias("c"))
-    pairs = pairs.where(((F.col("p") == F.col("q")) & (F.col("c") == F.col("e"))) | (even == lower))
-    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << cut)
-    left = pairs.join(blocks.withColumnRenamed("x", "a"), ["p", "c"]).repartition(parts, "q", "e")
-    right = blocks.select(F.col("p").alias("q"), F.col("c").alias("e"), F.col("x").alias("b")).repartition(parts, "q", "e")
-    both = left.join(right, ["q", "e"]).select((F.struct("p", "c") == F.struct(F.col("q").alias("p"), F.col("e").alias("c"))).alias("same"), "a", "b")
+    parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = sizes.select("p", parts("chunks").alias("c"))
+    tiles = own.select("p", "c", F.explode(F.lit(masks).cast("array<long>")).alias("m")).select("p", "c", F.col("p").bitwiseXOR(F.col("m")).alias("q"))
+    tiles = tiles.join(sizes.withColumnRenamed("p", "q"), "q").select("p", "c", "q", parts("chunks").alias("e"))
+    # each unordered pair once; a tile of one part with itself has no second side
+    tiles = tiles.where(F.struct("p", "c") <= F.struct(F.col("q").alias("p"), F.col("e").alias("c")))
+    tile = ["p", "c", "q", "e"]
+    left = rows.join(tiles, ["p", "c"]).select(*tile, *names, "d")
+    second = rows.withColumnsRenamed({"p": "q", "c": "e"}).join(tiles.where("p < q OR c < e"), ["q", "e"]).select(*tile, *names, "d")
+    second = second.toDF(*(f"{c}_" for c in second.columns))
+
+    def work(some: pa.Table, other: pa.Table) -> pa.Table:
+        (fa, da), (fb, db) = (_columns(x.select(range(len(tile), x.num_columns))) for x in (some, other))
+        same = not len(db)
+        if same:
+            fb = fa
+        # both sides share one numbering: b comes after a
+        ids = np.concatenate([da, db])
+        parent = np.arange(len(ids))
+        for i, j in walk(fa[0], fb[0], same, cut, budget, bits):
+            if checked:
+                near = sum(np.bitwise_count(x[i] ^ y[j]).astype(np.int64) for x, y in zip(fa, fb)) <= total
+                i, j = i[near], j[near]
+            merge(parent, i, j if same else j + len(da))
+        at = forest(parent)
+        return pa.table({"u": ids[at], "v": ids[parent[at]]})
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                same = batch.column("same")[row].as_py()
-                (fa, da), (fb, db) = (_columns(batch.column(k)[row].values, lane) for k in ("a", "b"))
-                # both subtrees share one numbering: b comes after a
-                parent = np.arange(len(da) + (0 if same else len(db)))
-                for i, j in walk(fa[:, lane].copy(), fb[:, lane].copy(), same, cut, budget, bits):
-                    if total is not None:
-                        near = np.bitwise_count(fa[i, :lanes] ^ fb[j, :lanes]).sum(axis=1, dtype=np.int64) <= total
-                        i, j = i[near], j[near]
-                    merge(parent, i, j if same else j + len(da))
-                ids = da if same else np.concatenate([da, db])
-                at = forest(parent)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[parent[at]])], ["u", "v"])
-
-    return both.mapInArrow(work, "u long, v long")
-
-
-def _columns(x: pa.StructArray, lane: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints (unsigned, a column a lane) in the trie order of one lane, with their doc_id."""
-    fp = x.field("fp").flatten().to_numpy().view(np.uint64).reshape(len(x), -1)
-    order = np.argsort(fp[:, lane], kind="stable")
-    return fp[order], x.field("d").to_numpy()[order]
+    return left.groupBy(*tile).cogroup(second.groupBy(*(f"{c}_" for c in tile))).applyInArrow(work, "u long, v long")
+
+
+def _columns(x: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """Fingerprints (unsigned, an array a lane) in the trie order of the first lane, with their doc_id, the last column."""
+    *fp, d = (c.to_numpy() for c in x.columns)
+    fp = [f.view(np.uint64) for f in fp]
+    order = np.argsort(fp[0], kind="stable")
+    return [f[order] for f in fp], d[order]
 
 
 def _classes(marked: DataFrame, lanes: int, find) -> DataFrame:
@@ -254,7 +258,7 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, margin: flo
     def find(distinct: DataFrame, n: int) -> DataFrame:
         found = []
         for lane in range(lanes):
-            found.append(stored(links(distinct, n, lane, budget, bits, total)))
+            found.append(stored(links(distinct, n, lane, budget, bits, [x for x in range(lanes) if x != lane], total)))
             release(docs.sparkSession)
         return reduce(DataFrame.union, found)
 
@@ -366,16 +370,17 @@ def exact(docs: DataFrame, size: int = 5, similarity: float = 0.8, loose: float
     """Per row: doc_id, fp (a number a lane and a digest) and component_id by links of exact Jaccard ``similarity`` or more.
 
     Candidates are met with probability ``found`` at that similarity, and are
-    dropped unseen only where all lanes together speak for less than ``loose``.
+    dropped unseen only where a lane and the ``CHECKED`` next ones together speak
+    for less than ``loose``.
     """
     bits, lanes = lane_plan(docs.count(), similarity, budget, found)
     lanes = max(lanes, 4)
-    total = math.floor(64 * lanes * differing_share(loose))
+    total = math.floor(64 * (1 + CHECKED) * differing_share(loose))
 
     def find(distinct: DataFrame, n: int) -> DataFrame:
         met = []
         for lane in range(lanes):
-            met.append(stored(links(distinct, n, lane, budget, bits, total, lanes)))
+            met.append(stored(links(distinct, n, lane, budget, bits, [(lane + 1 + i) % lanes for i in range(CHECKED)], total)))
             release(docs.sparkSession)
         return verified(docs, reduce(DataFrame.union, met), size, similarity)
 
