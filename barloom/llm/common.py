@@ -6,6 +6,8 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,13 +45,37 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    path = shared_folder(df.sparkSession)
+#: Tables that each open ``scratch`` deletes at its end, the innermost last.
+_scratches: ContextVar[tuple[list[str], ...]] = ContextVar("scratches", default=())
+
+
+def stored(df: DataFrame, result: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there.
+
+    Inside a ``scratch`` the table goes when that ends; a ``result`` goes with
+    the next one outside, or stays if there is none.
+    """
+    path, level = shared_folder(df.sparkSession), len(_scratches.get()) - 1 - result
     df.write.parquet(path)
+    if level >= 0:
+        _scratches.get()[level].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``stored`` writes inside, at the end. Nothing that reads them may leave; store it as a ``result``."""
+    paths: list[str] = []
+    token = _scratches.set((*_scratches.get(), paths))
+    try:
+        yield
+    finally:
+        _scratches.reset(token)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now.
 

@@ -27,7 +27,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BLANKS, stored, words
+from barloom.llm.common import BLANKS, scratch, stored, words
 
 # fixed values: frequent function words of English, French, German and Spanish
 COMMON_WORDS = ("the", "of", "and", "to", "in", "is", "de", "la", "le", "les", "et", "des", "un", "que",
@@ -164,7 +164,8 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep."""
     key = ["doc_id", "lang", "k"]
     keyed = docs.select("doc_id", "lang", "text", *(c for c in ("source",) if c in docs.columns)).withColumn("k", F.xxhash64("text"))
-    rejected = judge(stored(measure(keyed, key))).where("NOT kept").select(*(F.col(c).alias(f"no_{c}") for c in key)).distinct()
+    with scratch(docs.sparkSession):
+        rejected = stored(judge(stored(measure(keyed, key))).where("NOT kept").select(*(F.col(c).alias(f"no_{c}") for c in key)).distinct(), result=True)
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "lang", F.xxhash64("text").alias("k"))
     # rows of one key have one text and language, and so one verdict
     return rows.join(rejected, reduce(and_, (F.col(c).eqNullSafe(F.col(f"no_{c}")) for c in key)), "left_anti").select("row.*")

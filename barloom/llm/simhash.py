@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import release, stored
+from barloom.llm.common import release, scratch, stored
 from barloom.llm.components import components, forest, merge
 
 SEED = 42
@@ -216,7 +216,8 @@ def _classes(marked: DataFrame, lanes: int, find) -> DataFrame:
     keys = [f"f{i}" for i in range(lanes)]
     one = named.where("doc_id IS NOT NULL").groupBy(*keys).agg(F.min(F.col("doc_id").cast("long")).alias("d"))
     distinct = stored(one.select(F.array(*keys).alias("fp"), "d"))
-    found = components(find(distinct, distinct.count()))
+    with scratch(marked.sparkSession):
+        found = stored(components(find(distinct, distinct.count())), result=True)
     classes = distinct.join(found, distinct.d == found.node, "left").select(
         *(F.get("fp", F.lit(i)).alias(f"f{i}") for i in range(lanes)), F.coalesce("label", "d").cast(kind).alias("component_id"))
     return named.join(classes, keys, "left").select(
@@ -340,30 +341,31 @@ def verified(docs: DataFrame, loose: DataFrame, size: int, similarity: float) ->
     documents, block by block. So a component costs its size times what the
     first step left over, and no block depends on the component's size.
     """
-    edges = stored(loose.distinct())
-    inside = components(edges)
-    kind = dict(docs.dtypes)["doc_id"]
-    texts = docs.select("doc_id", "text").join(inside.select(F.col("node").cast(kind).alias("doc_id"), "node"), "doc_id")
-    sets = stored(_sets(texts, size).withColumn("h", F.xxhash64("s")).dropDuplicates(["node", "h"]).drop("h"))
-    release(docs.sparkSession)
-    pairs = edges.join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
-    both = F.size(F.array_intersect("a", "b"))
-    near = stored(pairs.where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v").distinct())
-    parts = components(near).select(F.col("node").alias("part_node"), F.col("label").alias("part"))
-    members = stored(inside.join(parts, F.col("node") == F.col("part_node"), "left").select("node", "label", F.coalesce("part", "node").alias("v")))
-    sized = stored(sets.join(members, "node").select("label", "v", "s"))
-    split = sized.groupBy("label", "v").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("size")).groupBy("label").agg(
-        F.max_by("v", F.struct("n", "v")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "v", "size")).alias("top"))
-    # two documents have met already
-    split = split.where("parts > 1 AND n > 2").select("label", "main", F.ceil(F.col("size") / SHINGLES).cast("int").alias("blocks"),
-                                                      F.ceil((F.col("size") - F.col("top.size")) / SHINGLES).cast("int").alias("rest_blocks"))
-    rows = sized.join(split, "label").withColumn("h", F.xxhash64("s"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
-    block = lambda n: F.pmod("h", F.greatest(F.col(n), F.lit(1))).cast("int")
-    some = rows.where("v <> main").select("label", block("rest_blocks").alias("i"), upto("blocks").alias("j"), "v", "s")
-    all_ = rows.select("label", upto("rest_blocks").alias("i"), block("blocks").alias("j"), "v", "s").toDF("label_", "i_", "j_", "v", "s")
-    more = some.groupBy("label", "i", "j").cogroup(all_.groupBy("label_", "i_", "j_")).applyInArrow(lambda a, b: _compared(a, b, similarity), "u long, v long")
-    return near.union(stored(more))
+    with scratch(docs.sparkSession):
+        edges = stored(loose.distinct())
+        inside = components(edges)
+        kind = dict(docs.dtypes)["doc_id"]
+        texts = docs.select("doc_id", "text").join(inside.select(F.col("node").cast(kind).alias("doc_id"), "node"), "doc_id")
+        sets = stored(_sets(texts, size).withColumn("h", F.xxhash64("s")).dropDuplicates(["node", "h"]).drop("h"))
+        release(docs.sparkSession)
+        pairs = edges.join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
+        both = F.size(F.array_intersect("a", "b"))
+        near = stored(pairs.where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v").distinct())
+        parts = components(near).select(F.col("node").alias("part_node"), F.col("label").alias("part"))
+        members = stored(inside.join(parts, F.col("node") == F.col("part_node"), "left").select("node", "label", F.coalesce("part", "node").alias("v")))
+        sized = stored(sets.join(members, "node").select("label", "v", "s"))
+        split = sized.groupBy("label", "v").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("size")).groupBy("label").agg(
+            F.max_by("v", F.struct("n", "v")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "v", "size")).alias("top"))
+        # two documents have met already
+        split = split.where("parts > 1 AND n > 2").select("label", "main", F.ceil(F.col("size") / SHINGLES).cast("int").alias("blocks"),
+                                                          F.ceil((F.col("size") - F.col("top.size")) / SHINGLES).cast("int").alias("rest_blocks"))
+        rows = sized.join(split, "label").withColumn("h", F.xxhash64("s"))
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
+        block = lambda n: F.pmod("h", F.greatest(F.col(n), F.lit(1))).cast("int")
+        some = rows.where("v <> main").select("label", block("rest_blocks").alias("i"), upto("blocks").alias("j"), "v", "s")
+        all_ = rows.select("label", upto("rest_blocks").alias("i"), block("blocks").alias("j"), "v", "s").toDF("label_", "i_", "j_", "v", "s")
+        more = some.groupBy("label", "i", "j").cogroup(all_.groupBy("label_", "i_", "j_")).applyInArrow(lambda a, b: _compared(a, b, similarity), "u long, v long")
+        return stored(near.union(more), result=True)
 
 
 def exact(docs: DataFrame, size: int = 5, similarity: float = 0.8, loose: float = 0.6, budget: int = 4, found: float = 0.99) -> DataFrame:
@@ -393,8 +395,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id count as copies of one document: the one whose text
     has the smallest hash stays. Rows without doc_id stay.
     """
-    marked = exact(docs)
-    keep = marked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    with scratch(docs.sparkSession):
+        keep = stored(exact(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), result=True)
+    release(docs.sparkSession)
     own = Window.partitionBy("doc_id").orderBy("order")
     rows = docs.select("doc_id", F.xxhash64("text").alias("order"), F.struct(*docs.columns).alias("row"))
     first = rows.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").withColumn("r", F.row_number().over(own)).where("r = 1")

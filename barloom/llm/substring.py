@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import release, stored
+from barloom.llm.common import release, scratch, stored
 
 LENGTH = 50
 SHINGLE = 8
@@ -156,12 +156,14 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), F.col("text").cast("string").alias("text"))
-    marks = stored(_anchor_rows(rows, length))
-    shared = marks.groupBy("m").agg(F.min("d").alias("a"), F.max("d").alias("b"), (F.min("p") < F.max("p")).alias("branches")).where("a < b")
-    lists = stored(marks.select("m", "d", "k").join(shared.select("m", "a", "branches"), "m").groupBy("d", "k").agg(
-        F.collect_set(F.struct("m", "branches", (F.col("d") > F.col("a")).alias("later"))).alias("shared")))
-    release(spark)
-    paths = stored(_path_rows(rows.join(lists, ["d", "k"]).select("d", "k", "text", "shared"), length))
+    with scratch(spark):
+        with scratch(spark):
+            marks = stored(_anchor_rows(rows, length))
+            shared = marks.groupBy("m").agg(F.min("d").alias("a"), F.max("d").alias("b"), (F.min("p") < F.max("p")).alias("branches")).where("a < b")
+            lists = stored(marks.select("m", "d", "k").join(shared.select("m", "a", "branches"), "m").groupBy("d", "k").agg(
+                F.collect_set(F.struct("m", "branches", (F.col("d") > F.col("a")).alias("later"))).alias("shared")), result=True)
+        release(spark)
+        paths = stored(_path_rows(rows.join(lists, ["d", "k"]).select("d", "k", "text", "shared"), length), result=True)
     release(spark)
     first = stored(paths.groupBy("path").agg(F.min("d").alias("src"), F.min_by("s", "d").alias("src_s"), F.max("d").alias("last")))
     whole = paths.select("d", "k", "s", "n", "path").join(first.where("src < last").select("path", "src", "src_s"), "path").where(
@@ -191,7 +193,8 @@ def _spans(pieces: DataFrame, length: int) -> DataFrame:
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     """Rows of docs as struct ``row``, and their spans (null: none) as ``cuts``."""
-    cuts = stored(repeated(docs, length).groupBy("d", "k").agg(F.collect_set(F.struct("s", "e")).alias("cuts")))
+    with scratch(docs.sparkSession):
+        cuts = stored(repeated(docs, length).groupBy("d", "k").agg(F.collect_set(F.struct("s", "e")).alias("cuts")), result=True)
     release(docs.sparkSession)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"))
     return rows.join(cuts, ["d", "k"], "left").select("row", "cuts")
