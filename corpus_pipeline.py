@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import packing, quality, secrets, simhash, substring
-from barloom.llm.common import BLANKS, stored
+from barloom.llm.common import BLANKS, scratch, stored
 
 CAPACITIES = [512, 1024, 2048, 4096]
 
@@ -46,5 +46,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), result=True)
     return docs

@@ -57,6 +57,21 @@ def test_distance_to_the_language_rejects_symbol_text_only_beyond_the_guard(spar
     assert got[101].kept and got[102].kept and all(got[i].kept for i in range(40))
 
 
+def test_accepted_does_not_move_texts_however_many_rows_are_rejected(spark):
+    rng = random.Random(7)
+    vocab = ["the", "of", "and", "to", "in", "house", "stone", "river", "walks", "bright"]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(150)), "en") for i in range(40)] + [(100 + i, f"short {i}", "en") for i in range(5000)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40000")  # the keys of the rejected rows take more
+    try:
+        kept = quality.accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id for r in kept.collect()} == set(range(40))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 @pytest.mark.parametrize("junk", ["caps", "symbols", "giant"])
 def test_a_hot_source_of_junk_does_not_move_the_reference(spark, junk):
     rng = random.Random(6)
