@@ -1,9 +1,15 @@
 """``tidy`` against its SQL counterpart, on values that lie at or next to a half."""
 
+import datetime as dt
+
 import duckdb
 import numpy as np
 
+from barloom.functions.expr import close, volume
+from barloom.functions.ts import ts_corr, ts_std
+from barloom.plans.panel import Panel
 from catalog.base import r, tidy
+from tests.conftest import BAR_SCHEMA
 
 
 def test_tidy_rounds_as_its_sql(spark):
@@ -17,3 +23,18 @@ def test_tidy_rounds_as_its_sql(spark):
     rows = duckdb.connect().execute(f"SELECT {r('v', 'v')} FROM (SELECT unnest($1::DOUBLE[]) AS v)", [values]).fetchall()
     want = [row[0] for row in rows]
     assert [x for x in zip(values, got, want) if x[1] != x[2]] == []
+
+
+def test_two_bars_correlate_bit_by_bit_as_in_sql(spark):
+    rng = np.random.default_rng(8)
+    rows = [(dt.datetime(2023, 1, 1 + d), f"S{i}", *[float(1000 + rng.random())] * 4, float(5e5 + 50 * rng.random()), 1.0, 1.0) for i in range(300) for d in range(3)]
+    exprs = {"c": ts_corr(close, volume, 10), "s": ts_std(volume, 10)}
+    key = lambda rows: sorted((s, str(t), repr(c), repr(d)) for s, t, c, d in rows)
+    got = Panel(spark.createDataFrame(rows, BAR_SCHEMA)).select(exprs).select("vt_symbol", "datetime", "c", "s").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE given (datetime TIMESTAMP, vt_symbol VARCHAR, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, turnover DOUBLE, vwap DOUBLE)")
+    con.executemany("INSERT INTO given VALUES (?, ?, ?, ?, ?, ?, ?, ?, ?)", rows)
+    want = con.sql("""SELECT vt_symbol, datetime, round(covar_pop(close, volume) OVER w / sqrt(var_pop(close) OVER w * var_pop(volume) OVER w), 12), stddev_pop(volume) OVER w
+        FROM given WINDOW w AS (PARTITION BY vt_symbol ORDER BY datetime ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""").fetchall()
+    off = [x for x in zip(key(map(tuple, got)), key(want)) if x[0] != x[1]]
+    assert off == []
