@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -133,6 +134,19 @@ def test_walk_finds_all_links_of_two_subtrees():
         assert got == set(zip(*(z.tolist() for z in np.nonzero(differ <= 4))))
 
 
+def test_walk_holds_little_at_once():
+    rng = np.random.default_rng(3)
+    spread = np.unique(rng.integers(0, 2**64, 8000, dtype=np.uint64))
+    crowd = np.unique(rng.integers(0, 2**40, 1500, dtype=np.uint64))  # all share the leading bits
+    for x, found in ((spread, None), (crowd, len(crowd) * (len(crowd) - 1))):
+        tracemalloc.start()
+        n = sum(len(i) for i, _ in simhash.walk(x, x, True, 0, 4, 24))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found is None or n == found
+        assert peak < 48 << 20
+
+
 def test_components_of_paths_stars_and_repeated_links(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 201), (201, 200), (200, 200)]
