@@ -4,7 +4,10 @@ import datetime as dt
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
+import __spark_entry__ as entry
 from barloom.functions.expr import close, volume
 from barloom.functions.ts import ts_corr, ts_std
 from barloom.plans.panel import Panel
@@ -38,3 +41,24 @@ def test_two_bars_correlate_bit_by_bit_as_in_sql(spark):
         FROM given WINDOW w AS (PARTITION BY vt_symbol ORDER BY datetime ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""").fetchall()
     off = [x for x in zip(key(map(tuple, got)), key(want)) if x[0] != x[1]]
     assert off == []
+
+
+def test_daily_alphas_equal_their_sql_on_drawn_days(spark, tmp_path):
+    """Freshly drawn days, 144 rows a bar: the first two-bar correlations of ten symbols tie as in SQL."""
+    source = pq.read_table("/root/testdata/sf0.1/lineitem.parquet")
+    quantity, price, date = (source[c].to_numpy() for c in ("l_quantity", "l_extendedprice", "l_shipdate"))
+    days = np.unique(date[date < date.min() + np.timedelta64(26, "D")])
+    for seed, names in ((100, ("fa_alpha64_daily", "fa_alpha78_daily")), (106, ("fa_alpha99_daily",))):
+        rng, n = np.random.default_rng(seed), 1440 * len(days)
+        row = rng.integers(0, len(quantity), n)
+        folder = tmp_path / str(seed)
+        folder.mkdir()
+        pq.write_table(pa.table({
+            "l_orderkey": rng.integers(0, 900000, n), "l_partkey": rng.integers(0, 120000, n), "l_suppkey": rng.integers(0, 6000, n),
+            "l_linenumber": rng.integers(1, 8, n).astype(np.int32), "l_quantity": quantity[row], "l_extendedprice": price[row],
+            "l_shipdate": days[rng.integers(0, len(days), n)]}), folder / "lineitem.parquet")
+        con = duckdb.connect()
+        con.execute(f"SET TimeZone='UTC'; CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet'")
+        for name in names:
+            got = sorted(map(str, map(tuple, entry.queries()[name](spark, str(folder)).collect())))
+            assert got == sorted(map(str, con.sql(entry.oracle_sql()[name]).fetchall())), name
