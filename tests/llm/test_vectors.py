@@ -29,3 +29,21 @@ def test_repeated_ids_copies_and_lengths(spark):
         got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in vafile.top_k(df, asked, k).collect()]
         want = brute(rows, queries, k)
         assert len(got) == len(want) and set(got) == want
+
+
+def test_vectors_and_tiles_are_not_broadcast(spark, monkeypatch):
+    """Their files are far smaller than they are in memory, so a join that trusts the size would fill the driver."""
+    plans, store = [], vafile.stored
+    monkeypatch.setattr(vafile, "BLOCK", 16)
+    monkeypatch.setattr(vafile, "TILE", 80, raising=False)  # twenty queries
+    monkeypatch.setattr(vafile, "SLICE", 6, raising=False)
+    monkeypatch.setattr(vafile, "stored", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), store(df))[1])
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(300)] + [(300 + i, [0.5] * 4) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    out = vafile.top_k(df, df.where("vec_id % 5 = 0"), 3)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert [p for p in plans if "BroadcastExchange" in p] == []
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()]
+    want = brute(rows, rows[::5], 3)
+    assert len(got) == len(want) and set(got) == want
