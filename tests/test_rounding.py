@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
-from barloom.functions import safe
+from barloom.functions import maths
 from barloom.functions.expr import close, volume
 from barloom.functions.ts import ts_corr, ts_std
 from barloom.plans.panel import Panel
@@ -32,7 +32,7 @@ def test_tidy_rounds_as_its_sql(spark):
 def test_logs_equal_those_of_sql_bit_by_bit(spark):
     values = [float(v) for v in range(1, 4000)] + np.random.default_rng(9).uniform(0.5, 2000, 4000).tolist() + [0.0, -1.0, float("nan"), float("inf"), None]
     df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
-    got = [repr(row[0]) for row in df.select(safe.safe_log(df.v)).collect()]
+    got = [repr(row[0]) for row in df.select(maths.safe_log(df.v)).collect()]
     con = duckdb.connect()
     sql = "CASE WHEN v > 0 THEN ln(v) WHEN v = 0 THEN -CAST('inf' AS DOUBLE) WHEN v < 0 THEN CAST('nan' AS DOUBLE) END"
     want = [repr(row[0]) for row in con.execute(f"SELECT {sql} FROM (SELECT unnest($1::DOUBLE[]) AS v)", [values]).fetchall()]
